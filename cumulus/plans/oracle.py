@@ -172,3 +172,182 @@ def statement(name: str) -> str:
 
 def oracle_statements() -> dict[str, str]:
     return {name: statement(name) for name in MART_SQL}
+
+
+# ---- views over the marts ------------------------------------------------------------
+# name -> (fixture, marts used as CTEs, extra CTEs, final SELECT)
+VIEW_SQL: dict[str, tuple[str, tuple[str, ...], str, str]] = {}
+
+
+def _view(name: str, fixture: str, uses: tuple[str, ...], final: str, ctes: str = "") -> None:
+    VIEW_SQL[name] = (fixture, uses, ctes, final)
+
+
+def _case_bins(col: str, edges, labels=None) -> str:
+    parts = [f"WHEN {col} IS NULL THEN NULL"]
+    for i, e in enumerate(edges):
+        parts.append(f"WHEN {col} <= {e!r} THEN {f'{labels[i]!r}' if labels else i}")
+    last = f"{labels[len(edges)]!r}" if labels else str(len(edges))
+    return "CASE " + " ".join(parts) + f" ELSE {last} END"
+
+
+def _pivot_cols(value: str, chosen) -> str:
+    return ", ".join(f"MAX({value}) FILTER (WHERE state = '{s}') AS \"{s}\"" for s in chosen)
+
+
+def _severity_sql() -> str:
+    from cumulus.operators.views import SEVERITY_BINS
+    selects = []
+    for m, (edges, labels) in SEVERITY_BINS.items():
+        v = f"CAST({m} AS DOUBLE)"
+        selects.append(f"SELECT state, '{m}' AS measure, {v} AS value, "
+                       f"CAST({_case_bins(v, edges)} AS INTEGER) AS bin, {_case_bins(v, edges, labels)} AS label "
+                       f"FROM group_snapshot")
+    return "\nUNION ALL\n".join(selects)
+
+
+_CHOSEN5 = ["NATION_0", "NATION_1", "NATION_2", "NATION_3", "NATION_4"]
+_CHOSEN6 = _CHOSEN5 + ["NATION_5"]
+_IN6 = ", ".join(f"'{s}'" for s in _CHOSEN6)
+
+_view("series_peak_and_mean", "B1", ("daily_increase",), """
+SELECT series, MAX(value) AS peak_value, MIN(CASE WHEN value = mx THEN date END) AS peak_date,
+       AVG(value) AS mean_value
+FROM (SELECT *, MAX(value) OVER (PARTITION BY series) AS mx FROM (
+        SELECT date, 'case_increase' AS series, case_increase AS value FROM daily_increase
+        UNION ALL SELECT date, 'death_increase', death_increase FROM daily_increase))
+GROUP BY series""")
+_view("severity_bins", "B2", ("group_snapshot",), "__SEVERITY__")
+_view("top5_scaled", "B2", ("group_snapshot",), """
+SELECT measure, rank, state, value,
+       ROUND(value / CASE measure WHEN 'total_cases' THEN CAST(10000 AS DOUBLE)
+                                  WHEN 'total_deaths' THEN CAST(1 AS DOUBLE)
+                                  WHEN 'death_rate' THEN CAST(0.01 AS DOUBLE) END, 2) AS display_value
+FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY measure ORDER BY value DESC, state) AS INTEGER) AS rank
+      FROM (SELECT state, 'total_cases' AS measure, CAST(total_cases AS DOUBLE) AS value FROM group_snapshot
+            UNION ALL SELECT state, 'total_deaths', CAST(total_deaths AS DOUBLE) FROM group_snapshot
+            UNION ALL SELECT state, 'death_rate', CAST(death_rate AS DOUBLE) FROM group_snapshot)
+      WHERE value IS NOT NULL)
+WHERE rank <= 5""")
+for _m, _src in (("total_cases", "top10_cases"), ("total_deaths", "top10_deaths")):
+    _view(f"top10_ex_total_{_m.split('_')[1]}", "B2", (_src,), f"""
+SELECT state, {_m}, MIN({_m}) OVER () AS color_min, MAX({_m}) OVER () AS color_max
+FROM (SELECT state, {_m} FROM {_src} WHERE state <> 'USA' ORDER BY {_m} DESC, state LIMIT 10)""")
+_view("rate_complement", "B2", ("overall_and_group_rate",), """
+SELECT 'fatal' AS category, p AS percent FROM pr
+UNION ALL SELECT 'non_fatal', ROUND(CAST(100 AS DOUBLE) - p, 2) FROM pr""",
+      "pr AS (SELECT ROUND(death_rate * 100, 2) AS p FROM overall_and_group_rate "
+      "WHERE state = 'USA' AND sort_sign = 1)")
+_view("latest_rolling_top20", "B2", ("rolling_mean_7",), """
+SELECT state, rolling_avg FROM (
+  SELECT trim(state) AS state, ROUND(SUM(rolling_avg), 2) AS rolling_avg FROM rolling_mean_7
+  WHERE date = (SELECT MAX(date) FROM rolling_mean_7) GROUP BY 1)
+ORDER BY rolling_avg DESC, state LIMIT 20""")
+_view("peak_top15", "B2", ("peak_increment",), """
+SELECT trim(state) AS state, date, case_inc FROM peak_increment ORDER BY case_inc DESC, trim(state) LIMIT 15""")
+_view("growth_extremes", "B2", ("growth_rate",), """
+SELECT 'bottom' AS side, state, growth_pct FROM (SELECT * FROM gl ORDER BY growth_pct ASC, state ASC LIMIT 10)
+UNION ALL
+SELECT 'top', state, growth_pct FROM (SELECT * FROM gl ORDER BY growth_pct DESC, state DESC LIMIT 10)""",
+      "gl AS (SELECT trim(state) AS state, ROUND(growth_rate * 100, 2) AS growth_pct FROM growth_rate "
+      "WHERE date = (SELECT MAX(date) FROM growth_rate))")
+_view("month_frames", "B2", ("monthly_top10",), """
+SELECT CAST(DENSE_RANK() OVER (ORDER BY month) - 1 AS INTEGER) AS month_index, month,
+       CAST(ROW_NUMBER() OVER (PARTITION BY month ORDER BY monthly_inc DESC, state) AS INTEGER) AS position,
+       state, monthly_inc
+FROM monthly_top10""")
+_view("weekday_monday_first", "B1", ("weekday_profile",), """
+SELECT CAST(CASE day_of_week WHEN 'Mon' THEN 0 WHEN 'Tue' THEN 1 WHEN 'Wed' THEN 2 WHEN 'Thu' THEN 3
+                             WHEN 'Fri' THEN 4 WHEN 'Sat' THEN 5 WHEN 'Sun' THEN 6 END AS INTEGER) AS position,
+       day_of_week, ROUND(avg_inc, 2) AS avg_inc,
+       MAX(ROUND(avg_inc, 2)) OVER () * CAST(1.2 AS DOUBLE) AS axis_max
+FROM weekday_profile WHERE day_of_week IN ('Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun')""")
+_view("cfr_wide", "B2", ("case_fatality_series",),
+      f"SELECT date, {_pivot_cols('cfr', _CHOSEN5)} FROM case_fatality_series GROUP BY date")
+_FASTEST = """fastest AS (SELECT state, date, doubling_time FROM doubling_time
+  WHERE date = (SELECT MAX(date) FROM doubling_time) AND doubling_time IS NOT NULL
+  ORDER BY doubling_time ASC, state LIMIT 15)"""
+_view("fastest_doubling_top15", "B2", ("doubling_time",), "SELECT * FROM fastest", _FASTEST)
+_view("spread_index", "B2", ("doubling_time",), """
+SELECT state, doubling_time, spread_index, MIN(spread_index) OVER () AS spread_min,
+       MAX(spread_index) OVER () AS spread_max
+FROM (SELECT state, doubling_time, ROUND(CAST(100 AS DOUBLE) / NULLIF(doubling_time, 0), 2) AS spread_index
+      FROM fastest)""", _FASTEST)
+_view("pareto_top20_cut", "B2", ("pareto_share",), """
+SELECT CAST(ROW_NUMBER() OVER o AS INTEGER) AS rank, state, total_deaths,
+       ROUND(cum_percent * 100, 2) AS percent, cum_percent >= 0.8 AS over_threshold,
+       cum_percent >= 0.8 AND COALESCE(MAX(CAST(cum_percent >= 0.8 AS INTEGER)) OVER (o ROWS BETWEEN
+           UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS first_crossing
+FROM (SELECT * FROM pareto_share ORDER BY total_deaths DESC, state LIMIT 20)
+WINDOW o AS (ORDER BY total_deaths DESC, state)""")
+_view("correlation_band", "B1", ("lagged_correlation",), """
+SELECT r AS correlation, r * 100 AS gauge,
+       CASE WHEN r * 100 IS NULL THEN NULL WHEN r * 100 <= 30 THEN 'low' WHEN r * 100 <= 70 THEN 'medium'
+            ELSE 'high' END AS band
+FROM (SELECT ROUND(correlation, 4) AS r FROM lagged_correlation)""")
+_view("anomaly_points", "B2", ("zscore_anomaly",), """
+SELECT date, state, case_inc, z_score, COALESCE(z_score, 0) > 0.5 AS is_anomaly
+FROM zscore_anomaly WHERE state = 'NATION_0'""")
+_WALK = """pts AS (SELECT ROW_NUMBER() OVER (ORDER BY date) AS i, date, center_lat AS y, center_lon AS x
+        FROM weighted_centroid
+        WHERE center_lat IS NOT NULL AND center_lat <> 0 AND center_lon IS NOT NULL AND center_lon <> 0),
+walk AS (SELECT i, date, y, x, y AS ky, x AS kx, TRUE AS kept FROM pts WHERE i = 1
+         UNION ALL
+         SELECT p.i, p.date, p.y, p.x,
+                CASE WHEN sqrt((p.x - w.kx) * (p.x - w.kx) + (p.y - w.ky) * (p.y - w.ky)) > 1.0 THEN p.y ELSE w.ky END,
+                CASE WHEN sqrt((p.x - w.kx) * (p.x - w.kx) + (p.y - w.ky) * (p.y - w.ky)) > 1.0 THEN p.x ELSE w.kx END,
+                sqrt((p.x - w.kx) * (p.x - w.kx) + (p.y - w.ky) * (p.y - w.ky)) > 1.0
+         FROM walk w JOIN pts p ON p.i = w.i + 1),
+kp AS (SELECT CAST(ROW_NUMBER() OVER (ORDER BY date) - 1 AS INTEGER) AS seq, date, y, x FROM walk WHERE kept)"""
+_view("thin_trajectory", "B2", ("weighted_centroid",),
+      "SELECT seq, date, y AS center_lat, x AS center_lon FROM kp", _WALK)
+_view("trajectory_segments", "B2", ("weighted_centroid",), """
+SELECT a.date AS from_date, b.date AS to_date, a.y AS from_center_lat, a.x AS from_center_lon,
+       b.y AS to_center_lat, b.x AS to_center_lon
+FROM kp a JOIN kp b ON b.seq = a.seq + 1""", _WALK)
+_view("day0_wide", "B2", ("day0_alignment",), f"""
+SELECT d.days_since_100, {", ".join(f'w."{s}"' for s in _CHOSEN6)}
+FROM (SELECT CAST(unnest(generate_series(0, m)) AS INTEGER) AS days_since_100
+      FROM (SELECT MAX(days_since_100) AS m FROM day0_alignment)) d
+LEFT JOIN (SELECT days_since_100, {_pivot_cols('total_cases', _CHOSEN6)}
+           FROM day0_alignment WHERE state IN ({_IN6}) GROUP BY days_since_100) w
+  ON d.days_since_100 = w.days_since_100""")
+_view("day0_endpoints", "B2", ("day0_alignment",), f"""
+SELECT state, COUNT(CASE WHEN total_cases <> 0 THEN 1 END) > 0 AS has_data,
+       MAX(days_since_100) AS last_day, arg_max(total_cases, days_since_100) AS last_value
+FROM day0_alignment WHERE state IN ({_IN6}) GROUP BY state""")
+_view("rt_threshold", "B2", ("reproduction_ratio",), """
+SELECT state, date, rt, rt > 1.0 AS above_one,
+       COALESCE((rt > 1.0) <> LAG(rt > 1.0) OVER (PARTITION BY state ORDER BY date), FALSE) AS crossing,
+       rt = MAX(rt) OVER (PARTITION BY state) AS is_max
+FROM (SELECT state, date, ROUND(Rt, 3) AS rt FROM reproduction_ratio WHERE state = 'NATION_0')""")
+_view("normalised_snapshot", "B2", ("group_snapshot",), """
+SELECT date, COALESCE(trim(state), 'Unknown') AS state, COALESCE(total_cases, 0) AS total_cases,
+       COALESCE(total_deaths, 0) AS total_deaths, COALESCE(death_rate, 0) AS death_rate
+FROM group_snapshot""")
+_view("daily_totals_stacked", "B1", ("daily_totals",), """
+SELECT date, 'cases' AS series, cases AS value FROM daily_totals
+UNION ALL SELECT date, 'deaths', deaths FROM daily_totals""")
+
+
+def view_statement(name: str) -> str:
+    fixture, uses, ctes, final = VIEW_SQL[name]
+    parts = [FIXTURE_CTE[fixture].strip(), STAGES_CTE.strip()]
+    seen = set()
+    for mart in uses:
+        _, mctes, mfinal = MART_SQL[mart]
+        if mctes and mctes not in seen:
+            seen.add(mctes)
+            parts.append(mctes.strip())
+        parts.append(f"{mart} AS (\n{mfinal.strip()}\n)")
+    if ctes:
+        parts.append(ctes.strip())
+    if final == "__SEVERITY__":
+        final = _severity_sql()
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + final.strip()
+
+
+def all_statements() -> dict[str, str]:
+    out = oracle_statements()
+    out.update({name: view_statement(name) for name in VIEW_SQL})
+    return out

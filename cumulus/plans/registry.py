@@ -60,3 +60,46 @@ def run(name: str, spark: SparkSession, sf_dir: str, fixture: str | None = None)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, _n=name: run(_n, spark, sf_dir)) for name in REGISTRY}
+
+
+# ---- views over the marts ---------------------------------------------------------------
+def _register_views() -> None:
+    from cumulus.operators import tracks as TR
+    from cumulus.operators import views as V
+    from cumulus.operators.clustering import cluster_tiers
+
+    def coords_centroid(spark, sf_dir, sd):
+        return M.weighted_centroid(sd, _coords(spark, sf_dir))
+
+    on = {
+        "series_peak_and_mean": ("B1", lambda s, d, sd: V.series_peak_and_mean(M.daily_increase(sd))),
+        "weekday_monday_first": ("B1", lambda s, d, sd: V.weekday_monday_first(M.weekday_profile(sd))),
+        "correlation_band": ("B1", lambda s, d, sd: V.correlation_band(M.lagged_correlation(sd))),
+        "daily_totals_stacked": ("B1", lambda s, d, sd: V.daily_totals_stacked(M.daily_totals(sd))),
+        "severity_bins": ("B2", lambda s, d, sd: V.severity_bins(M.group_snapshot(sd))),
+        "top5_scaled": ("B2", lambda s, d, sd: V.top5_scaled(M.group_snapshot(sd))),
+        "top10_ex_total_cases": ("B2", lambda s, d, sd: V.top10_ex_total(M.top10_cases(sd), "total_cases")),
+        "top10_ex_total_deaths": ("B2", lambda s, d, sd: V.top10_ex_total(M.top10_deaths(sd), "total_deaths")),
+        "rate_complement": ("B2", lambda s, d, sd: V.rate_complement(M.overall_and_group_rate(sd))),
+        "latest_rolling_top20": ("B2", lambda s, d, sd: V.latest_rolling_top20(M.rolling_mean_7(sd))),
+        "peak_top15": ("B2", lambda s, d, sd: V.peak_top15(M.peak_increment(sd))),
+        "growth_extremes": ("B2", lambda s, d, sd: V.growth_extremes(M.growth_rate(sd))),
+        "month_frames": ("B2", lambda s, d, sd: V.month_frames(M.monthly_top10(sd))),
+        "cfr_wide": ("B2", lambda s, d, sd: V.cfr_wide(M.case_fatality_series(sd))),
+        "fastest_doubling_top15": ("B2", lambda s, d, sd: V.fastest_doubling_top15(M.doubling_time(sd))),
+        "spread_index": ("B2", lambda s, d, sd: V.spread_index(V.fastest_doubling_top15(M.doubling_time(sd)))),
+        "pareto_top20_cut": ("B2", lambda s, d, sd: V.pareto_top20_cut(M.pareto_share(sd))),
+        "anomaly_points": ("B2", lambda s, d, sd: V.anomaly_points(M.zscore_anomaly(sd))),
+        "thin_trajectory": ("B2", lambda s, d, sd: TR.thin_trajectory(coords_centroid(s, d, sd))),
+        "trajectory_segments": ("B2", lambda s, d, sd: TR.trajectory_segments(coords_centroid(s, d, sd))),
+        "day0_wide": ("B2", lambda s, d, sd: V.day0_wide(M.day0_alignment(sd))),
+        "day0_endpoints": ("B2", lambda s, d, sd: V.day0_endpoints(M.day0_alignment(sd))),
+        "cluster_tiers": ("B2", lambda s, d, sd: cluster_tiers(risk_clusters(M.risk_features(sd)))),
+        "rt_threshold": ("B2", lambda s, d, sd: V.rt_threshold(M.reproduction_ratio(sd))),
+        "normalised_snapshot": ("B2", lambda s, d, sd: V.normalise(M.group_snapshot(sd))),
+    }
+    for name, (fx, fn) in on.items():
+        register(name, fx, fn)
+
+
+_register_views()
