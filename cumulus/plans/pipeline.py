@@ -14,7 +14,6 @@ the input.  Every mart is then computed from it and written to ``out_dir``.
 from __future__ import annotations
 
 import argparse
-import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from cumulus.operators import marts as M
 from cumulus.operators.clustering import risk_clusters
 from cumulus.operators.stages import group_day
-from cumulus.session import checkpoint_dir
+from cumulus.plans.stage import stage_table
 from cumulus.sources.dimensions import broadcast_if_small, nation_coords, reference_coords
 from cumulus.sources.fixtures import FIXTURES
 from cumulus.sources.observations import read_obs
@@ -52,9 +51,7 @@ def mart_builders(coords: DataFrame | None) -> dict[str, Callable[[DataFrame], D
 
 def materialise_group_day(spark: SparkSession, obs: DataFrame) -> DataFrame:
     """group_day(obs) written once under the shared checkpoint folder and read back."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/cumulus-group-day-{uuid.uuid4().hex}"
-    group_day(obs).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return stage_table(spark, group_day(obs), "group-day")
 
 
 def run_all(spark: SparkSession, obs: DataFrame, out_dir: str, coords: DataFrame | None = None,

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cumulus.operators import marts as M
 from cumulus.operators.clustering import risk_clusters
 from cumulus.operators.stages import group_day
+from cumulus.plans.stage import stage_table
 from cumulus.sources.dimensions import nation_coords
 from cumulus.sources.fixtures import FIXTURES
 
@@ -53,9 +54,14 @@ def group_day_of(spark: SparkSession, sf_dir: str, fixture: str) -> DataFrame:
     return group_day(FIXTURES[fixture](spark, sf_dir))
 
 
-def run(name: str, spark: SparkSession, sf_dir: str, fixture: str | None = None) -> DataFrame:
+def run(name: str, spark: SparkSession, sf_dir: str, fixture: str | None = None,
+        materialise: bool = True) -> DataFrame:
+    """Build the fixture, sum it to group-days, materialise that stage, run the query."""
     fx, builder = REGISTRY[name]
-    return builder(spark, sf_dir, group_day_of(spark, sf_dir, fixture or fx))
+    sd = group_day_of(spark, sf_dir, fixture or fx)
+    if materialise:
+        sd = stage_table(spark, sd, "group-day")
+    return builder(spark, sf_dir, sd)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
