@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cumulus.functions.scalar import day_string, doubling_days, month_key, ratio
 from cumulus.operators.pareto import running_share_desc
 from cumulus.operators.ranking import top_n, top_per_group
-from cumulus.operators.stages import group_window, increments, with_increments
+from cumulus.operators.stages import group_frame, group_window, increments, with_increments
 from cumulus.operators.stats import lead_pairs, pearson, trailing_zscore
 
 
@@ -95,9 +95,9 @@ def overall_and_group_rate(sd: DataFrame, as_of=None, overall_label: str = "USA"
 
 # ---- R9-R13: windows over the surviving increments -------------------------------
 
-def rolling_mean_7(sd: DataFrame, rows: int = 7) -> DataFrame:
-    """Mean of the last <= ``rows`` surviving increments, 2 dp."""
-    w = group_window().rowsBetween(-(rows - 1), 0)
+def rolling_mean_7(sd: DataFrame, rows: int = 7, calendar: bool = False) -> DataFrame:
+    """Mean of the last <= ``rows`` surviving increments (or days), 2 dp."""
+    w = group_frame(-(rows - 1), 0, calendar)
     return increments(sd).select("state", day_string("date").alias("date"),
                                  F.round(F.avg("case_inc").over(w), 2).alias("rolling_avg"))
 
@@ -160,18 +160,27 @@ def pareto_share(sd: DataFrame, as_of=None) -> DataFrame:
 
 # ---- R17-R22 -------------------------------------------------------------------------
 
-def lagged_correlation(sd: DataFrame, lead_rows: int = 10) -> DataFrame:
-    """Pearson r between national increments at row t and death increments at row t + lead."""
+def lagged_correlation(sd: DataFrame, lead_rows: int = 10, calendar: bool = False) -> DataFrame:
+    """Pearson r between national increments at row t and death increments at row t + lead.
+
+    ``calendar=True`` pairs day d with day d + lead instead (an equi-join on the
+    shifted date, no ordered window).
+    """
     national = (increments(sd).groupBy("date")
                 .agg(F.sum("case_inc").alias("nat_case_inc"), F.sum("death_inc").alias("nat_death_inc")))
-    pairs = lead_pairs(national, "nat_case_inc", "nat_death_inc", lead_rows)
+    if calendar:
+        a, b = national.alias("a"), national.alias("b")
+        pairs = a.join(b, F.col("b.date") == F.date_add(F.col("a.date"), lead_rows)).select(
+            F.col("a.nat_case_inc").alias("nat_case_inc"), F.col("b.nat_death_inc").alias("nat_death_inc_lagged"))
+    else:
+        pairs = lead_pairs(national, "nat_case_inc", "nat_death_inc", lead_rows)
     return pairs.agg(pearson("nat_case_inc", "nat_death_inc_lagged").alias("correlation"))
 
 
-def zscore_anomaly(sd: DataFrame, rows: int = 14) -> DataFrame:
-    """Z-score of each increment against the ``rows`` preceding surviving rows."""
+def zscore_anomaly(sd: DataFrame, rows: int = 14, calendar: bool = False) -> DataFrame:
+    """Z-score of each increment against the ``rows`` preceding surviving rows (or days)."""
     return increments(sd).select("date", "state", "case_inc",
-                                 trailing_zscore("case_inc", group_window(), rows).alias("z_score"))
+                                 trailing_zscore("case_inc", group_frame(-rows, -1, calendar)).alias("z_score"))
 
 
 def weighted_centroid(sd: DataFrame, coords: DataFrame) -> DataFrame:
@@ -210,12 +219,11 @@ def risk_features(sd: DataFrame, as_of=None) -> DataFrame:
     return totals.join(peak, "state").select("state", "total_cases", "total_deaths", "max_daily_inc")
 
 
-def reproduction_ratio(sd: DataFrame, rows: int = 7, floor: int = 50) -> DataFrame:
+def reproduction_ratio(sd: DataFrame, rows: int = 7, floor: int = 50, calendar: bool = False) -> DataFrame:
     """Sum of the last ``rows`` increments over the ``rows`` before them, 2 dp,
     only where the earlier sum exceeds ``floor``."""
-    w = group_window()
-    this = F.sum("case_inc").over(w.rowsBetween(-(rows - 1), 0))
-    last = F.sum("case_inc").over(w.rowsBetween(-(2 * rows - 1), -rows))
+    this = F.sum("case_inc").over(group_frame(-(rows - 1), 0, calendar))
+    last = F.sum("case_inc").over(group_frame(-(2 * rows - 1), -rows, calendar))
     rt = F.when(last > floor, F.round(ratio(this, last), 2))
     return (increments(sd).select("state", day_string("date").alias("date"), rt.alias("Rt"))
             .filter(F.col("Rt").isNotNull()))

@@ -25,6 +25,18 @@ def group_window(group: str = "state", time: str = "date") -> WindowSpec:
     return Window.partitionBy(group).orderBy(time)
 
 
+def group_frame(lo: int, hi: int, calendar: bool = False) -> WindowSpec:
+    """Per-group frame from ``lo`` to ``hi`` relative to the current row.
+
+    Default: ROWS (surviving rows, the original behaviour -- after dropped
+    corrections "7 rows" may span more than 7 days).  ``calendar=True``: RANGE
+    over the day number, i.e. exactly the days in [d+lo, d+hi].
+    """
+    if calendar:
+        return Window.partitionBy("state").orderBy(F.unix_date("date")).rangeBetween(lo, hi)
+    return group_window().rowsBetween(lo, hi)
+
+
 def group_day(obs: DataFrame, cols: ObsColumns = OBS_COLUMNS) -> DataFrame:
     """OBS -> (date, state, total_cases BIGINT, total_deaths BIGINT)."""
     return (obs.groupBy(F.col(cols.time).alias("date"), F.col(cols.group).alias("state"))

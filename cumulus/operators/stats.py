@@ -32,12 +32,11 @@ def pearson(x: str, y: str) -> Column:
     return F.try_divide(_dbl(num), F.sqrt(_dbl(dx) * _dbl(dy)))
 
 
-def trailing_zscore(x: str, w: WindowSpec, rows: int = 14) -> Column:
-    """(x - mean) / sample-stddev over the ``rows`` rows before the current one.
+def trailing_zscore(x: str, frame: WindowSpec) -> Column:
+    """(x - mean) / sample-stddev of x over ``frame`` (e.g. the 14 rows before the current one).
 
-    NULL when fewer than two earlier rows exist or the deviation is 0.
+    NULL when the frame has fewer than two values or the deviation is 0.
     """
-    frame = w.rowsBetween(-rows, -1)
     n = F.count(x).over(frame)
     s = F.sum(x).over(frame)
     q = F.sum(F.col(x).cast(_EXACT) * F.col(x).cast(_EXACT)).over(frame)

@@ -17,7 +17,6 @@ import argparse
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cumulus.operators import marts as M
 from cumulus.operators.clustering import risk_clusters
@@ -69,7 +68,7 @@ def run_all(spark: SparkSession, obs: DataFrame, out_dir: str, coords: DataFrame
 
 
 def run_fixture(spark: SparkSession, sf_dir: str, out_dir: str, fixture: str = "B3", **kw) -> dict[str, str]:
-    coords = F.broadcast(nation_coords(spark, sf_dir))  # <= 12 rows (filter on the nation key)
+    coords = broadcast_if_small(nation_coords(spark, sf_dir), 10_000)
     return run_all(spark, FIXTURES[fixture](spark, sf_dir), out_dir, coords=coords, **kw)
 
 

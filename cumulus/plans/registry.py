@@ -15,7 +15,7 @@ from cumulus.operators import marts as M
 from cumulus.operators.clustering import risk_clusters
 from cumulus.operators.stages import group_day
 from cumulus.plans.stage import stage_table
-from cumulus.sources.dimensions import nation_coords
+from cumulus.sources.dimensions import broadcast_if_small, nation_coords
 from cumulus.sources.fixtures import FIXTURES
 
 Builder = Callable[[SparkSession, str, DataFrame], DataFrame]
@@ -45,9 +45,8 @@ register("risk_clusters", "B2", lambda spark, sf_dir, sd: risk_clusters(M.risk_f
 
 
 def _coords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-    # At most 12 rows: a filter on the nation primary key below 12.
-    return F.broadcast(nation_coords(spark, sf_dir))
+    # Broadcast only after a bounded count proves the dimension is small.
+    return broadcast_if_small(nation_coords(spark, sf_dir), 10_000)
 
 
 def group_day_of(spark: SparkSession, sf_dir: str, fixture: str) -> DataFrame:

@@ -124,3 +124,26 @@ def test_risk_features_and_clusters(hand_sd):
     c = {r.state: (r.prediction, r.tier) for r in cluster_tiers(risk_clusters(M.risk_features(hand_sd), k=2)).collect()}
     assert c["New York"][0] == 1 and c["New York"][1] == "medium"
     assert c["Texas"][0] == c["Nowhere"][0] == 0
+
+
+def test_calendar_frames(hand_sd):
+    got = {(r.state, r.date): r.rolling_avg for r in M.rolling_mean_7(hand_sd, calendar=True).collect()}
+    # Days 03-04..03-10 for New York: 100, (03-05 dropped), 110, 110, 90, (no 03-09), 20.
+    assert got[("New York", "2020-03-10")] == 86.0
+    rows_form = {(r.state, r.date): r.rolling_avg for r in M.rolling_mean_7(hand_sd).collect()}
+    assert rows_form[("New York", "2020-03-10")] == 74.29
+    assert M.lagged_correlation(hand_sd, lead_rows=1, calendar=True).count() == 1
+
+
+def test_sql_path_over_registered_views(spark, hand_path, hand_sd):
+    from cumulus.plans.sql import register_views
+    from cumulus.sources.observations import read_obs
+    register_views(spark, read_obs(spark, hand_path), prefix="hand_")
+    sql = spark.sql("""
+        SELECT t1.date, t1.cases - t2.cases AS case_increase, t1.deaths - t2.deaths AS death_increase
+        FROM (SELECT date, sum(cases) AS cases, sum(deaths) AS deaths FROM hand_obs GROUP BY date) t1
+        JOIN (SELECT date, sum(cases) AS cases, sum(deaths) AS deaths FROM hand_obs GROUP BY date) t2
+          ON t1.date = date_add(t2.date, 1)""")
+    assert sorted(map(tuple, sql.collect())) == [tuple(r) for r in M.daily_increase(hand_sd).collect()]
+    peak = spark.sql("SELECT state, max(case_inc) AS m FROM hand_increments GROUP BY state").collect()
+    assert {r.state: r.m for r in peak} == {"New York": 110, "Texas": 20, "Nowhere": 0}
