@@ -14,6 +14,7 @@ the input.  Every mart is then computed from it and written to ``out_dir``.
 from __future__ import annotations
 
 import argparse
+from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,17 +55,28 @@ def materialise_group_day(spark: SparkSession, obs: DataFrame) -> DataFrame:
 
 
 def run_all(spark: SparkSession, obs: DataFrame, out_dir: str, coords: DataFrame | None = None,
-            fmt: str = "json", names: Iterable[str] | None = None) -> dict[str, str]:
+            fmt: str = "json", names: Iterable[str] | None = None, parallelism: int = 8) -> dict[str, str]:
+    """Materialise the group-day stage, then write every mart from it.
+
+    The marts are independent small jobs over the same stage, so up to
+    ``parallelism`` of them are submitted at once from driver threads and the
+    scheduler overlaps their tasks.
+    """
     sd = materialise_group_day(spark, obs)
     builders = mart_builders(coords)
-    written = {}
-    for name in (names or builders):
+    todo = list(names or builders)
+
+    def write(name: str) -> tuple[str, str]:
         path = f"{out_dir.rstrip('/')}/{name}"
-        df = builders[name](sd)
-        single = name in SINGLE_FILE
-        write_result(df, path, fmt=fmt, single_file=single, sort_by=SINGLE_FILE.get(name))
-        written[name] = path
-    return written
+        write_result(builders[name](sd), path, fmt=fmt, single_file=name in SINGLE_FILE,
+                     sort_by=SINGLE_FILE.get(name))
+        return name, path
+
+    if parallelism <= 1:
+        return dict(write(n) for n in todo)
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        done = dict(pool.map(write, todo))
+    return {n: done[n] for n in todo}
 
 
 def run_fixture(spark: SparkSession, sf_dir: str, out_dir: str, fixture: str = "B3", **kw) -> dict[str, str]:
