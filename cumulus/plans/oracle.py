@@ -351,3 +351,14 @@ def all_statements() -> dict[str, str]:
     out = oracle_statements()
     out.update({name: view_statement(name) for name in VIEW_SQL})
     return out
+
+
+def statement_on_obs(name: str) -> str:
+    """The oracle for ``name`` over a table ``obs`` provided by the caller (no fixture CTE)."""
+    if name in MART_SQL:
+        _, ctes, final = MART_SQL[name]
+        parts = [STAGES_CTE.strip()] + ([ctes.strip()] if ctes else [])
+        return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + final.strip()
+    fixture, uses, ctes, final = VIEW_SQL[name]
+    full = view_statement(name)
+    return full.replace(FIXTURE_CTE[fixture].strip() + ",\n", "", 1)

@@ -29,8 +29,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _small(df: DataFrame, max_rows: int = BROADCAST_DIM_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+_SIZE_CHECKS: dict[tuple, bool] = {}
+
+
+def _small(df: DataFrame, key: tuple, max_rows: int = BROADCAST_DIM_ROWS) -> bool:
+    """Bounded count of the dimension, remembered per application and table path."""
+    k = (df.sparkSession.sparkContext.applicationId, max_rows) + key
+    if k not in _SIZE_CHECKS:
+        _SIZE_CHECKS[k] = df.limit(max_rows + 1).count() <= max_rows
+    return _SIZE_CHECKS[k]
 
 
 def _cumulate(daily: DataFrame) -> DataFrame:
@@ -64,7 +71,7 @@ def obs_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = (_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
             .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
             .select("c_custkey", F.col("c_mktsegment").alias("county"), F.col("n_name").alias("state")))
-    if _small(cust):
+    if _small(cust, (sf_dir, "customer")):
         rows = orders.join(F.broadcast(cust), orders.o_custkey == cust.c_custkey)
         daily = rows.groupBy("date", "county", "state").agg(
             F.count(F.lit(1)).alias("n"), F.count("_f").alias("m"))
@@ -85,7 +92,7 @@ def obs_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     supp = (_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
             .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
             .select("s_suppkey", F.col("s_name").alias("county"), F.col("n_name").alias("state")))
-    if _small(supp):
+    if _small(supp, (sf_dir, "supplier")):
         rows = li.join(F.broadcast(supp), li.l_suppkey == supp.s_suppkey)
         daily = rows.groupBy("date", "county", "state").agg(
             F.sum("l_quantity").cast("bigint").alias("n"), F.sum("_r").cast("bigint").alias("m"))

@@ -104,3 +104,13 @@ def test_cluster_labels_do_not_depend_on_input_layout(spark):
         labelings.append(sorted((r.state, r.prediction) for r in out.collect()))
     assert labelings[0] == labelings[1] == labelings[2]
     assert len({p for _, p in labelings[0]}) >= 2
+
+
+def test_pareto_share_never_falls_and_ends_at_one(spark):
+    from cumulus.plans import registry as R
+    rows = sorted(R.run("pareto_share", spark, "/root/testdata/sf0.01", fixture="B3").collect(),
+                  key=lambda r: (-r.total_deaths, r.state))
+    shares = [r.cum_percent for r in rows]
+    assert len(rows) == 25
+    assert all(a <= b for a, b in zip(shares, shares[1:]))
+    assert shares[-1] == 1.0
