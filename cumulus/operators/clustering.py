@@ -14,6 +14,7 @@ Fitting is MLlib's distributed iteration; only the k centres reach the driver.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -45,9 +46,11 @@ def risk_clusters(features: DataFrame, k: int = 4, seeds: Sequence[int] = (2020,
     k_eff = min(k, distinct)
     if k_eff < 2:
         return scaled.select("state", *inputs, F.lit(0).alias("prediction"))
+    # The seeds' fits are independent small jobs: submit them together.
+    with ThreadPoolExecutor(max_workers=len(seeds)) as pool:
+        models = list(pool.map(lambda s: KMeans(k=k_eff, seed=s, featuresCol="features").fit(scaled), seeds))
     best, cost = None, math.inf
-    for seed in seeds:
-        model = KMeans(k=k_eff, seed=seed, featuresCol="features").fit(scaled)
+    for model in models:  # first lowest cost wins, in seed order
         c = model.summary.trainingCost
         if c < cost - 1e-12:
             best, cost = model, c

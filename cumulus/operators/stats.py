@@ -9,7 +9,7 @@ partitioning (Welford-style streaming moments are not).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 _EXACT = "decimal(38,0)"
@@ -51,5 +51,4 @@ def lead_pairs(national: DataFrame, x: str, y: str, rows: int, time: str = "date
     The input has one row per calendar day, so the single ordered window holds
     at most one row per day.
     """
-    from pyspark.sql import Window
     return national.select(x, F.lead(y, rows).over(Window.orderBy(time)).alias(f"{y}_lagged"))

@@ -147,3 +147,12 @@ def test_sql_path_over_registered_views(spark, hand_path, hand_sd):
     assert sorted(map(tuple, sql.collect())) == [tuple(r) for r in M.daily_increase(hand_sd).collect()]
     peak = spark.sql("SELECT state, max(case_inc) AS m FROM hand_increments GROUP BY state").collect()
     assert {r.state: r.m for r in peak} == {"New York": 110, "Texas": 20, "Nowhere": 0}
+
+
+def test_other_column_layout(spark, hand_path, hand_sd):
+    from cumulus import ObsColumns
+    from cumulus.operators.stages import group_day
+    from cumulus.sources.observations import read_obs
+    renamed = read_obs(spark, hand_path).toDF("day", "site", "region", "a", "b")
+    sd = group_day(renamed, ObsColumns(time="day", unit="site", group="region", cases="a", deaths="b"))
+    assert sorted(map(tuple, sd.collect())) == sorted(map(tuple, hand_sd.collect()))
