@@ -3,6 +3,13 @@
 Each statement is: fixture CTEs (observation table built from the driver's
 tables) + shared stage CTEs (group-day sums, increments) + the query's own
 SQL.  Written independently of the Spark code, in plain set/window SQL.
+
+Rounding follows Spark's rule for DOUBLE: the value's shortest decimal form is
+rounded half-up (41/40 = 1.025 -> 1.03), whereas DuckDB's ROUND on a DOUBLE
+rounds the binary value (1.0249999... -> 1.02).  So every rounding here is
+``CAST(ROUND(CAST(CAST(x AS VARCHAR) AS DECIMAL(38, 18)), n) AS DOUBLE)``:
+DuckDB's DOUBLE -> VARCHAR cast gives the shortest form, and DECIMAL rounding
+is half away from zero like Spark's HALF_UP.
 """
 
 from __future__ import annotations
@@ -46,7 +53,7 @@ wi AS (SELECT date, state, total_cases, total_deaths,
        FROM sd WINDOW w AS (PARTITION BY state ORDER BY date)),
 inc AS (SELECT * FROM wi WHERE case_inc >= 0),
 snap AS (SELECT date, state, total_cases, total_deaths,
-                ROUND(CAST(total_deaths AS DOUBLE) / NULLIF(total_cases, 0), 4) AS death_rate
+                CAST(ROUND(CAST(CAST(CAST(total_deaths AS DOUBLE) / NULLIF(total_cases, 0) AS VARCHAR) AS DECIMAL(38, 18)), 4) AS DOUBLE) AS death_rate
          FROM sd WHERE date = (SELECT MAX(date) FROM sd)),
 coords AS (SELECT n_name AS state, CAST(25 + n_nationkey AS DOUBLE) AS lat,
                   CAST(-70 - 2 * n_nationkey AS DOUBLE) AS lon
@@ -76,14 +83,14 @@ _mart("bottom10_cases", "B2", "SELECT date, state, total_cases FROM snap ORDER B
 _mart("bottom10_deaths", "B2", "SELECT date, state, total_deaths FROM snap ORDER BY total_deaths ASC, state LIMIT 10")
 _mart("overall_and_group_rate", "B2", """
 SELECT 1 AS sort_sign, date, 'USA' AS state,
-       ROUND(CAST(SUM(total_deaths) AS DOUBLE) / NULLIF(SUM(total_cases), 0), 4) AS death_rate
+       CAST(ROUND(CAST(CAST(CAST(SUM(total_deaths) AS DOUBLE) / NULLIF(SUM(total_cases), 0) AS VARCHAR) AS DECIMAL(38, 18)), 4) AS DOUBLE) AS death_rate
 FROM snap GROUP BY date
 UNION ALL
 SELECT 2 AS sort_sign, date, state, death_rate FROM snap""")
 _mart("rolling_mean_7", "B2", f"""
 SELECT state, {DAY} AS date, rolling_avg FROM (
-  SELECT state, date, ROUND(AVG(case_inc) OVER (PARTITION BY state ORDER BY date
-                            ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 2) AS rolling_avg
+  SELECT state, date, CAST(ROUND(CAST(CAST(AVG(case_inc) OVER (PARTITION BY state ORDER BY date
+                            ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE) AS rolling_avg
   FROM inc)""")
 _mart("peak_increment", "B2", f"""
 SELECT state, {DAY} AS date, case_inc FROM (
@@ -93,7 +100,7 @@ WHERE rn = 1""")
 _mart("growth_rate", "B2", f"""
 SELECT state, {DAY} AS date,
        CASE WHEN y IS NULL OR y = 0 THEN 0.0
-            ELSE ROUND(CAST(case_inc - y AS DOUBLE) / y, 4) END AS growth_rate
+            ELSE CAST(ROUND(CAST(CAST(CAST(case_inc - y AS DOUBLE) / y AS VARCHAR) AS DECIMAL(38, 18)), 4) AS DOUBLE) END AS growth_rate
 FROM (SELECT state, date, case_inc, LAG(case_inc) OVER (PARTITION BY state ORDER BY date) AS y FROM inc)""")
 _mart("monthly_top10", "B2", """
 SELECT month, state, monthly_inc FROM (
@@ -108,19 +115,19 @@ SELECT day_of_week, avg_inc FROM (
   FROM inc GROUP BY 1, 2)
 ORDER BY day_num""")
 _mart("case_fatality_series", "B2", f"""
-SELECT state, {DAY} AS date, ROUND(CAST(total_deaths AS DOUBLE) / total_cases, 4) AS cfr
+SELECT state, {DAY} AS date, CAST(ROUND(CAST(CAST(CAST(total_deaths AS DOUBLE) / total_cases AS VARCHAR) AS DECIMAL(38, 18)), 4) AS DOUBLE) AS cfr
 FROM sd WHERE total_cases > 0""")
 _mart("doubling_time", "B2", f"""
 SELECT state, {DAY} AS date, doubling_time FROM (
-  SELECT state, date, CASE WHEN r > 0 THEN ROUND(ln(2) / ln(1 + r), 2) END AS doubling_time
+  SELECT state, date, CASE WHEN r > 0 THEN CAST(ROUND(CAST(CAST(ln(2) / ln(1 + r) AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE) END AS doubling_time
   FROM (SELECT state, date,
                CAST(total_cases - LAG(total_cases) OVER w AS DOUBLE) / NULLIF(LAG(total_cases) OVER w, 0) AS r
         FROM sd WINDOW w AS (PARTITION BY state ORDER BY date)))
 WHERE doubling_time IS NOT NULL""")
 _mart("pareto_share", "B2", """
 SELECT state, total_deaths,
-       ROUND(CAST(SUM(total_deaths) OVER (ORDER BY total_deaths DESC) AS DOUBLE)
-             / NULLIF((SELECT SUM(total_deaths) FROM snap), 0), 4) AS cum_percent
+       CAST(ROUND(CAST(CAST(CAST(SUM(total_deaths) OVER (ORDER BY total_deaths DESC) AS DOUBLE)
+             / NULLIF((SELECT SUM(total_deaths) FROM snap), 0) AS VARCHAR) AS DECIMAL(38, 18)), 4) AS DOUBLE) AS cum_percent
 FROM snap""")
 _mart("lagged_correlation", "B1", """
 SELECT CAST(n * sxy - sx * sy AS DOUBLE)
@@ -154,7 +161,7 @@ FROM (SELECT state, total_cases, total_deaths FROM sd WHERE date = (SELECT MAX(d
 JOIN (SELECT state, MAX(case_inc) AS max_daily_inc FROM inc GROUP BY state) m ON t.state = m.state""")
 _mart("reproduction_ratio", "B2", f"""
 SELECT state, {DAY} AS date, Rt FROM (
-  SELECT state, date, CASE WHEN l > 50 THEN ROUND(CAST(t AS DOUBLE) / l, 2) END AS Rt
+  SELECT state, date, CASE WHEN l > 50 THEN CAST(ROUND(CAST(CAST(CAST(t AS DOUBLE) / l AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE) END AS Rt
   FROM (SELECT state, date,
                SUM(case_inc) OVER (PARTITION BY state ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS t,
                SUM(case_inc) OVER (PARTITION BY state ORDER BY date ROWS BETWEEN 13 PRECEDING AND 7 PRECEDING) AS l
@@ -220,9 +227,9 @@ GROUP BY series""")
 _view("severity_bins", "B2", ("group_snapshot",), "__SEVERITY__")
 _view("top5_scaled", "B2", ("group_snapshot",), """
 SELECT measure, rank, state, value,
-       ROUND(value / CASE measure WHEN 'total_cases' THEN CAST(10000 AS DOUBLE)
+       CAST(ROUND(CAST(CAST(value / CASE measure WHEN 'total_cases' THEN CAST(10000 AS DOUBLE)
                                   WHEN 'total_deaths' THEN CAST(1 AS DOUBLE)
-                                  WHEN 'death_rate' THEN CAST(0.01 AS DOUBLE) END, 2) AS display_value
+                                  WHEN 'death_rate' THEN CAST(0.01 AS DOUBLE) END AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE) AS display_value
 FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY measure ORDER BY value DESC, state) AS INTEGER) AS rank
       FROM (SELECT state, 'total_cases' AS measure, CAST(total_cases AS DOUBLE) AS value FROM group_snapshot
             UNION ALL SELECT state, 'total_deaths', CAST(total_deaths AS DOUBLE) FROM group_snapshot
@@ -235,12 +242,12 @@ SELECT state, {_m}, MIN({_m}) OVER () AS color_min, MAX({_m}) OVER () AS color_m
 FROM (SELECT state, {_m} FROM {_src} WHERE state <> 'USA' ORDER BY {_m} DESC, state LIMIT 10)""")
 _view("rate_complement", "B2", ("overall_and_group_rate",), """
 SELECT 'fatal' AS category, p AS percent FROM pr
-UNION ALL SELECT 'non_fatal', ROUND(CAST(100 AS DOUBLE) - p, 2) FROM pr""",
-      "pr AS (SELECT ROUND(death_rate * 100, 2) AS p FROM overall_and_group_rate "
+UNION ALL SELECT 'non_fatal', CAST(ROUND(CAST(CAST(CAST(100 AS DOUBLE) - p AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE) FROM pr""",
+      "pr AS (SELECT CAST(ROUND(CAST(CAST(death_rate * 100 AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE) AS p FROM overall_and_group_rate "
       "WHERE state = 'USA' AND sort_sign = 1)")
 _view("latest_rolling_top20", "B2", ("rolling_mean_7",), """
 SELECT state, rolling_avg FROM (
-  SELECT trim(state) AS state, ROUND(SUM(rolling_avg), 2) AS rolling_avg FROM rolling_mean_7
+  SELECT trim(state) AS state, CAST(ROUND(CAST(CAST(SUM(rolling_avg) AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE) AS rolling_avg FROM rolling_mean_7
   WHERE date = (SELECT MAX(date) FROM rolling_mean_7) GROUP BY 1)
 ORDER BY rolling_avg DESC, state LIMIT 20""")
 _view("peak_top15", "B2", ("peak_increment",), """
@@ -249,7 +256,7 @@ _view("growth_extremes", "B2", ("growth_rate",), """
 SELECT 'bottom' AS side, state, growth_pct FROM (SELECT * FROM gl ORDER BY growth_pct ASC, state ASC LIMIT 10)
 UNION ALL
 SELECT 'top', state, growth_pct FROM (SELECT * FROM gl ORDER BY growth_pct DESC, state DESC LIMIT 10)""",
-      "gl AS (SELECT trim(state) AS state, ROUND(growth_rate * 100, 2) AS growth_pct FROM growth_rate "
+      "gl AS (SELECT trim(state) AS state, CAST(ROUND(CAST(CAST(growth_rate * 100 AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE) AS growth_pct FROM growth_rate "
       "WHERE date = (SELECT MAX(date) FROM growth_rate))")
 _view("month_frames", "B2", ("monthly_top10",), """
 SELECT CAST(DENSE_RANK() OVER (ORDER BY month) - 1 AS INTEGER) AS month_index, month,
@@ -259,8 +266,8 @@ FROM monthly_top10""")
 _view("weekday_monday_first", "B1", ("weekday_profile",), """
 SELECT CAST(CASE day_of_week WHEN 'Mon' THEN 0 WHEN 'Tue' THEN 1 WHEN 'Wed' THEN 2 WHEN 'Thu' THEN 3
                              WHEN 'Fri' THEN 4 WHEN 'Sat' THEN 5 WHEN 'Sun' THEN 6 END AS INTEGER) AS position,
-       day_of_week, ROUND(avg_inc, 2) AS avg_inc,
-       MAX(ROUND(avg_inc, 2)) OVER () * CAST(1.2 AS DOUBLE) AS axis_max
+       day_of_week, CAST(ROUND(CAST(CAST(avg_inc AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE) AS avg_inc,
+       MAX(CAST(ROUND(CAST(CAST(avg_inc AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE)) OVER () * CAST(1.2 AS DOUBLE) AS axis_max
 FROM weekday_profile WHERE day_of_week IN ('Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun')""")
 _view("cfr_wide", "B2", ("case_fatality_series",),
       f"SELECT date, {_pivot_cols('cfr', _CHOSEN5)} FROM case_fatality_series GROUP BY date")
@@ -271,11 +278,11 @@ _view("fastest_doubling_top15", "B2", ("doubling_time",), "SELECT * FROM fastest
 _view("spread_index", "B2", ("doubling_time",), """
 SELECT state, doubling_time, spread_index, MIN(spread_index) OVER () AS spread_min,
        MAX(spread_index) OVER () AS spread_max
-FROM (SELECT state, doubling_time, ROUND(CAST(100 AS DOUBLE) / NULLIF(doubling_time, 0), 2) AS spread_index
+FROM (SELECT state, doubling_time, CAST(ROUND(CAST(CAST(CAST(100 AS DOUBLE) / NULLIF(doubling_time, 0) AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE) AS spread_index
       FROM fastest)""", _FASTEST)
 _view("pareto_top20_cut", "B2", ("pareto_share",), """
 SELECT CAST(ROW_NUMBER() OVER o AS INTEGER) AS rank, state, total_deaths,
-       ROUND(cum_percent * 100, 2) AS percent, cum_percent >= 0.8 AS over_threshold,
+       CAST(ROUND(CAST(CAST(cum_percent * 100 AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE) AS percent, cum_percent >= 0.8 AS over_threshold,
        cum_percent >= 0.8 AND COALESCE(MAX(CAST(cum_percent >= 0.8 AS INTEGER)) OVER (o ROWS BETWEEN
            UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS first_crossing
 FROM (SELECT * FROM pareto_share ORDER BY total_deaths DESC, state LIMIT 20)
@@ -284,7 +291,7 @@ _view("correlation_band", "B1", ("lagged_correlation",), """
 SELECT r AS correlation, r * 100 AS gauge,
        CASE WHEN r * 100 IS NULL THEN NULL WHEN r * 100 <= 30 THEN 'low' WHEN r * 100 <= 70 THEN 'medium'
             ELSE 'high' END AS band
-FROM (SELECT ROUND(correlation, 4) AS r FROM lagged_correlation)""")
+FROM (SELECT CAST(ROUND(CAST(CAST(correlation AS VARCHAR) AS DECIMAL(38, 18)), 4) AS DOUBLE) AS r FROM lagged_correlation)""")
 _view("anomaly_points", "B2", ("zscore_anomaly",), """
 SELECT date, state, case_inc, z_score, COALESCE(z_score, 0) > 0.5 AS is_anomaly
 FROM zscore_anomaly WHERE state = 'NATION_0'""")
@@ -320,7 +327,7 @@ _view("rt_threshold", "B2", ("reproduction_ratio",), """
 SELECT state, date, rt, rt > 1.0 AS above_one,
        COALESCE((rt > 1.0) <> LAG(rt > 1.0) OVER (PARTITION BY state ORDER BY date), FALSE) AS crossing,
        rt = MAX(rt) OVER (PARTITION BY state) AS is_max
-FROM (SELECT state, date, ROUND(Rt, 3) AS rt FROM reproduction_ratio WHERE state = 'NATION_0')""")
+FROM (SELECT state, date, CAST(ROUND(CAST(CAST(Rt AS VARCHAR) AS DECIMAL(38, 18)), 3) AS DOUBLE) AS rt FROM reproduction_ratio WHERE state = 'NATION_0')""")
 _view("normalised_snapshot", "B2", ("group_snapshot",), """
 SELECT date, COALESCE(trim(state), 'Unknown') AS state, COALESCE(total_cases, 0) AS total_cases,
        COALESCE(total_deaths, 0) AS total_deaths, COALESCE(death_rate, 0) AS death_rate
