@@ -124,9 +124,15 @@ def monthly_top10(sd: DataFrame, n: int = 10) -> DataFrame:
     return top_per_group(monthly, "month", "monthly_inc", n).select("month", "state", "monthly_inc")
 
 
-def weekday_profile(sd: DataFrame) -> DataFrame:
-    """Mean increment per weekday over group-days, Sunday first."""
-    return (increments(sd)
+def weekday_profile(sd: DataFrame, national: bool = False) -> DataFrame:
+    """Mean increment per weekday over group-days, Sunday first.
+
+    ``national=True`` averages the national daily sums instead of group-days.
+    """
+    inc = increments(sd)
+    if national:
+        inc = inc.groupBy("date").agg(F.sum("case_inc").alias("case_inc"))
+    return (inc
             .groupBy(F.dayofweek("date").alias("day_num"), F.date_format("date", "E").alias("day_of_week"))
             .agg(F.avg("case_inc").alias("avg_inc"))
             .orderBy("day_num").select("day_of_week", "avg_inc"))
@@ -183,17 +189,29 @@ def zscore_anomaly(sd: DataFrame, rows: int = 14, calendar: bool = False) -> Dat
                                  trailing_zscore("case_inc", group_frame(-rows, -1, calendar)).alias("z_score"))
 
 
-def weighted_centroid(sd: DataFrame, coords: DataFrame) -> DataFrame:
+def weighted_centroid(sd: DataFrame, coords: DataFrame, with_coverage: bool = False) -> DataFrame:
     """Case-weighted mean position of the located groups per day.
 
     ``coords`` is a small (state, lat, lon) dimension; the caller proves its size
     (``broadcast_if_small`` or a bounded construction).  Groups without
-    coordinates drop out (inner join).
+    coordinates drop out (inner join).  ``with_coverage=True`` adds the share of
+    the day's cases that the located groups carry (left join, same pass).
     """
-    geo = sd.join(coords, "state")
+    if not with_coverage:
+        geo = sd.join(coords, "state")
+        return (geo.groupBy("date")
+                .agg(ratio(F.sum(F.col("total_cases") * F.col("lat")), F.sum("total_cases")).alias("center_lat"),
+                     ratio(F.sum(F.col("total_cases") * F.col("lon")), F.sum("total_cases")).alias("center_lon"))
+                .orderBy("date"))
+    geo = sd.join(coords, "state", "left")
+    located = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    w = F.when(located, F.col("total_cases"))
     return (geo.groupBy("date")
-            .agg(ratio(F.sum(F.col("total_cases") * F.col("lat")), F.sum("total_cases")).alias("center_lat"),
-                 ratio(F.sum(F.col("total_cases") * F.col("lon")), F.sum("total_cases")).alias("center_lon"))
+            .agg(ratio(F.sum(w * F.col("lat")), F.sum(w)).alias("center_lat"),
+                 ratio(F.sum(w * F.col("lon")), F.sum(w)).alias("center_lon"),
+                 ratio(F.sum(w), F.sum("total_cases")).alias("coverage"),
+                 F.count(w).alias("_located"))
+            .filter(F.col("_located") > 0).drop("_located")
             .orderBy("date"))
 
 

@@ -47,9 +47,46 @@ def thinned_tracks(points: DataFrame, time: str = "date", x: str = "center_lon",
     return grouped.select(*keys, F.aggregate("_pts", start, step, lambda acc: acc["kept"]).alias("kept"))
 
 
+def _thin_pandas(points: DataFrame, time: str, x: str, y: str, min_step: float,
+                 keys: Sequence[str]) -> DataFrame:
+    """The same fold per track in a pandas task: linear in the track length."""
+    import numpy as np
+
+    pts = points.filter(_valid(x) & _valid(y)).select(*keys, time, F.col(y).cast("double").alias(y),
+                                                       F.col(x).cast("double").alias(x))
+    schema = T.StructType([pts.schema[k] for k in keys] + [T.StructField("seq", T.IntegerType(), False)]
+                          + [pts.schema[time], pts.schema[y], pts.schema[x]])
+
+    def fold(pdf):
+        pdf = pdf.sort_values(time, kind="stable").reset_index(drop=True)
+        xs, ys = pdf[x].to_numpy(), pdf[y].to_numpy()
+        keep = np.zeros(len(pdf), dtype=bool)
+        lx = ly = None
+        for i in range(len(pdf)):
+            if lx is None or np.sqrt((xs[i] - lx) * (xs[i] - lx) + (ys[i] - ly) * (ys[i] - ly)) > min_step:
+                keep[i], lx, ly = True, xs[i], ys[i]
+        out = pdf[keep].reset_index(drop=True)
+        out.insert(len(keys), "seq", np.arange(len(out), dtype="int32"))
+        return out[[f.name for f in schema.fields]]
+
+    if keys:
+        return pts.groupBy(*keys).applyInPandas(fold, schema)
+    # A single track: group on a constant; the track is one row per day.
+    return (pts.withColumn("_track", F.lit(0)).groupBy("_track")
+            .applyInPandas(lambda pdf: fold(pdf.drop(columns="_track")), schema))
+
+
 def thin_trajectory(points: DataFrame, time: str = "date", x: str = "center_lon", y: str = "center_lat",
-                    min_step: float = 1.0, keys: Sequence[str] = ()) -> DataFrame:
-    """The kept points, one row each: (keys..., seq, time, y, x)."""
+                    min_step: float = 1.0, keys: Sequence[str] = (), method: str = "fold") -> DataFrame:
+    """The kept points, one row each: (keys..., seq, time, y, x).
+
+    ``method="fold"`` (default) runs JVM-side; its array grows by copying, so it
+    is quadratic in the track length.  ``method="pandas"`` runs the same rule in
+    one pandas task per track, linear in its length, for tracks of many
+    thousands of points.
+    """
+    if method == "pandas":
+        return _thin_pandas(points, time, x, y, min_step, keys)
     tracks = thinned_tracks(points, time, x, y, min_step, keys)
     return (tracks.select(*keys, F.posexplode("kept").alias("seq", "p"))
             .select(*keys, "seq", F.col("p.t").alias(time), F.col("p.y").alias(y), F.col("p.x").alias(x)))

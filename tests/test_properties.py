@@ -114,3 +114,31 @@ def test_pareto_share_never_falls_and_ends_at_one(spark):
     assert len(rows) >= 10   # groups reporting on the latest day
     assert all(a <= b for a, b in zip(shares, shares[1:]))
     assert shares[-1] == 1.0
+
+
+@pytest.mark.parametrize("seed", [8, 9])
+def test_pandas_thinning_equals_fold(spark, seed):
+    import datetime as dt
+    from cumulus.operators.tracks import thin_trajectory
+    rnd = random.Random(seed)
+    start = dt.date(2020, 1, 1)
+    pts = [(k, start + dt.timedelta(days=i), 30 + rnd.uniform(-3, 3), -80 + rnd.uniform(-3, 3))
+           for k in ("a", "b") for i in range(90)]
+    df = spark.createDataFrame(pts, "track string, date date, center_lat double, center_lon double")
+    fold = thin_trajectory(df, keys=["track"]).orderBy("track", "seq").collect()
+    pand = thin_trajectory(df, keys=["track"], method="pandas").orderBy("track", "seq").collect()
+    assert [tuple(r) for r in fold] == [tuple(r) for r in pand]
+    one = thin_trajectory(df.filter("track = 'a'").drop("track"), method="pandas").orderBy("seq").collect()
+    assert [tuple(r) for r in one] == [tuple(r)[1:] for r in fold if r.track == "a"]
+
+
+def test_national_weekday_and_centroid_coverage(spark, hand_sd):
+    from cumulus.sources.dimensions import reference_coords
+    w = {r.day_of_week: r.avg_inc for r in M.weekday_profile(hand_sd, national=True).collect()}
+    assert w["Sun"] == pytest.approx((10 + 110) / 2)
+    c = {r.date: r for r in M.weighted_centroid(hand_sd, reference_coords(spark), with_coverage=True).collect()}
+    plain = {r.date: r for r in M.weighted_centroid(hand_sd, reference_coords(spark)).collect()}
+    assert set(c) == set(plain)
+    for d, r in c.items():
+        assert (r.center_lat, r.center_lon) == (plain[d].center_lat, plain[d].center_lon)
+        assert r.coverage is None or r.coverage == 1.0   # Nowhere has no cases, so located share is 1
