@@ -32,8 +32,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _SIZE_CHECKS: dict[tuple, bool] = {}
 
 
-def _small(df: DataFrame, key: tuple, max_rows: int = BROADCAST_DIM_ROWS) -> bool:
+def _small(df: DataFrame, key: tuple, max_rows: int | None = None) -> bool:
     """Bounded count of the dimension, remembered per application and table path."""
+    max_rows = BROADCAST_DIM_ROWS if max_rows is None else max_rows
     k = (df.sparkSession.sparkContext.applicationId, max_rows) + key
     if k not in _SIZE_CHECKS:
         _SIZE_CHECKS[k] = df.limit(max_rows + 1).count() <= max_rows
