@@ -156,3 +156,19 @@ def test_other_column_layout(spark, hand_path, hand_sd):
     renamed = read_obs(spark, hand_path).toDF("day", "site", "region", "a", "b")
     sd = group_day(renamed, ObsColumns(time="day", unit="site", group="region", cases="a", deaths="b"))
     assert sorted(map(tuple, sd.collect())) == sorted(map(tuple, hand_sd.collect()))
+
+
+def test_bins_are_right_closed_and_contiguous(spark):
+    from pyspark.sql import functions as F
+    from cumulus.functions.scalar import bin_index
+    from cumulus.operators.views import SEVERITY_BINS, severity_bins
+    edges, labels = SEVERITY_BINS["total_cases"]
+    df = spark.createDataFrame([(float(v),) for v in [0, 30000, 30000.5, 30001, 60000, 200000, 200001]], "v double")
+    got = [r.b for r in df.select(bin_index("v", edges).alias("b")).collect()]
+    assert got == [0, 0, 1, 1, 1, 3, 4]          # no gap between 30,000 and 30,001
+    assert df.select(bin_index(F.lit(None).cast("double"), edges).alias("b")).first().b is None
+    snap = spark.createDataFrame([("a", 1000, 1000, 0.03), ("b", 1001, 5001, 0.0300001)],
+                                 "state string, total_cases bigint, total_deaths bigint, death_rate double")
+    out = {(r.state, r.measure): r.label for r in severity_bins(snap).collect()}
+    assert out[("a", "total_deaths")] == "<1k" and out[("b", "total_deaths")] == "5k-10k"
+    assert out[("a", "death_rate")] == "<3%" and out[("b", "death_rate")] == "3%-5%"
