@@ -7,8 +7,8 @@ instead:
 
 1. collapse peers: one row per distinct value with its summed mass;
 2. range-partition the distinct values in descending order into P slices;
-3. total per slice (P rows) -> exclusive prefix over slices (P rows, broadcast:
-   bounded by P, not by the data);
+3. total per slice (P rows) -> exclusive prefix over slices and grand total
+   (P rows, broadcast: bounded by P, not by the data);
 4. running sum inside each slice + the slice's prefix = cum_sum per value;
 5. join back to the rows on the value (the distinct-value side is unique).
 """
@@ -32,15 +32,15 @@ def running_share_desc(df: DataFrame, value: str, slices: int | None = None,
         "_run", F.sum("_mass").over(Window.partitionBy("_slice").orderBy(F.col(value).desc())
                                     .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     per_slice = ranged.groupBy("_slice").agg(F.sum("_mass").alias("_slice_mass"))
+    # P rows: exclusive prefix over the slices and the grand total, in one pass.
     offsets = per_slice.select(
         "_slice",
         F.coalesce(F.sum("_slice_mass").over(Window.orderBy("_slice")
                                              .rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_offset"))
-    cum = (inside.join(F.broadcast(offsets), "_slice")
-           .select(value, (F.col("_offset") + F.col("_run")).alias("cum_sum")))
-    total = df.agg(F.sum(value)).scalar()
-    share = ratio("cum_sum", total)
+                   F.lit(0)).alias("_offset"),
+        F.sum("_slice_mass").over(Window.partitionBy()).alias("_total"))
+    share = ratio(F.col("_offset") + F.col("_run"), "_total")
     if digits is not None:
         share = F.round(share, digits)
-    return df.join(cum, value).withColumn(out, share).drop("cum_sum")
+    cum = inside.join(F.broadcast(offsets), "_slice").select(value, share.alias(out))
+    return df.join(cum, value)
