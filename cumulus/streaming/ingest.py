@@ -37,19 +37,23 @@ def read_obs_stream(spark: SparkSession, in_dir: str, sep: str = "\t",
                       F.col("deaths").cast("bigint").alias("deaths"))
 
 
-def _write_partials(out_dir: str):
+def _write_partials(out_dir: str, files_per_batch: int):
     def write(batch: DataFrame, batch_id: int) -> None:
+        # One row per (date, group) seen in the batch: small, so a few files suffice
+        # instead of one per shuffle partition.
         partial = (batch.groupBy("date", "state")
                    .agg(F.sum("cases").alias("total_cases"), F.sum("deaths").alias("total_deaths")))
-        partial.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
+        (partial.coalesce(files_per_batch).write.mode("overwrite")
+         .parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}"))
     return write
 
 
 def start_group_day_ingest(spark: SparkSession, in_dir: str, partials_dir: str, checkpoint: str,
-                           available_now: bool = False, every: str | None = None) -> StreamingQuery:
+                           available_now: bool = False, every: str | None = None,
+                           files_per_batch: int = 4) -> StreamingQuery:
     """Start the stream; ``checkpoint`` must be a shared folder on a cluster."""
     writer = (read_obs_stream(spark, in_dir).writeStream
-              .foreachBatch(_write_partials(partials_dir))
+              .foreachBatch(_write_partials(partials_dir, files_per_batch))
               .option("checkpointLocation", checkpoint))
     if available_now:
         writer = writer.trigger(availableNow=True)
