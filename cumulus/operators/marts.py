@@ -185,8 +185,8 @@ def lagged_correlation(sd: DataFrame, lead_rows: int = 10, calendar: bool = Fals
 
 def zscore_anomaly(sd: DataFrame, rows: int = 14, calendar: bool = False) -> DataFrame:
     """Z-score of each increment against the ``rows`` preceding surviving rows (or days)."""
-    return increments(sd).select("date", "state", "case_inc",
-                                 trailing_zscore("case_inc", group_frame(-rows, -1, calendar)).alias("z_score"))
+    inc = increments(sd).select("date", "state", "case_inc")
+    return trailing_zscore(inc, "case_inc", group_frame(-rows, -1, calendar))
 
 
 def weighted_centroid(sd: DataFrame, coords: DataFrame, with_coverage: bool = False) -> DataFrame:
@@ -240,8 +240,10 @@ def risk_features(sd: DataFrame, as_of=None) -> DataFrame:
 def reproduction_ratio(sd: DataFrame, rows: int = 7, floor: int = 50, calendar: bool = False) -> DataFrame:
     """Sum of the last ``rows`` increments over the ``rows`` before them, 2 dp,
     only where the earlier sum exceeds ``floor``."""
-    this = F.sum("case_inc").over(group_frame(-(rows - 1), 0, calendar))
-    last = F.sum("case_inc").over(group_frame(-(2 * rows - 1), -rows, calendar))
-    rt = F.when(last > floor, F.round(ratio(this, last), 2))
-    return (increments(sd).select("state", day_string("date").alias("date"), rt.alias("Rt"))
+    sums = increments(sd).select(
+        "state", "date",
+        F.sum("case_inc").over(group_frame(-(rows - 1), 0, calendar)).alias("_this"),
+        F.sum("case_inc").over(group_frame(-(2 * rows - 1), -rows, calendar)).alias("_last"))
+    rt = F.when(F.col("_last") > floor, F.round(ratio("_this", "_last"), 2))
+    return (sums.select("state", day_string("date").alias("date"), rt.alias("Rt"))
             .filter(F.col("Rt").isNotNull()))

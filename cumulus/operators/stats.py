@@ -32,19 +32,33 @@ def pearson(x: str, y: str) -> Column:
     return F.try_divide(_dbl(num), F.sqrt(_dbl(dx) * _dbl(dy)))
 
 
-def trailing_zscore(x: str, frame: WindowSpec) -> Column:
-    """(x - mean) / sample-stddev of x over ``frame`` (e.g. the 14 rows before the current one).
+def trailing_moments(x: str, frame: WindowSpec, prefix: str = "_m") -> list[Column]:
+    """Exact window moments of x over ``frame``: count, sum, sum of squares (DECIMAL(38,0))."""
+    sq = F.col(x).cast(_EXACT) * F.col(x).cast(_EXACT)
+    return [F.count(x).over(frame).alias(f"{prefix}_n"), F.sum(x).over(frame).alias(f"{prefix}_s"),
+            F.sum(sq).over(frame).alias(f"{prefix}_q")]
 
-    NULL when the frame has fewer than two values or the deviation is 0.
+
+def zscore_from_moments(x: str, prefix: str = "_m") -> Column:
+    """(x - mean) / sample-stddev from the moment columns of :func:`trailing_moments`.
+
+    NULL when fewer than two values were in the frame or the deviation is 0.
     """
-    n = F.count(x).over(frame)
-    s = F.sum(x).over(frame)
-    q = F.sum(F.col(x).cast(_EXACT) * F.col(x).cast(_EXACT)).over(frame)
+    n, s, q = F.col(f"{prefix}_n"), F.col(f"{prefix}_s"), F.col(f"{prefix}_q")
     mean = F.try_divide(_dbl(s), _dbl(n))
     var = F.try_divide(_dbl(n.cast(_EXACT) * q - s.cast(_EXACT) * s.cast(_EXACT)), _dbl(n * (n - 1)))
     return F.try_divide(_dbl(F.col(x)) - mean, F.sqrt(var))
 
 
+def trailing_zscore(df: DataFrame, x: str, frame: WindowSpec, out: str = "z_score") -> DataFrame:
+    """df + ``out``: z-score of x against ``frame`` (e.g. the 14 rows before the current one).
+
+    The three window moments are computed once, then combined in a projection.
+    """
+    with_m = df.select("*", *trailing_moments(x, frame))
+    return with_m.withColumn(out, zscore_from_moments(x)).drop("_m_n", "_m_s", "_m_q")
+
+
 def lead_pairs(national: DataFrame, x: str, y: str, rows: int, time: str = "date") -> DataFrame:
     """Pair x at row t with y at row t + ``rows`` in time order.
 
