@@ -23,13 +23,14 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cumulus.constants import KMEANS_K, KMEANS_SEED, TIER_NAMES
+
 FEATURES = ("total_cases", "total_deaths", "max_daily_inc")
 
-# The four tier names of the chart, lowest risk first.
-TIER_NAMES = ("low", "medium", "high", "very high")
 
 
-def risk_clusters(features: DataFrame, k: int = 4, seeds: Sequence[int] = (2020, 2021, 2022),
+def risk_clusters(features: DataFrame, k: int = KMEANS_K,
+                  seeds: Sequence[int] = (KMEANS_SEED, KMEANS_SEED + 1, KMEANS_SEED + 2),
                   layout_partitions: int = 4, inputs: Sequence[str] = FEATURES,
                   log_scale: bool = False) -> DataFrame:
     fcols = [f"_f{i}" for i in range(len(inputs))]

@@ -16,6 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cumulus.constants import (
+    DAY0_THRESHOLD, LEAD_ROWS, OVERALL_LABEL, ROLLING_ROWS, RT_FLOOR, RT_ROWS, TOP_N, TRAILING_ROWS,
+)
 from cumulus.functions.scalar import day_string, doubling_days, month_key, ratio
 from cumulus.operators.pareto import running_share_desc
 from cumulus.operators.ranking import top_n, top_per_group
@@ -60,29 +63,29 @@ def group_snapshot(sd: DataFrame, as_of=None, ordered: bool = True) -> DataFrame
     return out.orderBy(F.col("total_cases").desc(), "state") if ordered else out
 
 
-def top10_cases(sd: DataFrame, as_of=None, n: int = 10) -> DataFrame:
+def top10_cases(sd: DataFrame, as_of=None, n: int = TOP_N) -> DataFrame:
     """R4."""
     return top_n(group_snapshot(sd, as_of, False).select("date", "state", "total_cases"), "total_cases", n)
 
 
-def top10_deaths(sd: DataFrame, as_of=None, n: int = 10) -> DataFrame:
+def top10_deaths(sd: DataFrame, as_of=None, n: int = TOP_N) -> DataFrame:
     """R5."""
     return top_n(group_snapshot(sd, as_of, False).select("date", "state", "total_deaths"), "total_deaths", n)
 
 
-def bottom10_cases(sd: DataFrame, as_of=None, n: int = 10) -> DataFrame:
+def bottom10_cases(sd: DataFrame, as_of=None, n: int = TOP_N) -> DataFrame:
     """R6."""
     return top_n(group_snapshot(sd, as_of, False).select("date", "state", "total_cases"),
                  "total_cases", n, ascending=True)
 
 
-def bottom10_deaths(sd: DataFrame, as_of=None, n: int = 10) -> DataFrame:
+def bottom10_deaths(sd: DataFrame, as_of=None, n: int = TOP_N) -> DataFrame:
     """R7."""
     return top_n(group_snapshot(sd, as_of, False).select("date", "state", "total_deaths"),
                  "total_deaths", n, ascending=True)
 
 
-def overall_and_group_rate(sd: DataFrame, as_of=None, overall_label: str = "USA") -> DataFrame:
+def overall_and_group_rate(sd: DataFrame, as_of=None, overall_label: str = OVERALL_LABEL) -> DataFrame:
     """One overall row (sort_sign 1) followed by every group's rate (sort_sign 2)."""
     snap = group_snapshot(sd, as_of, False)
     overall = snap.groupBy("date").agg(
@@ -95,7 +98,7 @@ def overall_and_group_rate(sd: DataFrame, as_of=None, overall_label: str = "USA"
 
 # ---- R9-R13: windows over the surviving increments -------------------------------
 
-def rolling_mean_7(sd: DataFrame, rows: int = 7, calendar: bool = False) -> DataFrame:
+def rolling_mean_7(sd: DataFrame, rows: int = ROLLING_ROWS, calendar: bool = False) -> DataFrame:
     """Mean of the last <= ``rows`` surviving increments (or days), 2 dp."""
     w = group_frame(-(rows - 1), 0, calendar)
     return increments(sd).select("state", day_string("date").alias("date"),
@@ -117,7 +120,7 @@ def growth_rate(sd: DataFrame) -> DataFrame:
     return inc.select("state", day_string("date").alias("date"), g.alias("growth_rate"))
 
 
-def monthly_top10(sd: DataFrame, n: int = 10) -> DataFrame:
+def monthly_top10(sd: DataFrame, n: int = TOP_N) -> DataFrame:
     """Increments summed per (month, group); the n largest per month."""
     monthly = (increments(sd).groupBy(month_key("date").alias("month"), "state")
                .agg(F.sum("case_inc").cast("bigint").alias("monthly_inc")))
@@ -166,7 +169,7 @@ def pareto_share(sd: DataFrame, as_of=None) -> DataFrame:
 
 # ---- R17-R22 -------------------------------------------------------------------------
 
-def lagged_correlation(sd: DataFrame, lead_rows: int = 10, calendar: bool = False) -> DataFrame:
+def lagged_correlation(sd: DataFrame, lead_rows: int = LEAD_ROWS, calendar: bool = False) -> DataFrame:
     """Pearson r between national increments at row t and death increments at row t + lead.
 
     ``calendar=True`` pairs day d with day d + lead instead (an equi-join on the
@@ -183,7 +186,7 @@ def lagged_correlation(sd: DataFrame, lead_rows: int = 10, calendar: bool = Fals
     return pairs.agg(pearson("nat_case_inc", "nat_death_inc_lagged").alias("correlation"))
 
 
-def zscore_anomaly(sd: DataFrame, rows: int = 14, calendar: bool = False) -> DataFrame:
+def zscore_anomaly(sd: DataFrame, rows: int = TRAILING_ROWS, calendar: bool = False) -> DataFrame:
     """Z-score of each increment against the ``rows`` preceding surviving rows (or days)."""
     inc = increments(sd).select("date", "state", "case_inc")
     return trailing_zscore(inc, "case_inc", group_frame(-rows, -1, calendar))
@@ -215,7 +218,7 @@ def weighted_centroid(sd: DataFrame, coords: DataFrame, with_coverage: bool = Fa
             .orderBy("date"))
 
 
-def day0_alignment(sd: DataFrame, threshold: int = 100) -> DataFrame:
+def day0_alignment(sd: DataFrame, threshold: int = DAY0_THRESHOLD) -> DataFrame:
     """Surviving rows on or after each group's first day with cumulative >= threshold.
 
     Day 0 comes from the same per-group window as the increments (no join).
@@ -237,7 +240,7 @@ def risk_features(sd: DataFrame, as_of=None) -> DataFrame:
     return totals.join(peak, "state").select("state", "total_cases", "total_deaths", "max_daily_inc")
 
 
-def reproduction_ratio(sd: DataFrame, rows: int = 7, floor: int = 50, calendar: bool = False) -> DataFrame:
+def reproduction_ratio(sd: DataFrame, rows: int = RT_ROWS, floor: int = RT_FLOOR, calendar: bool = False) -> DataFrame:
     """Sum of the last ``rows`` increments over the ``rows`` before them, 2 dp,
     only where the earlier sum exceeds ``floor``."""
     sums = increments(sd).select(

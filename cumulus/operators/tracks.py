@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cumulus.constants import MIN_STEP_DEGREES
+
 
 def _valid(c: str) -> Column:
     # Null and 0.0 coordinates are not positions (the chart skipped them as falsy).
@@ -24,7 +26,7 @@ def _valid(c: str) -> Column:
 
 
 def thinned_tracks(points: DataFrame, time: str = "date", x: str = "center_lon", y: str = "center_lat",
-                   min_step: float = 1.0, keys: Sequence[str] = ()) -> DataFrame:
+                   min_step: float = MIN_STEP_DEGREES, keys: Sequence[str] = ()) -> DataFrame:
     """-> one row per track key with ``kept``: array<struct<time, y, x>> in time order."""
     pts = points.filter(_valid(x) & _valid(y))
     elem = F.struct(F.col(time).alias("t"), F.col(y).cast("double").alias("y"),
@@ -77,7 +79,7 @@ def _thin_pandas(points: DataFrame, time: str, x: str, y: str, min_step: float,
 
 
 def thin_trajectory(points: DataFrame, time: str = "date", x: str = "center_lon", y: str = "center_lat",
-                    min_step: float = 1.0, keys: Sequence[str] = (), method: str = "fold") -> DataFrame:
+                    min_step: float = MIN_STEP_DEGREES, keys: Sequence[str] = (), method: str = "fold") -> DataFrame:
     """The kept points, one row each: (keys..., seq, time, y, x).
 
     ``method="fold"`` (default) runs JVM-side; its array grows by copying, so it
@@ -93,7 +95,7 @@ def thin_trajectory(points: DataFrame, time: str = "date", x: str = "center_lon"
 
 
 def trajectory_segments(points: DataFrame, time: str = "date", x: str = "center_lon", y: str = "center_lat",
-                        min_step: float = 1.0, keys: Sequence[str] = ()) -> DataFrame:
+                        min_step: float = MIN_STEP_DEGREES, keys: Sequence[str] = ()) -> DataFrame:
     """Consecutive kept points as (from -> to) segments."""
     tracks = thinned_tracks(points, time, x, y, min_step, keys)
     pairs = F.transform(F.sequence(F.lit(1), F.size("kept") - 1),

@@ -13,26 +13,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cumulus.constants import (
+    ANOMALY_Z, AXIS_HEADROOM, CORRELATION_BANDS, FASTEST_TOP_N, OVERALL_LABEL, PARETO_CUT, PARETO_TOP_N,
+    PEAK_TOP_N, ROLLING_TOP_N, RT_LEVEL, SEVERITY_BINS, TOP5_DIVISORS, TOP5_N, TOP_N, WEEK_ORDER,
+)
 from cumulus.functions.scalar import bin_index, pct, ratio
 from cumulus.operators.ranking import top_n, top_per_group
 
-# Severity bins of the snapshot map, as (upper edges, labels);
-# bins are right-closed and contiguous.
-SEVERITY_BINS = {
-    "total_cases": ([30000, 60000, 100000, 200000], ["<3w", "3w-6w", "6w-10w", "10w-20w", ">20w"]),
-    "total_deaths": ([1000, 5000, 10000, 20000], ["<1k", "1k-5k", "5k-10k", "10k-20k", ">20k"]),
-    "death_rate": ([0.03, 0.05, 0.07, 0.09], ["<3%", "3%-5%", "5%-7%", "7%-9%", ">9%"]),
-}
-
-# Display divisors of the top-5 panels (cases in 10k, deaths as is, rate in %).
-TOP5_DIVISORS = {"total_cases": 10000.0, "total_deaths": 1.0, "death_rate": 0.01}
-
-# Weekday names in Monday-first order.
-WEEK_ORDER = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
-
-# Gauge colour bands of the correlation dial (upper edge on a 0-100 scale).
-CORRELATION_BANDS = ([30, 70], ["low", "medium", "high"])
-
 DEFAULT_CHOSEN = ["NATION_0", "NATION_1", "NATION_2", "NATION_3", "NATION_4"]
 DEFAULT_CHOSEN_6 = DEFAULT_CHOSEN + ["NATION_5"]
 
@@ -74,7 +61,7 @@ def severity_bins(snapshot: DataFrame, bins: Mapping = SEVERITY_BINS) -> DataFra
 
 
 # V3 -----------------------------------------------------------------------------------
-def top5_scaled(snapshot: DataFrame, n: int = 5, divisors: Mapping = TOP5_DIVISORS) -> DataFrame:
+def top5_scaled(snapshot: DataFrame, n: int = TOP5_N, divisors: Mapping = TOP5_DIVISORS) -> DataFrame:
     long = _unpivot(snapshot, ["state"], list(divisors), cast="double")
     ranked = top_per_group(long.filter(F.col("value").isNotNull()), "measure", "value", n, rank_col="rank")
     div = F.lit(None).cast("double")
@@ -85,7 +72,7 @@ def top5_scaled(snapshot: DataFrame, n: int = 5, divisors: Mapping = TOP5_DIVISO
 
 
 # V4 -----------------------------------------------------------------------------------
-def top10_ex_total(top: DataFrame, measure: str, n: int = 10, overall_label: str = "USA") -> DataFrame:
+def top10_ex_total(top: DataFrame, measure: str, n: int = TOP_N, overall_label: str = OVERALL_LABEL) -> DataFrame:
     """Drop the overall row, keep the n largest, add the colour-scale bounds."""
     best = top_n(top.filter(F.col("state") != overall_label).select("state", measure), measure, n)
     everything = Window.partitionBy()  # at most n rows, already in one partition after the limit
@@ -94,7 +81,7 @@ def top10_ex_total(top: DataFrame, measure: str, n: int = 10, overall_label: str
 
 
 # V5 -----------------------------------------------------------------------------------
-def rate_complement(rates: DataFrame, overall_label: str = "USA") -> DataFrame:
+def rate_complement(rates: DataFrame, overall_label: str = OVERALL_LABEL) -> DataFrame:
     """National death rate in % and its complement, as two rows."""
     p = pct("death_rate")
     one = rates.filter((F.col("state") == overall_label) & (F.col("sort_sign") == 1)).select(p.alias("p"))
@@ -104,19 +91,19 @@ def rate_complement(rates: DataFrame, overall_label: str = "USA") -> DataFrame:
 
 
 # V6 -----------------------------------------------------------------------------------
-def latest_rolling_top20(rolling: DataFrame, n: int = 20) -> DataFrame:
+def latest_rolling_top20(rolling: DataFrame, n: int = ROLLING_TOP_N) -> DataFrame:
     last = _latest(rolling).select(F.trim("state").alias("state"), "rolling_avg")
     summed = last.groupBy("state").agg(F.round(F.sum("rolling_avg"), 2).alias("rolling_avg"))
     return top_n(summed, "rolling_avg", n)
 
 
 # V7 -----------------------------------------------------------------------------------
-def peak_top15(peaks: DataFrame, n: int = 15) -> DataFrame:
+def peak_top15(peaks: DataFrame, n: int = PEAK_TOP_N) -> DataFrame:
     return top_n(peaks.select(F.trim("state").alias("state"), "date", "case_inc"), "case_inc", n)
 
 
 # V8 -----------------------------------------------------------------------------------
-def growth_extremes(growth: DataFrame, n: int = 10) -> DataFrame:
+def growth_extremes(growth: DataFrame, n: int = TOP_N) -> DataFrame:
     """Latest day: the n lowest and the n highest growth rates in % (overlap kept)."""
     last = _latest(growth).select(F.trim("state").alias("state"), pct("growth_rate").alias("growth_pct"))
     low = last.orderBy(F.col("growth_pct").asc(), F.col("state").asc()).limit(n)
@@ -139,7 +126,7 @@ def month_frames(monthly: DataFrame) -> DataFrame:
 
 
 # V10 ----------------------------------------------------------------------------------
-def weekday_monday_first(profile: DataFrame, headroom: float = 1.2) -> DataFrame:
+def weekday_monday_first(profile: DataFrame, headroom: float = AXIS_HEADROOM) -> DataFrame:
     names = F.array(*[F.lit(d) for d in WEEK_ORDER])
     kept = profile.filter(F.col("day_of_week").isin(WEEK_ORDER)).select(
         (F.array_position(names, F.col("day_of_week")) - 1).cast("int").alias("position"),
@@ -154,7 +141,7 @@ def cfr_wide(cfr: DataFrame, chosen: Sequence[str] = DEFAULT_CHOSEN) -> DataFram
 
 
 # V12, V13 -----------------------------------------------------------------------------
-def fastest_doubling_top15(doubling: DataFrame, n: int = 15) -> DataFrame:
+def fastest_doubling_top15(doubling: DataFrame, n: int = FASTEST_TOP_N) -> DataFrame:
     last = _latest(doubling).filter(F.col("doubling_time").isNotNull())
     return top_n(last.select("state", "date", "doubling_time"), "doubling_time", n, ascending=True)
 
@@ -168,7 +155,7 @@ def spread_index(fastest: DataFrame) -> DataFrame:
 
 
 # V14 ----------------------------------------------------------------------------------
-def pareto_top20_cut(pareto: DataFrame, n: int = 20, cut: float = 0.8) -> DataFrame:
+def pareto_top20_cut(pareto: DataFrame, n: int = PARETO_TOP_N, cut: float = PARETO_CUT) -> DataFrame:
     top = top_n(pareto, "total_deaths", n)
     order = Window.orderBy(F.col("total_deaths").desc(), "state")  # over at most n rows
     over = F.col("cum_percent") >= F.lit(cut)
@@ -188,7 +175,7 @@ def correlation_band(corr: DataFrame, bands=CORRELATION_BANDS) -> DataFrame:
 
 
 # V16 ----------------------------------------------------------------------------------
-def anomaly_points(z: DataFrame, state: str = "NATION_0", threshold: float = 0.5) -> DataFrame:
+def anomaly_points(z: DataFrame, state: str = "NATION_0", threshold: float = ANOMALY_Z) -> DataFrame:
     return (z.filter(F.col("state") == state)
             .select("date", "state", "case_inc", "z_score",
                     (F.coalesce(F.col("z_score"), F.lit(0.0)) > F.lit(threshold)).alias("is_anomaly")))
@@ -216,7 +203,7 @@ def day0_endpoints(aligned: DataFrame, chosen: Sequence[str] = DEFAULT_CHOSEN_6)
 
 
 # V21 ----------------------------------------------------------------------------------
-def rt_threshold(rt: DataFrame, state: str = "NATION_0", level: float = 1.0) -> DataFrame:
+def rt_threshold(rt: DataFrame, state: str = "NATION_0", level: float = RT_LEVEL) -> DataFrame:
     w = Window.partitionBy("state").orderBy("date")
     one = rt.filter(F.col("state") == state).select("state", "date", F.round("Rt", 3).alias("rt"))
     above = F.col("rt") > F.lit(level)

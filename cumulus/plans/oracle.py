@@ -203,7 +203,7 @@ def _pivot_cols(value: str, chosen) -> str:
 
 
 def _severity_sql() -> str:
-    from cumulus.operators.views import SEVERITY_BINS
+    from cumulus.constants import SEVERITY_BINS
     selects = []
     for m, (edges, labels) in SEVERITY_BINS.items():
         v = f"CAST({m} AS DOUBLE)"

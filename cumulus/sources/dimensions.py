@@ -6,21 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cumulus.constants import REFERENCE_COORDS
+
 COORD_SCHEMA = T.StructType([
     T.StructField("state", T.StringType(), False),
     T.StructField("lat", T.DoubleType(), False),
     T.StructField("lon", T.DoubleType(), False),
 ])
 
-# The twelve located groups of the original job (name, lat, lon).
-REFERENCE_COORDS = [
-    ("New York", 40.71, -74.00), ("California", 36.77, -119.41), ("Illinois", 40.63, -89.39),
-    ("Texas", 31.96, -99.90), ("Florida", 27.66, -81.51), ("Massachusetts", 42.40, -71.38),
-    ("New Jersey", 40.05, -74.40), ("Pennsylvania", 41.20, -77.19), ("Washington", 47.75, -120.74),
-    ("Georgia", 32.16, -82.90), ("Michigan", 44.31, -85.60), ("Louisiana", 31.16, -91.87),
-]
-
-
 def reference_coords(spark: SparkSession) -> DataFrame:
     """The original 12-row coordinate table, for real per-state input."""
     return spark.createDataFrame(REFERENCE_COORDS, COORD_SCHEMA)
