@@ -19,3 +19,16 @@ def test_run_tsv_writes_every_mart(spark, hand_path, tmp_path):
 def test_checkpoint_dir_prefers_session_setting(spark):
     from cumulus.session import checkpoint_dir
     assert checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
+
+
+def test_run_fixture_parquet_output_matches_queries(spark, tmp_path):
+    from cumulus.plans import registry as R
+    from cumulus.plans.pipeline import run_fixture
+    from conftest import SF_SMALL
+    written = run_fixture(spark, SF_SMALL, str(tmp_path / "out"), fixture="B2", fmt="parquet",
+                          names=["rolling_mean_7", "weighted_centroid", "pareto_share"])
+    assert set(written) == {"rolling_mean_7", "weighted_centroid", "pareto_share"}
+    for name, path in written.items():
+        got = sorted(map(tuple, spark.read.parquet(path).collect()))
+        want = sorted(map(tuple, R.run(name, spark, SF_SMALL).collect()))
+        assert got == want, name
