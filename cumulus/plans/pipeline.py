@@ -98,12 +98,16 @@ def main(argv=None) -> None:
     ap.add_argument("--fixture", default="B3")
     ap.add_argument("--out", required=True)
     ap.add_argument("--format", default="json")
+    ap.add_argument("--names", help="comma-separated marts to write (default: all)")
+    ap.add_argument("--parallelism", type=int, default=8, help="marts submitted at once")
     a = ap.parse_args(argv)
     spark = build_session()
+    kw = {"fmt": a.format, "parallelism": a.parallelism,
+          "names": a.names.split(",") if a.names else None}
     if a.tsv:
-        written = run_tsv(spark, a.tsv, a.out, fmt=a.format)
+        written = run_tsv(spark, a.tsv, a.out, **kw)
     else:
-        written = run_fixture(spark, a.sf_dir, a.out, a.fixture, fmt=a.format)
+        written = run_fixture(spark, a.sf_dir, a.out, a.fixture, **kw)
     for name, path in written.items():
         print(name, path)
 

@@ -32,3 +32,12 @@ def test_run_fixture_parquet_output_matches_queries(spark, tmp_path):
         got = sorted(map(tuple, spark.read.parquet(path).collect()))
         want = sorted(map(tuple, R.run(name, spark, SF_SMALL).collect()))
         assert got == want, name
+
+
+def test_cli_writes_selected_marts(spark, hand_path, tmp_path, capsys):
+    from cumulus.plans.pipeline import main
+    out = tmp_path / "cli"
+    main(["--tsv", hand_path, "--out", str(out), "--names", "daily_totals,peak_increment", "--parallelism", "2"])
+    printed = capsys.readouterr().out.split()
+    assert "daily_totals" in printed and "peak_increment" in printed
+    assert sorted(p.name for p in out.iterdir()) == ["daily_totals", "peak_increment"]
