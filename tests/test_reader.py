@@ -38,3 +38,13 @@ def test_json_sink_keeps_nulls(spark, tmp_path):
     assert '"z_score":null' in text
     back = read_result(spark, out, "state string, z_score double").orderBy("state").collect()
     assert back[0].z_score is None and back[1].z_score == 1.5
+
+
+def test_missing_field_is_a_bad_record(spark, tmp_path):
+    from cumulus.sources.observations import read_obs
+    p = tmp_path / "short.tsv"
+    p.write_text("2020-03-01\tKings\tNew York\t10\t0\n2020-03-02\tKings\tNew York\t12\n")
+    with pytest.raises(Exception):
+        read_obs(spark, str(p)).collect()
+    rows = read_obs(spark, str(p), mode="PERMISSIVE").orderBy("date").collect()
+    assert [r.deaths for r in rows] == [0, None]
