@@ -26,3 +26,21 @@ def register_views(spark: SparkSession, obs: DataFrame | None = None, sd: DataFr
     with_increments(sd).createOrReplaceTempView(f"{prefix}increments_all")
     increments(sd).createOrReplaceTempView(f"{prefix}increments")
     return [v for v in (["obs"] if obs is not None else []) + ["group_day", "increments_all", "increments"]]
+
+
+def register_marts(spark: SparkSession, sd: DataFrame, coords: DataFrame | None = None,
+                   prefix: str = "", include_clusters: bool = False) -> list[str]:
+    """Register every mart over the group-day table ``sd`` as a temp view (lazy).
+
+    SQL written against result views keeps working, e.g.
+    ``SELECT date, state, total_cases FROM group_snapshot ORDER BY total_cases DESC LIMIT 10``.
+    k-means fits eagerly, so ``risk_clusters`` is only registered on request.
+    """
+    from cumulus.plans.pipeline import mart_builders
+    names = []
+    for name, build in mart_builders(coords).items():
+        if name == "risk_clusters" and not include_clusters:
+            continue
+        build(sd).createOrReplaceTempView(f"{prefix}{name}")
+        names.append(f"{prefix}{name}")
+    return names

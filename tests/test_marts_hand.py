@@ -172,3 +172,20 @@ def test_bins_are_right_closed_and_contiguous(spark):
     out = {(r.state, r.measure): r.label for r in severity_bins(snap).collect()}
     assert out[("a", "total_deaths")] == "<1k" and out[("b", "total_deaths")] == "5k-10k"
     assert out[("a", "death_rate")] == "<3%" and out[("b", "death_rate")] == "3%-5%"
+
+
+def test_sql_over_registered_marts(spark, hand_sd):
+    from cumulus.plans.sql import register_marts
+    from cumulus.sources.dimensions import reference_coords
+    names = register_marts(spark, hand_sd, reference_coords(spark), prefix="m_")
+    assert "m_rolling_mean_7" in names and "m_weighted_centroid" in names and "m_risk_clusters" not in names
+    top = spark.sql("SELECT date, state, total_cases FROM m_group_snapshot "
+                    "ORDER BY total_cases DESC, state LIMIT 2").collect()
+    assert [tuple(r) for r in top] == [tuple(r) for r in M.top10_cases(hand_sd, n=2).collect()]
+    rate = spark.sql("""SELECT 1 AS sort_sign, date, 'USA' AS state,
+                               round(try_divide(sum(total_deaths), sum(total_cases)), 4) AS death_rate
+                        FROM m_group_snapshot GROUP BY date""").collect()
+    assert rate[0].death_rate == 0.0407
+    inc = spark.sql("""SELECT t1.date, t1.cases - t2.cases AS case_increase, t1.deaths - t2.deaths AS death_increase
+                       FROM m_daily_totals t1 JOIN m_daily_totals t2 ON t1.date = date_add(t2.date, 1)""")
+    assert sorted(map(tuple, inc.collect())) == [tuple(r) for r in M.daily_increase(hand_sd).collect()]
