@@ -50,8 +50,8 @@ def mart_builders(coords: DataFrame | None) -> dict[str, Callable[[DataFrame], D
 
 
 def materialise_group_day(spark: SparkSession, obs: DataFrame) -> DataFrame:
-    """group_day(obs) written once under the shared checkpoint folder and read back."""
-    return stage_table(spark, group_day(obs), "group-day")
+    """group_day(obs) written once under the shared checkpoint folder, bucketed by group, and read back."""
+    return stage_table(spark, group_day(obs), "group-day", bucket_by="state")
 
 
 def run_all(spark: SparkSession, obs: DataFrame, out_dir: str, coords: DataFrame | None = None,

@@ -62,7 +62,7 @@ def staged_group_day(spark: SparkSession, sf_dir: str, fixture: str, reuse: bool
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), fixture)
     if reuse and key in _STAGES:
         return _STAGES[key]
-    sd = stage_table(spark, group_day_of(spark, sf_dir, fixture), "group-day")
+    sd = stage_table(spark, group_day_of(spark, sf_dir, fixture), "group-day", bucket_by="state")
     if reuse:
         _STAGES[key] = sd
     return sd

@@ -10,19 +10,34 @@ from pyspark.sql import DataFrame, SparkSession
 from cumulus.session import checkpoint_dir
 
 
-def stage_table(spark: SparkSession, df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+def stage_table(spark: SparkSession, df: DataFrame, label: str = "stage",
+                bucket_by: str | None = None, buckets: int | None = None) -> DataFrame:
+    """Write ``df`` under the shared checkpoint folder and read it back.
 
     This cuts the lineage: every later plan (scalar subqueries, self-joins,
     several marts) scans the small written table, and a lost executor re-reads
-    it rather than re-running the scan of the source tables.  Without a shared
-    folder on a cluster, fall back to a disk-backed cache (recomputed from
-    lineage if lost).
+    it rather than re-running the scan of the source tables.
+
+    With ``bucket_by`` the stage is an external table bucketed on that column
+    (one file per bucket: rows are hash-partitioned the same way first), so
+    windows and aggregations keyed by it run without an exchange.  If the
+    catalog cannot take the table, a plain Parquet stage is written instead.
+    Without a shared folder on a cluster, fall back to a disk-backed cache
+    (recomputed from lineage if lost).
     """
     try:
         base = checkpoint_dir(spark)
     except RuntimeError:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
-    path = f"{base.rstrip('/')}/cumulus-{label}-{uuid.uuid4().hex}"
+    name = f"cumulus_{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}"
+    if bucket_by:
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        try:
+            (df.repartition(n, bucket_by).write.mode("overwrite")
+             .bucketBy(n, bucket_by).sortBy(bucket_by).option("path", path).saveAsTable(name))
+            return spark.table(name)
+        except Exception:  # noqa: BLE001 - no usable catalog: plain files below
+            path = path + "_files"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

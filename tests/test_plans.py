@@ -15,9 +15,21 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["rolling_mean_7", "zscore_anomaly", "reproduction_ratio", "growth_rate"])
-def test_group_windows_share_one_exchange(spark, name):
+WINDOW_MARTS = ["rolling_mean_7", "zscore_anomaly", "reproduction_ratio", "growth_rate"]
+
+
+@pytest.mark.parametrize("name", WINDOW_MARTS)
+def test_group_windows_need_no_exchange_on_the_bucketed_stage(spark, name):
     plan = plan_of(R.run(name, spark, SF_SMALL))
+    assert "Exchange" not in plan
+    assert plan.count("Sort [state") == 1
+
+
+@pytest.mark.parametrize("name", WINDOW_MARTS)
+def test_group_windows_share_one_exchange_on_a_plain_stage(spark, name):
+    from cumulus.plans.stage import stage_table
+    sd = stage_table(spark, R.group_day_of(spark, SF_SMALL, "B2"), "plain")
+    plan = plan_of(R.REGISTRY[name][1](spark, SF_SMALL, sd))
     assert plan.count("Exchange hashpartitioning(state") == 1
     assert plan.count("Exchange") == 1
 
