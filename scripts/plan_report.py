@@ -15,11 +15,11 @@ NOTES = {
         "bounded size check, so it is broadcast and joined map-side. The fact rows are partially aggregated "
         "before the first exchange; the running-sum window per unit reuses one exchange on (county, state); the "
         "group-day sum is partial and final around an exchange on (date, state).",
-    "rolling_mean_7": "Above the materialised stage: one exchange on the group and one sort feed both the lag "
-        "window (increments) and the 7-row frame.",
-    "zscore_anomaly": "Same single exchange; the 14-row trailing moments are exact DECIMAL sums in the window.",
-    "peak_increment": "Top-1 per group: WindowGroupLimit below the window, so each task keeps one row per group "
-        "before the final ranking.",
+    "rolling_mean_7": "Above the materialised stage, which is bucketed by group: no exchange at all. One sort "
+        "within buckets feeds both the lag window (increments) and the 7-row frame.",
+    "zscore_anomaly": "Same: no exchange, one sort. The three 14-row trailing moments are exact DECIMAL window sums, "
+        "computed once and combined in a projection.",
+    "peak_increment": "Top-1 per group on the bucketed stage: WindowGroupLimit below the ranking window, no exchange.",
     "pareto_share": "Distributed running share: collapse peers per value, range-partition by value, "
         "window per slice, P-row offsets table broadcast, join back on value (AQE broadcast at runtime).",
     "weighted_centroid": "The coordinate dimension was size-checked (bounded count) and broadcast; one "
