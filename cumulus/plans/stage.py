@@ -36,7 +36,12 @@ def stage_table(spark: SparkSession, df: DataFrame, label: str = "stage",
         try:
             (df.repartition(n, bucket_by).write.mode("overwrite")
              .bucketBy(n, bucket_by).sortBy(bucket_by).option("path", path).saveAsTable(name))
-            return spark.table(name)
+            staged = spark.table(name)
+            # The resolved relation keeps the files and the bucket layout; the catalog
+            # entry of this external table is only needed to read it back, so no table
+            # is left behind in a shared catalog.
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            return staged
         except Exception:  # noqa: BLE001 - no usable catalog: plain files below
             path = path + "_files"
     df.write.mode("overwrite").parquet(path)

@@ -77,3 +77,12 @@ def test_fixture_join_orders_agree(spark, monkeypatch, fixture):
     monkeypatch.setattr(FX, "BROADCAST_DIM_ROWS", 0)   # force the pre-aggregate-then-join branch
     large = sorted(map(tuple, FX.FIXTURES[fixture](spark, SF_SMALL).collect()))
     assert small == large and len(small) > 100
+
+
+def test_bucketed_stage_leaves_no_catalog_table(spark):
+    from cumulus.plans.stage import stage_table
+    before = {t.name for t in spark.catalog.listTables()}
+    sd = stage_table(spark, R.group_day_of(spark, SF_SMALL, "B1"), "probe", bucket_by="state")
+    assert {t.name for t in spark.catalog.listTables()} == before
+    plan = plan_of(R.REGISTRY["rolling_mean_7"][1](spark, SF_SMALL, sd))
+    assert "Exchange" not in plan
