@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cumulus.session import checkpoint_dir
 
+MAX_STAGE_BUCKETS = 512
+
 
 def stage_table(spark: SparkSession, df: DataFrame, label: str = "stage",
                 bucket_by: str | None = None, buckets: int | None = None) -> DataFrame:
@@ -32,7 +34,9 @@ def stage_table(spark: SparkSession, df: DataFrame, label: str = "stage",
     name = f"cumulus_{label.replace('-', '_')}_{uuid.uuid4().hex}"
     path = f"{base.rstrip('/')}/{name}"
     if bucket_by:
-        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # One row per (group, day) at most: a few hundred buckets keep windows parallel
+        # without thousands of tiny files when the cluster's shuffle partitions are large.
+        n = buckets or max(1, min(MAX_STAGE_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
         try:
             (df.repartition(n, bucket_by).write.mode("overwrite")
              .bucketBy(n, bucket_by).sortBy(bucket_by).option("path", path).saveAsTable(name))
