@@ -142,3 +142,28 @@ def test_national_weekday_and_centroid_coverage(spark, hand_sd):
     for d, r in c.items():
         assert (r.center_lat, r.center_lon) == (plain[d].center_lat, plain[d].center_lon)
         assert r.coverage is None or r.coverage == 1.0   # Nowhere has no cases, so located share is 1
+
+
+def test_correlation_and_zscore_against_numpy(spark):
+    import numpy as np
+    from cumulus.operators.stages import increments
+    sd = group_day_of(spark, "/root/testdata/sf0.01", "B1")
+    inc = increments(sd)
+    nat = sorted((r.date, r.c, r.d) for r in inc.groupBy("date").agg(
+        F.sum("case_inc").alias("c"), F.sum("death_inc").alias("d")).collect())
+    x = np.array([c for _, c, _ in nat][:-10], dtype=float)
+    y = np.array([d for _, _, d in nat][10:], dtype=float)
+    r = M.lagged_correlation(sd).first().correlation
+    assert r == pytest.approx(np.corrcoef(x, y)[0, 1], rel=1e-12)
+
+    got = {(z.state, z.date): z.z_score for z in M.zscore_anomaly(sd).collect()}
+    for state in {s for s, _ in got}:
+        rows = sorted((r.date, r.case_inc) for r in inc.filter(F.col("state") == state).collect())
+        for i, (d, v) in enumerate(rows):
+            base = np.array([b for _, b in rows[max(0, i - 14):i]], dtype=float)
+            sd_ = base.std(ddof=1) if len(base) >= 2 else 0.0
+            want = None if len(base) < 2 or sd_ == 0 else (v - base.mean()) / sd_
+            if want is None:
+                assert got[(state, d)] is None
+            else:
+                assert got[(state, d)] == pytest.approx(want, rel=1e-9)
