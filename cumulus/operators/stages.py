@@ -50,7 +50,14 @@ def _diff(col: str, w: WindowSpec):
 
 
 def with_increments(sd: DataFrame) -> DataFrame:
-    """group-day -> + case_inc, death_inc (no rows dropped)."""
+    """group-day -> + case_inc, death_inc (no rows dropped).
+
+    A table that already carries both columns (a stage materialised with them,
+    see ``plans.stage``) is returned as is, so the window runs once per stage
+    instead of once per mart.
+    """
+    if {"case_inc", "death_inc"} <= set(sd.columns):
+        return sd
     w = group_window()
     return sd.select("*", _diff("total_cases", w).alias("case_inc"),
                      _diff("total_deaths", w).alias("death_inc"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cumulus.operators import marts as M
 from cumulus.operators.clustering import risk_clusters
-from cumulus.operators.stages import group_day
+from cumulus.operators.stages import group_day, with_increments
 from cumulus.plans.stage import stage_table
 from cumulus.sources.dimensions import broadcast_if_small, nation_coords, reference_coords
 from cumulus.sources.fixtures import FIXTURES
@@ -50,8 +50,9 @@ def mart_builders(coords: DataFrame | None) -> dict[str, Callable[[DataFrame], D
 
 
 def materialise_group_day(spark: SparkSession, obs: DataFrame) -> DataFrame:
-    """group_day(obs) written once under the shared checkpoint folder, bucketed by group, and read back."""
-    return stage_table(spark, group_day(obs), "group-day", bucket_by="state")
+    """group_day(obs) with its increments, written once under the shared checkpoint folder,
+    bucketed by group, and read back."""
+    return stage_table(spark, with_increments(group_day(obs)), "group-day", bucket_by="state")
 
 
 def run_all(spark: SparkSession, obs: DataFrame, out_dir: str, coords: DataFrame | None = None,

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cumulus.operators import marts as M
 from cumulus.operators.clustering import risk_clusters
-from cumulus.operators.stages import group_day
+from cumulus.operators.stages import group_day, with_increments
 from cumulus.plans.stage import stage_table
 from cumulus.sources.dimensions import broadcast_if_small, nation_coords
 from cumulus.sources.fixtures import FIXTURES
@@ -58,11 +58,12 @@ _STAGES: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def staged_group_day(spark: SparkSession, sf_dir: str, fixture: str, reuse: bool = True) -> DataFrame:
-    """The fixture's group-day table, written once per application and read back."""
+    """The fixture's group-day table with its increments, written once per application and read back."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), fixture)
     if reuse and key in _STAGES:
         return _STAGES[key]
-    sd = stage_table(spark, group_day_of(spark, sf_dir, fixture), "group-day", bucket_by="state")
+    sd = stage_table(spark, with_increments(group_day_of(spark, sf_dir, fixture)), "group-day",
+                     bucket_by="state")
     if reuse:
         _STAGES[key] = sd
     return sd

@@ -47,7 +47,10 @@ def test_no_python_in_any_registered_plan(spark):
 
 def test_group_filter_reaches_the_scan(spark):
     plan = plan_of(R.run("anomaly_points", spark, SF_SMALL))
-    assert "PushedFilters: [IsNotNull(state), EqualTo(state,NATION_0)]" in plan
+    pushed = plan[plan.index("PushedFilters"):].split("]")[0]
+    assert "EqualTo(state,NATION_0)" in pushed          # the group filter
+    assert "GreaterThanOrEqual(case_inc,0)" in pushed   # the correction filter, on the staged increments
+    assert "SelectedBucketsCount: 1 out of" in plan      # bucket pruning on the group
 
 
 def test_fixture_scans_prune_columns(spark):
