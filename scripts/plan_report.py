@@ -11,12 +11,14 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 NOTES = {
-    "group-day stage (B3 fixture)": "The only stage that reads the source tables. The dimension (supplier ⋈ nation) passed the "
+    "group-day stage (B3 fixture)": "The only stage that reads the source tables (shown here without the "
+        "increments and the bucketed write that the registry and pipeline add on top). The dimension (supplier ⋈ nation) passed the "
         "bounded size check, so it is broadcast and joined map-side. The fact rows are partially aggregated "
         "before the first exchange; the running-sum window per unit reuses one exchange on (county, state); the "
         "group-day sum is partial and final around an exchange on (date, state).",
-    "rolling_mean_7": "Above the materialised stage, which is bucketed by group: no exchange at all. One sort "
-        "within buckets feeds both the lag window (increments) and the 7-row frame.",
+    "rolling_mean_7": "The materialised stage is bucketed by group and already carries the increments (the lag "
+        "window ran once, when the stage was written). So: the correction filter is pushed into the scan, no "
+        "exchange, and one sort within buckets feeds the 7-row frame.",
     "zscore_anomaly": "Same: no exchange, one sort. The three 14-row trailing moments are exact DECIMAL window sums, "
         "computed once and combined in a projection.",
     "peak_increment": "Top-1 per group on the bucketed stage: WindowGroupLimit below the ranking window, no exchange.",
