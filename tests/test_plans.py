@@ -89,3 +89,17 @@ def test_bucketed_stage_leaves_no_catalog_table(spark):
     assert {t.name for t in spark.catalog.listTables()} == before
     plan = plan_of(R.REGISTRY["rolling_mean_7"][1](spark, SF_SMALL, sd))
     assert "Exchange" not in plan
+
+
+def test_stage_falls_back_to_plain_files_without_a_catalog(spark, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+    from cumulus.plans.stage import stage_table
+
+    def refuse(self, *a, **k):
+        raise RuntimeError("no catalog")
+
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", refuse)
+    sd = stage_table(spark, R.group_day_of(spark, SF_SMALL, "B1"), "fallback", bucket_by="state")
+    want = sorted(map(tuple, R.group_day_of(spark, SF_SMALL, "B1").collect()))
+    assert sorted(map(tuple, sd.collect())) == want
+    assert "Bucketed: true" not in plan_of(sd)
