@@ -20,6 +20,8 @@ from cumulus.constants import (
 from cumulus.functions.scalar import bin_index, pct, ratio
 from cumulus.operators.ranking import top_n, top_per_group
 
+# The original charts named five (six for the day-0 curves) groups; on the test
+# fixtures the chosen groups default to the first nations.  Pass others as needed.
 DEFAULT_CHOSEN = ["NATION_0", "NATION_1", "NATION_2", "NATION_3", "NATION_4"]
 DEFAULT_CHOSEN_6 = DEFAULT_CHOSEN + ["NATION_5"]
 

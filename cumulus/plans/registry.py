@@ -131,3 +131,22 @@ def _register_views() -> None:
 
 
 _register_views()
+
+
+def main(argv=None) -> None:
+    """python -m cumulus.plans.registry <query> [tables folder] [fixture] -- show a query's rows."""
+    import argparse
+
+    from cumulus.session import build_session
+    ap = argparse.ArgumentParser(description="run one registered query")
+    ap.add_argument("name", choices=sorted(REGISTRY))
+    ap.add_argument("sf_dir", nargs="?", default="/root/testdata/sf0.01")
+    ap.add_argument("fixture", nargs="?", default=None)
+    ap.add_argument("--rows", type=int, default=20)
+    a = ap.parse_args(argv)
+    spark = build_session()
+    run(a.name, spark, a.sf_dir, fixture=a.fixture).show(a.rows, truncate=False)
+
+
+if __name__ == "__main__":
+    main()
