@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cumulus.llm import bpe, packing
+from cumulus.llm import bpe, chosen_path, packing
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: The only special token of byte_bpe_50k.json (its ids are those of the rank file otherwise).
@@ -24,12 +24,17 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.components(table(spark, sf_dir, "documents"), words=2, similarity=0.8)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), RANKS, specials=SPECIALS)
 
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_minhash_dedup": op2_minhash_dedup,
     "op3_packing": op3_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
