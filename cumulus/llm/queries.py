@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cumulus.llm import bpe, chosen_path, packing
+from cumulus.llm import bpe, chosen_path, embedding_links, packing
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: The only special token of byte_bpe_50k.json (its ids are those of the rank file otherwise).
@@ -32,9 +32,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), RANKS, specials=SPECIALS)
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links.links(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_packing": op3_packing,
+    "op4_embedding_dedup": op4_embedding_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
