@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cumulus.llm import bpe, chosen_path, embedding_links, packing
+from cumulus.llm import bpe, chosen_path, embedding_links, packing, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: The only special token of byte_bpe_50k.json (its ids are those of the rank file otherwise).
@@ -36,10 +36,25 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links.links(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_packing": op3_packing,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op8_warc": op8_warc,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+                  sha256(coalesce(html, '')) AS payload_digest FROM pages),
+     q AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM q
+""",
 }
-ORACLE_SQL: dict[str, str] = {}
