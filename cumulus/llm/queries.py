@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cumulus.llm import bpe, chosen_path, embedding_links, packing, warc
+from cumulus.llm import bpe, chosen_path, embedding_links, packing, warc, wrappers
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: The only special token of byte_bpe_50k.json (its ids are those of the rank file otherwise).
@@ -40,12 +40,17 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_packing": op3_packing,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op8_warc": op8_warc,
+    "op9_main_text": op9_main_text,
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_warc": """
