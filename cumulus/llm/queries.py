@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cumulus.llm import bpe, chosen_path, embedding_links, packing, warc, wrappers
+from cumulus.llm import bpe, chosen_path, embedding_links, packing, quality, warc, wrappers
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: The only special token of byte_bpe_50k.json (its ids are those of the rank file otherwise).
@@ -36,6 +36,12 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links.links(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                      "kept")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -49,6 +55,7 @@ QUERIES = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_packing": op3_packing,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_quality_rules": op5_quality_rules,
     "op8_warc": op8_warc,
     "op9_main_text": op9_main_text,
 }
