@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cumulus.llm import bpe, chosen_path, embedding_links, packing, quality, warc, wrappers
+from cumulus.llm import bpe, chosen_path, embedding_links, packing, pii, quality, warc, wrappers
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: The only special token of byte_bpe_50k.json (its ids are those of the rank file otherwise).
 SPECIALS = {"<|endoftext|>": 50256}
+#: Key of the registered pseudonyms; a real corpus gets a secret one.
+KEY = "cumulus"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +52,10 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.main_text(table(spark, sf_dir, "pages"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -58,6 +64,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op8_warc": op8_warc,
     "op9_main_text": op9_main_text,
+    "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_warc": """
