@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cumulus.llm import bpe, chosen_path, embedding_links, packing, pii, quality, warc, wrappers
+from cumulus.llm import bpe, chosen_path, embedding_links, packing, pii, quality, toxicity, warc, wrappers
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: The only special token of byte_bpe_50k.json (its ids are those of the rank file otherwise).
@@ -44,6 +44,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "kept")
 
 
+def categories(labels: DataFrame) -> DataFrame:
+    """The categories of the chain: junk first, whose probability the toxic one then sees."""
+    return labels.select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), categories(table(spark, sf_dir, "labels")),
+                          ["junk", "toxic"], "toxic", keep=["doc_id"])
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -62,6 +72,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
     "op9_main_text": op9_main_text,
     "op10_pii": op10_pii,
