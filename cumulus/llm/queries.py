@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cumulus.llm import bpe, chosen_path, embedding_links, packing, pii, quality, toxicity, warc, wrappers
+from cumulus.llm import bpe, chosen_path, embedding_links, packing, pii, preference, quality, toxicity, warc, wrappers
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: The only special token of byte_bpe_50k.json (its ids are those of the rank file otherwise).
@@ -44,6 +44,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "kept")
 
 
+def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = preference.format_pairs(preference.pairs_of(table(spark, sf_dir, "conversations")))
+    spans = [F.concat_ws(" ", F.transform(f"{c}_spans", lambda s: F.concat_ws("+", s["start"], s["length"]))).alias(f"{c}_spans")
+             for c in ("chosen", "rejected")]
+    return out.select("conv_id", "rejected_id", "prompt_turns", "prompt", "chosen", "rejected", *spans)
+
+
 def categories(labels: DataFrame) -> DataFrame:
     """The categories of the chain: junk first, whose probability the toxic one then sees."""
     return labels.select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic")
@@ -72,12 +79,42 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_preference": op6_preference,
     "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
     "op9_main_text": op9_main_text,
     "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op6_preference": """
+WITH t AS (SELECT conv_id AS id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+                  ORDER BY (turn IS NULL), turn, coalesce(role, ''), coalesce(text, '')) AS turns
+           FROM (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)
+           WHERE conv_id IS NOT NULL GROUP BY conv_id),
+     w AS (SELECT id, turns, lead(id) OVER o AS rejected_id, lead(turns) OVER o AS other,
+                  list_filter(turns, lambda x: x.role = 'assistant') AS answers,
+                  list_max(list_filter(list_transform(turns, lambda x, i: CASE WHEN x.role = 'assistant' THEN i ELSE 0 END),
+                                       lambda i: i > 0)) AS place
+           FROM t WINDOW o AS (PARTITION BY floor(id / 64.0), turns[1] ORDER BY id)),
+     p AS (SELECT id, rejected_id, turns AS c, coalesce(other, list_transform(turns, lambda x, i: {
+                    'role': x.role, 'text': CASE WHEN i = place THEN CASE WHEN x.text = answers[1].text THEN '' ELSE answers[1].text END
+                                            ELSE x.text END})) AS r FROM w),
+     k AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i] <> r[i])) - 1,
+                              least(len(c), len(r))) AS n FROM p),
+     s AS (SELECT id, rejected_id, n, c[:n] AS p, c[n + 1:] AS c, r[n + 1:] AS r FROM k),
+     e AS (SELECT *, list_transform(p, lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)) AS pt,
+                  list_transform(c, lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)) AS ct,
+                  list_transform(r, lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)) AS rt FROM s)
+SELECT id AS conv_id, rejected_id, n AS prompt_turns, array_to_string(pt, '') AS prompt, array_to_string(ct, '') AS chosen,
+       array_to_string(rt, '') AS rejected,
+       coalesce(array_to_string(list_filter(list_transform(c, lambda x, i: CASE WHEN x.role = 'assistant' THEN
+         (length(array_to_string(ct[:i - 1], '')) + 5 + length(x.role)) || '+' || (length(x.text) + 8) END),
+         lambda z: z IS NOT NULL), ' '), '') AS chosen_spans,
+       coalesce(array_to_string(list_filter(list_transform(r, lambda x, i: CASE WHEN x.role = 'assistant' THEN
+         (length(array_to_string(rt[:i - 1], '')) + 5 + length(x.role)) || '+' || (length(x.text) + 8) END),
+         lambda z: z IS NOT NULL), ' '), '') AS rejected_spans
+FROM e
+""",
     "op8_warc": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
                   sha256(coalesce(html, '')) AS payload_digest FROM pages),
