@@ -86,6 +86,22 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_minhash_dedup": r"""
+WITH RECURSIVE
+     t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     s AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)),
+                  lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM t),
+     e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+     p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id
+           GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+     l AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+     r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+     c AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id,
+       doc_id = least(doc_id, coalesce(b, doc_id)) AS kept
+FROM s LEFT JOIN c ON s.doc_id = c.a
+""",
     "op6_preference": """
 WITH t AS (SELECT conv_id AS id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
                   ORDER BY (turn IS NULL), turn, coalesce(role, ''), coalesce(text, '')) AS turns
