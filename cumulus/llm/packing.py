@@ -66,26 +66,28 @@ def plan_windows(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int
     sequences = 0
     for length in sorted((n for n in counts if n > 0), reverse=True):
         left, rank = counts[length], 0
-        per_window = window // length
         while left:
             capacity = tree.tightest(length)
             if capacity is None:
-                windows = max(1, left // per_window)     # each of these takes its fill of this length
+                windows = max(1, left // (window // length))
                 runs.setdefault(window, []).append((sequences, sequences + windows))
                 tree.add(window, windows)
                 sequences += windows
                 capacity = window
+            # A window stays the tightest until it is full, so it takes its fill at once.
             a, b = runs[capacity].pop()
-            take = min(left, b - a)
+            pieces = min(left, capacity // length)
+            take = min(left // pieces, b - a)
             if take < b - a:
                 runs[capacity].append((a + take, b))
             tree.add(capacity, -take)
-            plan.append((length, rank, a, window - capacity))
-            rest = capacity - length
+            for k in range(pieces):
+                plan.append((length, rank, a, window - capacity + k * length))
+                rank += take
+            rest = capacity - pieces * length
             runs.setdefault(rest, []).append((a, a + take))
             tree.add(rest, take)
-            rank += take
-            left -= take
+            left -= take * pieces
     return plan
 
 
