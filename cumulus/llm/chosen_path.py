@@ -276,7 +276,8 @@ def _in_blocks(members: DataFrame, similarity: float) -> DataFrame:
         x, y = frame[frame["block"] == i], frame[frame["block"] == j]
         found = []
         bits = [f"s{k}" for k in range(COORDINATES // 64)]
-        sx, sy = x[bits].to_numpy(), y[bits].to_numpy()
+        # Unsigned, as numpy counts the bits of a number's absolute value.
+        sx, sy = (f[bits].to_numpy().astype(np.uint64) for f in (x, y))
         nx, ny = x["n"].to_numpy(), y["n"].to_numpy()
         cx, cy, ix, iy = (f[c].to_numpy() for c in ("component", "id") for f in (x, y))
         for k in range(len(x)):
