@@ -8,7 +8,7 @@ a pair of the wanted similarity keeps about one common branch at any depth.  Whi
 minwise tokens a node asks for depends on the node alone.  The walk to the first
 useful depth needs no data of others; then nodes are counted.  Documents of small
 nodes are compared exhaustively (by 128-bit sketches, which lose a pair at the
-threshold with a chance of under 1e-7); in large nodes everyone is compared with
+threshold with a chance of about 1e-6); in large nodes everyone is compared with
 the node's smallest id, and nodes that still hold several components branch on.
 Nodes that stay large to the last depth are compared in blocks, spread over tasks.
 Every pair that passes is confirmed on the full sets.  Pairs whose documents are
@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from cumulus.llm.staging import connected_components, staged
 
 COORDINATES = 128        # minwise tokens of a signature; each also gives one bit of the sketch
-START_DEPTH = 3          # branchings before nodes are counted first
-LAST_DEPTH = 5           # nodes that are large even here are compared in blocks
+DEPTHS = (3, 5, 8)       # branchings after which nodes are counted; those large to the last are compared in blocks
 SMALL_NODE = 32          # documents that a node may hold to be compared exhaustively
 BLOCK = 1024             # documents of a block in such nodes
+FILTER_BITS = 23         # two to this power: bits of the filter of ids whose texts are needed
 RECALL = 1 - 1e-7        # chance to find a pair exactly at the threshold
 PART_BYTES = 1 << 21
 
@@ -190,18 +190,43 @@ def _sketches(reps: DataFrame) -> DataFrame:
     return reps.select("id", "n", "sig").mapInArrow(run, "id long, n long, " + ", ".join(f"{c} long" for c in longs))
 
 
-def _nodes(reps: DataFrame, trees: int, depth: int, similarity: float) -> DataFrame:
-    """(node, id) of all branches at ``depth``."""
+def _nodes(active: DataFrame, trees: int, depth: int, similarity: float) -> DataFrame:
+    """(node, id, component) of all branches at ``depth``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u4").reshape(-1, COORDINATES)
-            for k in range(0, len(ids), 4096):
-                row, node = paths(rows[k:k + 4096], trees, depth, similarity)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(ids[k:k + 4096][row])], names=["node", "id"])
+            ids, components = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            rows = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<u4").reshape(-1, COORDINATES)
+            for k in range(0, len(ids), 1024):
+                row, node = paths(rows[k:k + 1024], trees, depth, similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(ids[k:k + 1024][row]),
+                                                  pa.array(components[k:k + 1024][row])], names=["node", "id", "component"])
+
+    return active.select("id", "component", "sig").mapInArrow(run, "node long, id long, component long")
+
+
+def _needed_texts(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``base`` with one of the ids.
+
+    A bit filter of a fixed size (one bit per residue of the id) goes to every task
+    first, so that few texts are shuffled that the join then drops.
+    """
+    bits = 1 << FILTER_BITS
+    place = F.expr(f"cast((id ^ shiftright(id, {FILTER_BITS})) & {bits - 1} AS int)")
+    words = ids.select(place.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(
+        F.expr("bit_or(shiftleft(1L, p % 64))").alias("b")).collect()
+    mask = np.zeros(bits // 64, dtype=np.int64)
+    for r in words:
+        mask[r["w"]] = r["b"]
+    shared = base.sparkSession.sparkContext.broadcast(mask.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8), bitorder="little").astype(bool)
+        for batch in batches:
+            at = batch.column(0).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(held[(at ^ (at >> FILTER_BITS)) & (bits - 1)]))
 
-    return reps.select("id", "sig").mapInArrow(run, "node long, id long")
+    return base.where("id IS NOT NULL").mapInArrow(run, base.schema).join(ids, "id", "left_semi")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -224,30 +249,20 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _labelled(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Pairs whose ends have different component labels so far."""
-    if labels is None:
-        return pairs
-    a = labels.select(F.col("id").alias("a"), F.col("component_id").alias("ca"))
-    b = labels.select(F.col("id").alias("b"), F.col("component_id").alias("cb"))
-    return (pairs.join(a, "a", "left").join(b, "b", "left")
-            .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-
-
 def _in_small_nodes(members: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of a small node that may be similar."""
+    """All pairs of a small node that may be similar and are not connected yet."""
     held = members.groupBy("node").agg(F.sort_array(F.collect_list(
-        F.struct("id", "n", *[f"s{i}" for i in range(COORDINATES // 64)]))).alias("m"))
+        F.struct("id", "n", "component", *[f"s{i}" for i in range(COORDINATES // 64)]))).alias("m"))
     fits = _alike("x", "y", similarity)
     pairs = F.expr("flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), "
-                   f"y -> y.id > x.id AND {fits}), y -> struct(x.id AS a, y.id AS b))))")
+                   f"y -> y.id > x.id AND x.component != y.component AND {fits}), y -> struct(x.id AS a, y.id AS b))))")
     return held.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
 
 def _most_apart(similarity: float) -> int:
-    """Sketch bits that may differ at the threshold: six standard deviations over the mean."""
+    """Sketch bits that may differ at the threshold: five standard deviations over the mean."""
     differ = (1 - similarity) / 2 * COORDINATES
-    return int(differ + 6 * math.sqrt(differ * (1 + similarity) / 2))
+    return int(differ + 5 * math.sqrt(differ * (1 + similarity) / 2))
 
 
 def _alike(x: str, y: str, similarity: float) -> str:
@@ -257,10 +272,11 @@ def _alike(x: str, y: str, similarity: float) -> str:
     return f"{bits} <= {_most_apart(similarity)} AND 100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
 
 
-def _in_blocks(members: DataFrame, similarity: float) -> DataFrame:
+def _in_blocks(members: DataFrame, similarity: float, best: bool) -> DataFrame:
     """Pairs of nodes that are large to the last: blocks against blocks, each in a task of its own.
 
-    Members of one component need no comparison.
+    Members of one component need no comparison.  With ``best``, only the most
+    similar partner of every member in the other block is returned.
     """
     sizes = members.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     rows = members.join(sizes, "node").withColumn(
@@ -280,11 +296,20 @@ def _in_blocks(members: DataFrame, similarity: float) -> DataFrame:
         sx, sy = (f[bits].to_numpy().astype(np.uint64) for f in (x, y))
         nx, ny = x["n"].to_numpy(), y["n"].to_numpy()
         cx, cy, ix, iy = (f[c].to_numpy() for c in ("component", "id") for f in (x, y))
+        least, partner = np.full(len(y), COORDINATES + 1), np.zeros(len(y), dtype=np.int64)
         for k in range(len(x)):
             apart = np.bitwise_count(sx[k] ^ sy).sum(axis=1)
             good = (apart <= most) & (cx[k] != cy) & (ix[k] != iy)
             good &= 100 * np.minimum(nx[k], ny) >= percent * np.maximum(nx[k], ny)
+            apart = np.where(good, apart, COORDINATES + 1)
+            if best:
+                least = np.minimum(least, apart)
+                partner = np.where(apart == least, ix[k], partner)
+                good &= apart == apart.min()
+                good[good.argmax() + 1:] = False
             found += [(min(ix[k], b), max(ix[k], b)) for b in iy[good]]
+        if best:
+            found += [(min(a, b), max(a, b)) for a, b, d in zip(partner, iy, least) if d <= most]
         return pd.DataFrame(found, columns=["a", "b"])
 
     return spread.groupBy("node", "i", "j").applyInPandas(run, "a long, b long")
@@ -315,56 +340,57 @@ def components(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
     links = staged(members.join(several.select("id", "a"), "id").where("a != rep")
                    .select("a", F.col("rep").alias("b")).distinct(), "links")
     sketches = staged(_sketches(reps), "sketches")
-    trees = trees_for(recall, START_DEPTH, similarity)
-    found = [links]
-    labels = None
-    active = reps
-    for depth in range(START_DEPTH, LAST_DEPTH + 1):
-        nodes = _nodes(active, trees, depth, similarity)
-        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("lo"),
-                                          F.max("id").alias("hi")).where("lo < hi").drop("hi")
-        held = nodes.join(sizes, "node").join(sketches, "id")
-        held = staged(held, "nodes")
+    found, labels = [links], None
+    active = reps.select("id", F.col("id").alias("component"), "sig")
+    for depth in DEPTHS:
+        nodes = _nodes(active, trees_for(recall, depth, similarity), depth, similarity)
+        # Nodes within one component have nothing left to find.
+        sizes = nodes.groupBy("node").agg(
+            F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "component")).alias("lo"),
+            F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("node", "c", "lo")
+        held = staged(nodes.join(sizes, "node").join(sketches, "id"), "nodes")
         first = sketches.select(*[F.col(c).alias(f"{c}_lo") for c in sketches.columns])
-        stars = held.where(f"c > {SMALL_NODE} AND id != lo").select("id", "lo", "n", "s0", "s1").distinct().join(
-            first, F.col("lo") == F.col("id_lo"))
-        near = _alike("x", "y", similarity)
+        stars = held.where(f"c > {SMALL_NODE} AND component != lo.component").select(
+            "id", F.col("lo.id").alias("lo"), "n", "s0", "s1").distinct().join(first, F.col("lo") == F.col("id_lo"))
         stars = stars.select(F.struct("n", "s0", "s1").alias("x"), F.struct(
             *[F.col(f"{c}_lo").alias(c) for c in ("n", "s0", "s1")]).alias("y"), F.col("lo").alias("a"),
-            F.col("id").alias("b")).where(F.expr(near)).select("a", "b")
+            F.col("id").alias("b")).where(F.expr(_alike("x", "y", similarity))).select("a", "b")
         pairs = _in_small_nodes(held.where(f"c <= {SMALL_NODE}"), similarity).unionByName(stars).distinct()
-        pairs = staged(_labelled(pairs, labels), "candidates")
-        labels = _link(pairs, base, found, percent, words)
-        # Large nodes that hold several components branch on.
-        large = held.where(f"c > {SMALL_NODE}").join(labels, "id", "left").withColumn(
-            "component", F.coalesce("component_id", "id")).drop("component_id")
-        mixed = large.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-        large = staged(large.join(mixed.select("node"), "node", "left_semi"), "large")
-        if large.isEmpty():
+        found += _link(staged(pairs, "candidates"), base, percent, words)
+        labels = _components_of(found)
+        # The documents of large nodes branch on, under the labels that they have by now.
+        large = held.where(f"c > {SMALL_NODE}")
+        active = reps.join(large.select("id").distinct(), "id", "left_semi").select("id", "sig")
+        active = staged(active.join(labels, "id", "left").select(
+            "id", F.coalesce("component_id", "id").alias("component"), "sig"), "active")
+        if active.isEmpty():
             break
-        if depth == LAST_DEPTH:
-            pairs = staged(_labelled(_in_blocks(large, similarity).distinct(), labels), "candidates")
-            labels = _link(pairs, base, found, percent, words)
-            break
-        active = staged(reps.join(large.select("id").distinct(), "id", "left_semi"), "active")
+    else:
+        for best in (True, False):
+            now = active.select("id").join(labels, "id", "left").select("id", F.coalesce("component_id", "id").alias("component"))
+            rows = large.drop("component").join(now, "id")
+            mixed = rows.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+            rows = staged(rows.join(mixed.select("node"), "node", "left_semi"), "large")
+            if rows.isEmpty():
+                break
+            pairs = staged(_in_blocks(rows, similarity, best).distinct(), "candidates")
+            found += _link(pairs, base, percent, words)
+            labels = _components_of(found)
     return _result(every, members, labels, id_col)
 
 
-def _link(pairs: DataFrame, base: DataFrame, found: list[DataFrame], percent: int, words: int) -> DataFrame:
-    """Confirm candidate pairs: first each document's smallest partner, then those of different components.
-
-    Appends the links to ``found`` and returns the components of all links so far.
-    """
+def _link(pairs: DataFrame, base: DataFrame, percent: int, words: int) -> list[DataFrame]:
+    """The links that connect what candidate pairs connect: each document is compared with its
+    smallest partner first, and then with those that this has not put beside it."""
     needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = staged(_sets(base.join(needed, "id", "left_semi"), words), "sets")
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    found.append(staged(_confirm(first, sets, percent), "links"))
-    labels = _components_of(found)
-    rest = _labelled(pairs, labels)
-    found.append(staged(_confirm(rest, sets, percent), "links"))
-    if found[-1].isEmpty():
-        return labels
-    return _components_of(found)
+    sets = staged(_sets(_needed_texts(base, staged(needed, "ids")), words), "sets")
+    first = pairs.groupBy("b").agg(F.min("a").alias("m"))
+    linked = staged(_confirm(first.select(F.col("m").alias("a"), "b"), sets, percent), "links")
+    beside = first.join(linked.select("b", F.col("a").alias("of_b")), "b", "left")
+    rest = pairs.join(beside, "b").where("a != m").join(
+        linked.select(F.col("b").alias("a"), F.col("a").alias("of_a")), "a", "left")
+    rest = rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    return [linked, staged(_confirm(rest, sets, percent), "links")]
 
 
 def _components_of(found: list[DataFrame]) -> DataFrame:

@@ -28,21 +28,29 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def _are_stars(pairs: DataFrame) -> bool:
+    """Every u has one v, and no v is a u itself."""
+    several = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
+    passing = pairs.select(F.col("v").alias("u")).join(pairs.select("u"), "u", "left_semi")
+    return several.unionByName(passing).isEmpty()
+
+
 def connected_components(links: DataFrame, label: str = "components", max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id of every id that occurs in ``links(src, dst)``.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): each
     round is a grouped minimum (combined before the shuffle) and a join back
     that AQE may split, so a hub with a third of all ids is spread over many
-    tasks.  Every round is written to the shared folder.  Ends when a round
-    changes nothing; more than ``max_rounds`` rounds raise an error rather than
+    tasks.  Every round is written to the shared folder.  Ends when every id
+    hangs on its component's smallest; more than ``max_rounds`` rounds raise an error rather than
     return unfinished labels.  Null ends and loops are ignored.
     Returns (id, component_id).
     """
     pairs = links.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     pairs = staged(pairs.where("u != v").distinct(), label)
-    stamp = None
     for _ in range(max_rounds):
+        if _are_stars(pairs):
+            break
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -51,10 +59,6 @@ def connected_components(links: DataFrame, label: str = "components", max_rounds
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.where("u != v").unionByName(low.select("u", F.col("m").alias("v")))
         pairs = staged(small.distinct(), label)
-        seen = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == stamp:
-            break
-        stamp = seen
     else:
         raise RuntimeError(f"component labels did not settle in {max_rounds} rounds")
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(

@@ -69,9 +69,10 @@ def test_all_pairs(spark, corpus, words):
     assert got(chosen_path.components(frame(spark, corpus), words=words)) == brute(corpus, words)
 
 
-def test_large_nodes_branch_on_and_end_in_blocks(spark, corpus, monkeypatch):
+@pytest.mark.parametrize("depths", [(3, 4), (1,)])
+def test_large_nodes_branch_on_and_end_in_blocks(spark, corpus, monkeypatch, depths):
     monkeypatch.setattr(chosen_path, "SMALL_NODE", 2)
-    monkeypatch.setattr(chosen_path, "LAST_DEPTH", 4)
+    monkeypatch.setattr(chosen_path, "DEPTHS", depths)
     monkeypatch.setattr(chosen_path, "BLOCK", 16)
     assert got(chosen_path.components(frame(spark, corpus), words=2)) == brute(corpus, 2)
 
