@@ -15,14 +15,18 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def parse_day(c: str | Column) -> Column:
-    """``2020/1/21``, ``2020-1-21`` and ``2020-01-21`` -> DATE; malformed input fails the job."""
-    return F.to_date(F.regexp_replace(_col(c), "/", "-"))
+DAY_PATTERN = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}$"
 
 
 def try_parse_day(c: str | Column) -> Column:
-    """Like :func:`parse_day` but malformed input becomes NULL."""
-    return F.try_to_date(F.regexp_replace(_col(c), "/", "-"))
+    """``2020/1/21``, ``2020-1-21`` and ``2020-01-21`` -> DATE; anything else becomes NULL."""
+    return F.when(_col(c).rlike(DAY_PATTERN), F.try_to_date(F.regexp_replace(_col(c), "/", "-")))
+
+
+def parse_day(c: str | Column) -> Column:
+    """Like :func:`try_parse_day`, but a malformed day fails the job."""
+    day = try_parse_day(c)
+    return F.when(_col(c).isNotNull() & day.isNull(), F.raise_error(F.lit("malformed day")).cast("date")).otherwise(day)
 
 
 def day_string(c: str | Column) -> Column:

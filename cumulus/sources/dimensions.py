@@ -1,4 +1,4 @@
-"""Small dimension tables and the size-checked broadcast used to join them."""
+"""Dimension tables; joins on them carry no hint, AQE broadcasts what it measures as small."""
 
 from __future__ import annotations
 
@@ -14,31 +14,16 @@ COORD_SCHEMA = T.StructType([
     T.StructField("lon", T.DoubleType(), False),
 ])
 
+
 def reference_coords(spark: SparkSession) -> DataFrame:
     """The original 12-row coordinate table, for real per-state input."""
     return spark.createDataFrame(REFERENCE_COORDS, COORD_SCHEMA)
 
 
-def nation_coords(spark: SparkSession, sf_dir: str, located: int = 12) -> DataFrame:
-    """Coordinates for the first ``located`` nations of the test data.
-
-    lat = 25 + key, lon = -70 - 2 * key, so the inner join with the group-day
-    table drops the other groups, as the original 12-state table did.
-    """
+def nation_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinates for every nation of the test data: lat = 25 + key, lon = -70 - 2 * key."""
     nation = spark.read.parquet(f"{sf_dir.rstrip('/')}/nation.parquet")
     key = F.col("n_nationkey")
-    return (nation.filter(key < located)
-            .select(F.col("n_name").alias("state"),
-                    (F.lit(25) + key).cast("double").alias("lat"),
-                    (F.lit(-70) - F.lit(2) * key).cast("double").alias("lon")))
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast-hint ``df`` only after checking it has at most ``max_rows`` rows.
-
-    The check is a bounded job (``limit(max_rows + 1).count()``).  A larger
-    table is returned unhinted, so the join falls back to a shuffle join that
-    AQE may still convert from runtime statistics.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return nation.select(F.col("n_name").alias("state"),
+                         (F.lit(25) + key).cast("double").alias("lat"),
+                         (F.lit(-70) - F.lit(2) * key).cast("double").alias("lon"))

@@ -6,13 +6,11 @@ counts with a running sum per unit, giving the OBS layout
 missing from that day's group sum, so group totals sometimes fall -- which is
 what the ``case_inc >= 0`` rule of the increments stage exists for.
 
-Scale notes: the join order depends on a size check of the dimension.  When a
-bounded count proves the dimension small, it is broadcast and joined map-side
-first, and the fact rows are aggregated once (one exchange).  Otherwise the
-fact table is pre-aggregated to (day, join key) before the shuffle join, so a
-key holding a third of all rows collapses map-side to one row per day before
-any exchange.  Both orders give the same rows.  The running-sum window is
-partitioned by unit; one partition holds at most one row per calendar day.
+Scale notes: the fact table is summed to (day, join key) before it meets its
+dimension, so a key holding a third of all rows collapses map-side to one row
+per day before any exchange.  No join carries a hint: AQE picks the strategy
+from the sizes it measures.  The running-sum window is partitioned by unit; one
+partition holds at most one row per calendar day.
 """
 
 from __future__ import annotations
@@ -21,26 +19,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-# Largest dimension joined map-side before aggregating the fact table.
-BROADCAST_DIM_ROWS = 1_000_000
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-_SIZE_CHECKS: dict[tuple, bool] = {}
-
-
-def _small(df: DataFrame, key: tuple, max_rows: int | None = None) -> bool:
-    """Bounded count of the dimension, remembered per application and table path."""
-    max_rows = BROADCAST_DIM_ROWS if max_rows is None else max_rows
-    k = (df.sparkSession.sparkContext.applicationId, max_rows) + key
-    if k not in _SIZE_CHECKS:
-        _SIZE_CHECKS[k] = df.limit(max_rows + 1).count() <= max_rows
-    return _SIZE_CHECKS[k]
-
-
 def _cumulate(daily: DataFrame) -> DataFrame:
     """(date, county, state, n, m) -> running sums per (county, state) ordered by date."""
     w = (Window.partitionBy("county", "state").orderBy("date")
@@ -68,19 +50,14 @@ def obs_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders").select(
         "o_custkey", F.trunc(F.to_date("o_orderdate"), "month").alias("date"),
         F.when(F.col("o_orderstatus") == "F", 1).alias("_f"))
-    nation = F.broadcast(_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))  # 25 rows
+    nation = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     cust = (_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
             .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
             .select("c_custkey", F.col("c_mktsegment").alias("county"), F.col("n_name").alias("state")))
-    if _small(cust, (sf_dir, "customer")):
-        rows = orders.join(F.broadcast(cust), orders.o_custkey == cust.c_custkey)
-        daily = rows.groupBy("date", "county", "state").agg(
-            F.count(F.lit(1)).alias("n"), F.count("_f").alias("m"))
-    else:
-        per_cust = orders.groupBy("o_custkey", "date").agg(
-            F.count(F.lit(1)).alias("n"), F.count("_f").alias("m"))
-        daily = (per_cust.join(cust, per_cust.o_custkey == cust.c_custkey)
-                 .groupBy("date", "county", "state").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
+    per_cust = orders.groupBy("o_custkey", "date").agg(
+        F.count(F.lit(1)).alias("n"), F.count("_f").alias("m"))
+    daily = (per_cust.join(cust, per_cust.o_custkey == cust.c_custkey)
+             .groupBy("date", "county", "state").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
     return _cumulate(daily)
 
 
@@ -89,21 +66,18 @@ def obs_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _table(spark, sf_dir, "lineitem").select(
         F.to_date("l_shipdate").alias("date"), "l_suppkey", "l_quantity",
         F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(F.lit(0.0)).alias("_r"))
-    nation = F.broadcast(_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))  # 25 rows
+    nation = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     supp = (_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
             .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
             .select("s_suppkey", F.col("s_name").alias("county"), F.col("n_name").alias("state")))
-    if _small(supp, (sf_dir, "supplier")):
-        rows = li.join(F.broadcast(supp), li.l_suppkey == supp.s_suppkey)
-        daily = rows.groupBy("date", "county", "state").agg(
-            F.sum("l_quantity").cast("bigint").alias("n"), F.sum("_r").cast("bigint").alias("m"))
-    else:
-        per_supp = li.groupBy("date", "l_suppkey").agg(
-            F.sum("l_quantity").alias("n"), F.sum("_r").alias("m"))
-        daily = (per_supp.join(supp, per_supp.l_suppkey == supp.s_suppkey)
-                 .groupBy("date", "county", "state")
-                 .agg(F.sum("n").cast("bigint").alias("n"), F.sum("m").cast("bigint").alias("m")))
+    per_supp = li.groupBy("date", "l_suppkey").agg(
+        F.sum("l_quantity").alias("n"), F.sum("_r").alias("m"))
+    daily = (per_supp.join(supp, per_supp.l_suppkey == supp.s_suppkey)
+             .groupBy("date", "county", "state")
+             .agg(F.sum("n").cast("bigint").alias("n"), F.sum("m").cast("bigint").alias("m")))
     return _cumulate(daily)
 
 
+#: Tables that a fixture reads.
+FIXTURE_TABLES = {"B1": ["events"], "B2": ["orders", "customer", "nation"], "B3": ["lineitem", "supplier", "nation"]}
 FIXTURES = {"B1": obs_events, "B2": obs_orders, "B3": obs_lineitem}

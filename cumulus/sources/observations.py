@@ -2,25 +2,26 @@
 
 One explicit schema replaces both ingest paths of the original jobs (a Python
 ``map`` over text lines and CSV type inference): no inference job, no Python
-worker, and the scan is splittable.  ``mode="FAILFAST"`` fails the job on a bad
-integer or date like the strict path; ``mode="PERMISSIVE"`` keeps going, turns
-bad fields into NULL and keeps the raw line in ``_corrupt_record``.
+worker, and the scan is splittable.  A row is bad when a field is missing or is
+no integer or day.  ``mode="FAILFAST"`` fails the job on the first bad row;
+``mode="PERMISSIVE"`` leaves bad rows out, and ``read_rejects`` returns them with
+their raw line, so none can reach a sum.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cumulus.functions.scalar import parse_day, try_parse_day
+from cumulus.functions.scalar import try_parse_day
 
 RAW_SCHEMA = T.StructType([
     T.StructField("date_str", T.StringType(), True),
     T.StructField("county", T.StringType(), True),
     T.StructField("state", T.StringType(), True),
-    T.StructField("cases", T.IntegerType(), True),
-    T.StructField("deaths", T.IntegerType(), True),
+    T.StructField("cases", T.LongType(), True),
+    T.StructField("deaths", T.LongType(), True),
 ])
 
 OBS_SCHEMA = T.StructType([
@@ -32,30 +33,57 @@ OBS_SCHEMA = T.StructType([
 ])
 
 
+def _parsed(raw: DataFrame) -> DataFrame:
+    """RAW_SCHEMA (+ the raw line) -> the observation's fields, NULL where malformed."""
+    return raw.select(try_parse_day("date_str").alias("date"), "county", "state", "cases", "deaths", "_corrupt_record")
+
+
+def bad_row() -> Column:
+    """A field is missing or malformed."""
+    bad = F.col("_corrupt_record").isNotNull()
+    for c in OBS_SCHEMA.fieldNames():
+        bad = bad | F.col(c).isNull()
+    return bad
+
+
+def _raw_schema() -> T.StructType:
+    return T.StructType(RAW_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType(), True)])
+
+
+def _options(reader, sep: str):
+    return (reader.schema(_raw_schema()).option("sep", sep).option("header", "false").option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "_corrupt_record"))
+
+
+def checked(raw: DataFrame, mode: str) -> DataFrame:
+    """Parsed rows by the reader's mode: bad ones fail the job, or are left out."""
+    rows = _parsed(raw)
+    if mode.upper() == "FAILFAST":
+        day = F.when(bad_row(), F.raise_error(F.lit("malformed observation row")).cast("date")).otherwise(F.col("date"))
+        rows = rows.withColumn("date", day)
+    else:
+        rows = rows.where(~bad_row())
+    return rows.select(*OBS_SCHEMA.fieldNames())
+
+
 def read_obs(spark: SparkSession, path: str, mode: str = "FAILFAST", sep: str = "\t") -> DataFrame:
-    """path (file, folder or glob on any Hadoop FS) -> DataFrame[OBS_SCHEMA]."""
-    strict = mode.upper() == "FAILFAST"
-    schema = RAW_SCHEMA
-    reader = spark.read.option("sep", sep).option("header", "false").option("mode", mode.upper())
-    if not strict:
-        schema = T.StructType(RAW_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType(), True)])
-        reader = reader.option("columnNameOfCorruptRecord", "_corrupt_record")
-    raw = reader.schema(schema).csv(path)
-    day = parse_day("date_str") if strict else try_parse_day("date_str")
-    cols = [
-        day.alias("date"),
-        F.col("county"),
-        F.col("state"),
-        F.col("cases").cast("bigint").alias("cases"),
-        F.col("deaths").cast("bigint").alias("deaths"),
-    ]
-    if not strict:
-        cols.append(F.col("_corrupt_record"))
-    out = raw.select(*cols)
-    if strict:
-        # The schema says non-null; an empty field is a bad record like a bad integer.
-        bad = (F.col("date").isNull() | F.col("county").isNull() | F.col("state").isNull()
-               | F.col("cases").isNull() | F.col("deaths").isNull())
-        out = out.withColumn("date", F.when(bad, F.raise_error(F.lit("malformed observation row")))
-                             .otherwise(F.col("date")))
-    return out
+    """path (file, folder or glob on any Hadoop FS) -> the columns of OBS_SCHEMA, none of them NULL."""
+    return checked(_options(spark.read, sep).csv(path), mode)
+
+
+def read_rejects(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
+    """The bad rows of ``path``: what could be parsed of them, and the raw line in ``raw_line``."""
+    fields = RAW_SCHEMA.fieldNames()
+    line = F.coalesce("_corrupt_record", F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields]))
+    raw = _options(spark.read, sep).csv(path)
+    rows = raw.select(try_parse_day("date_str").alias("date"), *fields, "_corrupt_record", line.alias("raw_line"))
+    return rows.where(bad_row()).select(*OBS_SCHEMA.fieldNames(), "raw_line")
+
+
+def read_obs_stream(spark: SparkSession, in_dir: str, mode: str = "FAILFAST", sep: str = "\t",
+                    max_files_per_trigger: int | None = None) -> DataFrame:
+    """New files of a folder as a stream, with the batch reader's checks."""
+    reader = _options(spark.readStream, sep)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return checked(reader.csv(in_dir), mode)

@@ -2,19 +2,19 @@
 
 Nulls are written out explicitly (``ignoreNullFields=false``) so a NULL z-score
 stays a NULL instead of vanishing from the record.  ``single_file=True`` is for
-small marts only: it funnels the rows through one task, sorted inside it.
+marts of a bounded size only: it funnels the rows through one task, sorted inside it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "json", single_file: bool = False,
-                 sort_by: Sequence[str] | None = None, mode: str = "overwrite") -> None:
+                 sort_by: Sequence[str | Column] | None = None, mode: str = "overwrite") -> None:
     if single_file:
         df = df.coalesce(1)
         if sort_by:

@@ -22,38 +22,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cumulus.functions.scalar import parse_day
-from cumulus.sources.observations import RAW_SCHEMA
+from cumulus.sources.observations import read_obs_stream
 
 
-def read_obs_stream(spark: SparkSession, in_dir: str, sep: str = "\t",
-                    max_files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(RAW_SCHEMA).option("sep", sep).option("header", "false")
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = reader.csv(in_dir)
-    return raw.select(parse_day("date_str").alias("date"), "county", "state",
-                      F.col("cases").cast("bigint").alias("cases"),
-                      F.col("deaths").cast("bigint").alias("deaths"))
-
-
-def _write_partials(out_dir: str, files_per_batch: int):
+def _write_partials(out_dir: str):
     def write(batch: DataFrame, batch_id: int) -> None:
-        # One row per (date, group) seen in the batch: small, so a few files suffice
-        # instead of one per shuffle partition.
+        # One row per (date, group) seen in the batch; AQE merges small reduce tasks, so
+        # a small batch leaves few files and a first batch of the whole history many.
         partial = (batch.groupBy("date", "state")
                    .agg(F.sum("cases").alias("total_cases"), F.sum("deaths").alias("total_deaths")))
-        (partial.coalesce(files_per_batch).write.mode("overwrite")
-         .parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}"))
+        partial.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
     return write
 
 
 def start_group_day_ingest(spark: SparkSession, in_dir: str, partials_dir: str, checkpoint: str,
                            available_now: bool = False, every: str | None = None,
-                           files_per_batch: int = 4) -> StreamingQuery:
-    """Start the stream; ``checkpoint`` must be a shared folder on a cluster."""
-    writer = (read_obs_stream(spark, in_dir).writeStream
-              .foreachBatch(_write_partials(partials_dir, files_per_batch))
+                           mode: str = "FAILFAST") -> StreamingQuery:
+    """Start the stream; ``checkpoint`` must be a shared folder on a cluster.  ``mode`` as for ``read_obs``."""
+    writer = (read_obs_stream(spark, in_dir, mode).writeStream
+              .foreachBatch(_write_partials(partials_dir))
               .option("checkpointLocation", checkpoint))
     if available_now:
         writer = writer.trigger(availableNow=True)

@@ -20,3 +20,18 @@ def test_incremental_group_day_equals_batch(spark, tmp_path, hand_sd):
     got = sorted(tuple(r) for r in group_day_from_partials(spark, str(tmp_path / "partials")).collect())
     want = sorted(tuple(r) for r in hand_sd.collect())
     assert got == want
+
+
+def test_bad_rows_fail_the_stream_as_they_fail_the_batch(spark, tmp_path):
+    import pytest
+    from cumulus.streaming import group_day_from_partials, start_group_day_ingest
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.tsv").write_text("2020-03-01\tKings\tNew York\tten\t0\n2020-03-01\tKings\tNew York\t7\t0\n")
+    q = start_group_day_ingest(spark, str(src), str(tmp_path / "p"), str(tmp_path / "c"), available_now=True)
+    with pytest.raises(Exception):
+        q.awaitTermination(120)
+    q = start_group_day_ingest(spark, str(src), str(tmp_path / "p2"), str(tmp_path / "c2"), available_now=True,
+                               mode="PERMISSIVE")
+    q.awaitTermination(120)
+    assert [r.total_cases for r in group_day_from_partials(spark, str(tmp_path / "p2")).collect()] == [7]
