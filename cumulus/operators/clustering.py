@@ -3,11 +3,14 @@
 VectorAssembler -> StandardScaler(withStd, no centring) -> KMeans, as in the
 original job, with two additions that make the labels reproducible:
 
-* the feature rows get a fixed layout (``repartition(n, group)`` then sorted
-  inside partitions), because k-means|| initialisation depends on the layout;
-* several seeds are fitted and the lowest-cost model kept, and cluster ids are
+* the feature rows are hash-partitioned by group and sorted inside partitions,
+  because k-means|| initialisation depends on the layout;
+* of several seeds the lowest-cost model is kept, and cluster ids are
   renumbered by ascending centre norm, so id 0 is the smallest-magnitude tier.
 
+k-means needs k different points; with fewer, k is lowered to their number (with
+one or none every group is in cluster 0), found by a count that stops at k.
+
 Fitting is MLlib's distributed iteration; only the k centres reach the driver.
 """
 
@@ -28,33 +31,36 @@ from cumulus.constants import KMEANS_K, KMEANS_SEED, TIER_NAMES
 FEATURES = ("total_cases", "total_deaths", "max_daily_inc")
 
 
-
-def risk_clusters(features: DataFrame, k: int = KMEANS_K,
-                  seeds: Sequence[int] = (KMEANS_SEED, KMEANS_SEED + 1, KMEANS_SEED + 2),
-                  layout_partitions: int = 4, inputs: Sequence[str] = FEATURES,
-                  log_scale: bool = False) -> DataFrame:
+def scaled_features(features: DataFrame, inputs: Sequence[str] = FEATURES, log_scale: bool = False) -> DataFrame:
+    """M1, M2: (state, *inputs, features): the inputs as a vector, each over its sample standard deviation."""
     fcols = [f"_f{i}" for i in range(len(inputs))]
-    rows = (features.select("state", *inputs)
-            .repartition(layout_partitions, "state").sortWithinPartitions("state"))
+    rows = features.select("state", *inputs).repartition("state").sortWithinPartitions("state")
     rows = rows.select("*", *[(F.log1p(c) if log_scale else F.col(c)).cast("double").alias(f)
                               for c, f in zip(inputs, fcols)])
     assembled = VectorAssembler(inputCols=fcols, outputCol="raw_features").transform(rows)
-    scaled = (StandardScaler(inputCol="raw_features", outputCol="features", withStd=True, withMean=False)
-              .fit(assembled).transform(assembled)).persist(StorageLevel.MEMORY_AND_DISK)
-    # One row per group, so this count is bounded by the number of groups.  k-means
-    # cannot place more centres than there are distinct points.
-    distinct = scaled.select("features").distinct().count()
-    k_eff = min(k, distinct)
-    if k_eff < 2:
-        return scaled.select("state", *inputs, F.lit(0).alias("prediction"))
-    # The seeds' fits are independent small jobs: submit them together.
-    with ThreadPoolExecutor(max_workers=len(seeds)) as pool:
-        models = list(pool.map(lambda s: KMeans(k=k_eff, seed=s, featuresCol="features").fit(scaled), seeds))
-    best, cost = None, math.inf
-    for model in models:  # first lowest cost wins, in seed order
-        c = model.summary.trainingCost
-        if c < cost - 1e-12:
-            best, cost = model, c
+    model = StandardScaler(inputCol="raw_features", outputCol="features", withStd=True, withMean=False).fit(assembled)
+    return model.transform(assembled).select("state", *inputs, "features")
+
+
+def risk_clusters(features: DataFrame, k: int = KMEANS_K,
+                  seeds: Sequence[int] = (KMEANS_SEED, KMEANS_SEED + 1, KMEANS_SEED + 2),
+                  inputs: Sequence[str] = FEATURES, log_scale: bool = False) -> DataFrame:
+    scaled = scaled_features(features, inputs, log_scale)
+    held = scaled.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        k_eff = held.select("features").distinct().limit(k).count()
+        if k_eff < 2:
+            return scaled.select("state", *inputs, F.lit(0).alias("prediction"))
+        # The seeds' fits are independent small jobs: submit them together.
+        with ThreadPoolExecutor(max_workers=len(seeds)) as pool:
+            models = list(pool.map(lambda s: KMeans(k=k_eff, seed=s, featuresCol="features").fit(held), seeds))
+        best, cost = None, math.inf
+        for model in models:  # first lowest cost wins, in seed order
+            c = model.summary.trainingCost
+            if c < cost - 1e-12:
+                best, cost = model, c
+    finally:
+        held.unpersist()
     centres = [list(map(float, c)) for c in best.clusterCenters()]
     order = sorted(range(len(centres)), key=lambda i: (math.fsum(v * v for v in centres[i]), centres[i]))
     relabel = F.create_map(*[x for new, old in enumerate(order) for x in (F.lit(old), F.lit(new))])

@@ -46,12 +46,12 @@ def daily_totals(sd: DataFrame, ordered: bool = True) -> DataFrame:
 
 def daily_increase(sd: DataFrame) -> DataFrame:
     """R2: today minus the calendar day before; days without a predecessor are absent."""
-    t = daily_totals(sd, ordered=False)
-    t1, t2 = t.alias("t1"), t.alias("t2")
-    return (t1.join(t2, F.col("t1.date") == F.date_add(F.col("t2.date"), 1))
-            .select(F.col("t1.date").alias("date"),
-                    (F.col("t1.cases") - F.col("t2.cases")).alias("case_increase"),
-                    (F.col("t1.deaths") - F.col("t2.deaths")).alias("death_increase"))
+    days = Window.orderBy("date")  # one row per calendar day
+    before = [F.lag(c, 1).over(days).alias(f"_{c}") for c in ("date", "cases", "deaths")]
+    return (daily_totals(sd, ordered=False).select("*", *before)
+            .filter(F.datediff("date", "_date") == 1)
+            .select("date", (F.col("cases") - F.col("_cases")).alias("case_increase"),
+                    (F.col("deaths") - F.col("_deaths")).alias("death_increase"))
             .orderBy("date"))
 
 
@@ -87,12 +87,16 @@ def bottom10_deaths(sd: DataFrame, as_of=None, n: int = TOP_N) -> DataFrame:
 
 def overall_and_group_rate(sd: DataFrame, as_of=None, overall_label: str = OVERALL_LABEL) -> DataFrame:
     """One overall row (sort_sign 1) followed by every group's rate (sort_sign 2)."""
-    snap = group_snapshot(sd, as_of, False)
-    overall = snap.groupBy("date").agg(
-        F.lit(1).alias("sort_sign"), F.lit(overall_label).alias("state"),
+    day = sd.filter(F.col("date") == _as_of(sd, as_of))
+    # One pass: the group-day table has one row per group on a day, so the rollup's
+    # finer level is the groups and its coarser one the overall row.
+    levels = day.rollup("date", "state").agg(
+        F.grouping("state").alias("_overall"), F.grouping("date").alias("_all_days"),
         F.round(ratio(F.sum("total_deaths"), F.sum("total_cases")), 4).alias("death_rate"))
-    groups = snap.select(F.lit(2).alias("sort_sign"), "date", "state", "death_rate")
-    return (overall.select("sort_sign", "date", "state", "death_rate").unionByName(groups)
+    overall = F.col("_overall") == 1
+    return (levels.filter(F.col("_all_days") == 0)
+            .select(F.when(overall, 1).otherwise(2).alias("sort_sign"), "date",
+                    F.when(overall, F.lit(overall_label)).otherwise(F.col("state")).alias("state"), "death_rate")
             .orderBy("sort_sign", F.col("death_rate").desc_nulls_last(), "state"))
 
 
@@ -195,9 +199,8 @@ def zscore_anomaly(sd: DataFrame, rows: int = TRAILING_ROWS, calendar: bool = Fa
 def weighted_centroid(sd: DataFrame, coords: DataFrame, with_coverage: bool = False) -> DataFrame:
     """Case-weighted mean position of the located groups per day.
 
-    ``coords`` is a small (state, lat, lon) dimension; the caller proves its size
-    (``broadcast_if_small`` or a bounded construction).  Groups without
-    coordinates drop out (inner join).  ``with_coverage=True`` adds the share of
+    ``coords`` is a (state, lat, lon) dimension.  Groups without coordinates
+    drop out (inner join).  ``with_coverage=True`` adds the share of
     the day's cases that the located groups carry (left join, same pass).
     """
     if not with_coverage:

@@ -39,7 +39,7 @@ def group_frame(lo: int, hi: int, calendar: bool = False) -> WindowSpec:
 
 def group_day(obs: DataFrame, cols: ObsColumns = OBS_COLUMNS) -> DataFrame:
     """OBS -> (date, state, total_cases BIGINT, total_deaths BIGINT)."""
-    return (obs.groupBy(F.col(cols.time).alias("date"), F.col(cols.group).alias("state"))
+    return (obs.groupBy(F.col(cols.time).cast("date").alias("date"), F.col(cols.group).alias("state"))
             .agg(F.sum(cols.cases).cast("bigint").alias("total_cases"),
                  F.sum(cols.deaths).cast("bigint").alias("total_deaths")))
 

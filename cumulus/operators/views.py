@@ -20,12 +20,6 @@ from cumulus.constants import (
 from cumulus.functions.scalar import bin_index, pct, ratio
 from cumulus.operators.ranking import top_n, top_per_group
 
-# The original charts named five (six for the day-0 curves) groups; on the test
-# fixtures the chosen groups default to the first nations.  Pass others as needed.
-DEFAULT_CHOSEN = ["NATION_0", "NATION_1", "NATION_2", "NATION_3", "NATION_4"]
-DEFAULT_CHOSEN_6 = DEFAULT_CHOSEN + ["NATION_5"]
-
-
 def _label(idx_col, labels: Sequence[str]):
     return F.element_at(F.array(*[F.lit(s) for s in labels]), idx_col + 1)
 
@@ -52,7 +46,8 @@ def series_peak_and_mean(increase: DataFrame) -> DataFrame:
 
 # V2 -----------------------------------------------------------------------------------
 def severity_bins(snapshot: DataFrame, bins: Mapping = SEVERITY_BINS) -> DataFrame:
-    long = _unpivot(snapshot, ["state"], list(bins), cast="double")
+    """Every measure of every group in its bin; a missing measure counts as 0."""
+    long = _unpivot(snapshot, ["state"], list(bins), cast="double").fillna(0.0, subset=["value"])
     idx = F.lit(None).cast("int")
     lab = F.lit(None).cast("string")
     for measure, (edges, labels) in bins.items():
@@ -64,8 +59,9 @@ def severity_bins(snapshot: DataFrame, bins: Mapping = SEVERITY_BINS) -> DataFra
 
 # V3 -----------------------------------------------------------------------------------
 def top5_scaled(snapshot: DataFrame, n: int = TOP5_N, divisors: Mapping = TOP5_DIVISORS) -> DataFrame:
-    long = _unpivot(snapshot, ["state"], list(divisors), cast="double")
-    ranked = top_per_group(long.filter(F.col("value").isNotNull()), "measure", "value", n, rank_col="rank")
+    """The n largest groups of every measure; a missing measure counts as 0."""
+    long = _unpivot(snapshot, ["state"], list(divisors), cast="double").fillna(0.0, subset=["value"])
+    ranked = top_per_group(long, "measure", "value", n, rank_col="rank")
     div = F.lit(None).cast("double")
     for m, d in divisors.items():
         div = F.when(F.col("measure") == m, F.lit(d)).otherwise(div)
@@ -108,10 +104,12 @@ def peak_top15(peaks: DataFrame, n: int = PEAK_TOP_N) -> DataFrame:
 def growth_extremes(growth: DataFrame, n: int = TOP_N) -> DataFrame:
     """Latest day: the n lowest and the n highest growth rates in % (overlap kept)."""
     last = _latest(growth).select(F.trim("state").alias("state"), pct("growth_rate").alias("growth_pct"))
-    low = last.orderBy(F.col("growth_pct").asc(), F.col("state").asc()).limit(n)
-    high = last.orderBy(F.col("growth_pct").desc(), F.col("state").desc()).limit(n)
-    return (low.select(F.lit("bottom").alias("side"), "state", "growth_pct")
-            .unionByName(high.select(F.lit("top").alias("side"), "state", "growth_pct")))
+    # A group can be on both sides; each side is a limit of its own over the day's rows.
+    sides = last.withColumn("side", F.explode(F.array(F.lit("bottom"), F.lit("top"))))
+    signed = sides.withColumn("_by", F.when(F.col("side") == "top", -F.col("growth_pct")).otherwise(F.col("growth_pct")))
+    order = [F.col("_by").asc_nulls_last(), F.when(F.col("side") == "bottom", F.col("state")).asc(), F.col("state").desc()]
+    ranked = signed.withColumn("_rn", F.row_number().over(Window.partitionBy("side").orderBy(*order)))
+    return ranked.filter(F.col("_rn") <= n).select("side", "state", "growth_pct")
 
 
 # V9 -----------------------------------------------------------------------------------
@@ -137,7 +135,7 @@ def weekday_monday_first(profile: DataFrame, headroom: float = AXIS_HEADROOM) ->
 
 
 # V11 ----------------------------------------------------------------------------------
-def cfr_wide(cfr: DataFrame, chosen: Sequence[str] = DEFAULT_CHOSEN) -> DataFrame:
+def cfr_wide(cfr: DataFrame, chosen: Sequence[str]) -> DataFrame:
     """Chosen groups as columns over every date of the series; missing = NULL."""
     return cfr.groupBy("date").pivot("state", list(chosen)).agg(F.max("cfr"))
 
@@ -177,14 +175,14 @@ def correlation_band(corr: DataFrame, bands=CORRELATION_BANDS) -> DataFrame:
 
 
 # V16 ----------------------------------------------------------------------------------
-def anomaly_points(z: DataFrame, state: str = "NATION_0", threshold: float = ANOMALY_Z) -> DataFrame:
+def anomaly_points(z: DataFrame, state: str, threshold: float = ANOMALY_Z) -> DataFrame:
     return (z.filter(F.col("state") == state)
             .select("date", "state", "case_inc", "z_score",
                     (F.coalesce(F.col("z_score"), F.lit(0.0)) > F.lit(threshold)).alias("is_anomaly")))
 
 
 # V19 ----------------------------------------------------------------------------------
-def day0_wide(aligned: DataFrame, chosen: Sequence[str] = DEFAULT_CHOSEN_6) -> DataFrame:
+def day0_wide(aligned: DataFrame, chosen: Sequence[str]) -> DataFrame:
     """Days 0..max over all groups; one column of cumulative counts per chosen group.
 
     The day axis is generated from the largest day (one row per day).
@@ -196,7 +194,7 @@ def day0_wide(aligned: DataFrame, chosen: Sequence[str] = DEFAULT_CHOSEN_6) -> D
     return axis.join(wide, "days_since_100", "left")
 
 
-def day0_endpoints(aligned: DataFrame, chosen: Sequence[str] = DEFAULT_CHOSEN_6) -> DataFrame:
+def day0_endpoints(aligned: DataFrame, chosen: Sequence[str]) -> DataFrame:
     """Per chosen group with rows: whether it has a non-zero value, its last day and value."""
     return (aligned.filter(F.col("state").isin(list(chosen))).groupBy("state")
             .agg((F.count(F.when(F.col("total_cases") != 0, 1)) > 0).alias("has_data"),
@@ -205,7 +203,7 @@ def day0_endpoints(aligned: DataFrame, chosen: Sequence[str] = DEFAULT_CHOSEN_6)
 
 
 # V21 ----------------------------------------------------------------------------------
-def rt_threshold(rt: DataFrame, state: str = "NATION_0", level: float = RT_LEVEL) -> DataFrame:
+def rt_threshold(rt: DataFrame, state: str, level: float = RT_LEVEL) -> DataFrame:
     w = Window.partitionBy("state").orderBy("date")
     one = rt.filter(F.col("state") == state).select("state", "date", F.round("Rt", 3).alias("rt"))
     above = F.col("rt") > F.lit(level)
@@ -219,7 +217,7 @@ def rt_threshold(rt: DataFrame, state: str = "NATION_0", level: float = RT_LEVEL
 def normalise(df: DataFrame, measures: Mapping[str, Sequence[str]] | None = None,
               group: str = "state", unknown: str = "Unknown") -> DataFrame:
     """Tolerant reading of result rows: trimmed group name ('Unknown' when missing),
-    measures taken from the first present spelling, 0 when absent."""
+    measures taken from the first present spelling, 0 when missing or absent altogether."""
     measures = measures or {"total_cases": ["totalCases"], "total_deaths": ["totalDeaths"],
                             "death_rate": ["deathRate"]}
     cols = set(df.columns)
@@ -230,8 +228,7 @@ def normalise(df: DataFrame, measures: Mapping[str, Sequence[str]] | None = None
         out = out.withColumn(group, F.lit(unknown))
     for name, alts in measures.items():
         present = [F.col(c) for c in [name, *alts] if c in cols]
-        if present or name in cols:
-            out = out.withColumn(name, F.coalesce(*present, F.lit(0)))
+        out = out.withColumn(name, F.coalesce(*present, F.lit(0)))
         out = out.drop(*[a for a in alts if a in cols])
     return out
 

@@ -57,7 +57,7 @@ snap AS (SELECT date, state, total_cases, total_deaths,
          FROM sd WHERE date = (SELECT MAX(date) FROM sd)),
 coords AS (SELECT n_name AS state, CAST(25 + n_nationkey AS DOUBLE) AS lat,
                   CAST(-70 - 2 * n_nationkey AS DOUBLE) AS lon
-           FROM nation WHERE n_nationkey < 12)"""
+           FROM nation)"""
 
 DAY = "strftime(date, '%Y-%m-%d')"
 
@@ -76,12 +76,12 @@ _mart("daily_totals", "B1", "SELECT date, cases, deaths FROM dt ORDER BY date",
 _mart("daily_increase", "B1", """
 SELECT t1.date, t1.cases - t2.cases AS case_increase, t1.deaths - t2.deaths AS death_increase
 FROM dt t1 JOIN dt t2 ON t1.date = t2.date + 1 ORDER BY t1.date""", DT)
-_mart("group_snapshot", "B2", "SELECT * FROM snap ORDER BY total_cases DESC, state")
-_mart("top10_cases", "B2", "SELECT date, state, total_cases FROM snap ORDER BY total_cases DESC, state LIMIT 10")
-_mart("top10_deaths", "B2", "SELECT date, state, total_deaths FROM snap ORDER BY total_deaths DESC, state LIMIT 10")
-_mart("bottom10_cases", "B2", "SELECT date, state, total_cases FROM snap ORDER BY total_cases ASC, state LIMIT 10")
-_mart("bottom10_deaths", "B2", "SELECT date, state, total_deaths FROM snap ORDER BY total_deaths ASC, state LIMIT 10")
-_mart("overall_and_group_rate", "B2", """
+_mart("group_snapshot", "B3", "SELECT * FROM snap ORDER BY total_cases DESC, state")
+_mart("top10_cases", "B3", "SELECT date, state, total_cases FROM snap ORDER BY total_cases DESC, state LIMIT 10")
+_mart("top10_deaths", "B3", "SELECT date, state, total_deaths FROM snap ORDER BY total_deaths DESC, state LIMIT 10")
+_mart("bottom10_cases", "B3", "SELECT date, state, total_cases FROM snap ORDER BY total_cases ASC, state LIMIT 10")
+_mart("bottom10_deaths", "B3", "SELECT date, state, total_deaths FROM snap ORDER BY total_deaths ASC, state LIMIT 10")
+_mart("overall_and_group_rate", "B3", """
 SELECT 1 AS sort_sign, date, 'USA' AS state,
        CAST(ROUND(CAST(CAST(CAST(SUM(total_deaths) AS DOUBLE) / NULLIF(SUM(total_cases), 0) AS VARCHAR) AS DECIMAL(38, 18)), 4) AS DOUBLE) AS death_rate
 FROM snap GROUP BY date
@@ -124,7 +124,7 @@ SELECT state, {DAY} AS date, doubling_time FROM (
                CAST(total_cases - LAG(total_cases) OVER w AS DOUBLE) / NULLIF(LAG(total_cases) OVER w, 0) AS r
         FROM sd WINDOW w AS (PARTITION BY state ORDER BY date)))
 WHERE doubling_time IS NOT NULL""")
-_mart("pareto_share", "B2", """
+_mart("pareto_share", "B3", """
 SELECT state, total_deaths,
        CAST(ROUND(CAST(CAST(CAST(SUM(total_deaths) OVER (ORDER BY total_deaths DESC) AS DOUBLE)
              / NULLIF((SELECT SUM(total_deaths) FROM snap), 0) AS VARCHAR) AS DECIMAL(38, 18)), 4) AS DOUBLE) AS cum_percent
@@ -155,7 +155,7 @@ _mart("day0_alignment", "B2", """
 SELECT state, CAST(date_diff('day', day0, date) AS INTEGER) AS days_since_100, total_cases, case_inc
 FROM (SELECT *, MIN(CASE WHEN total_cases >= 100 THEN date END) OVER (PARTITION BY state) AS day0 FROM wi)
 WHERE case_inc >= 0 AND date >= day0""")
-_mart("risk_features", "B2", """
+_mart("risk_features", "B3", """
 SELECT t.state, t.total_cases, t.total_deaths, m.max_daily_inc
 FROM (SELECT state, total_cases, total_deaths FROM sd WHERE date = (SELECT MAX(date) FROM sd)) t
 JOIN (SELECT state, MAX(case_inc) AS max_daily_inc FROM inc GROUP BY state) m ON t.state = m.state""")
@@ -168,6 +168,48 @@ SELECT state, {DAY} AS date, Rt FROM (
         FROM inc))
 WHERE Rt IS NOT NULL""")
 
+_mart("rolling_mean_7_calendar", "B3", f"""
+SELECT state, {DAY} AS date, CAST(ROUND(CAST(CAST(AVG(case_inc) OVER (PARTITION BY state ORDER BY date
+    RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE) AS rolling_avg
+FROM inc""")
+_mart("zscore_anomaly_calendar", "B3", """
+SELECT date, state, case_inc,
+       (CAST(case_inc AS DOUBLE) - CAST(s AS DOUBLE) / NULLIF(n, 0))
+       / NULLIF(sqrt(CAST(CAST(n AS HUGEINT) * q - CAST(s AS HUGEINT) * s AS DOUBLE) / NULLIF(n * (n - 1), 0)), 0)
+       AS z_score
+FROM (SELECT date, state, case_inc,
+             COUNT(case_inc) OVER f AS n, SUM(case_inc) OVER f AS s,
+             SUM(CAST(case_inc AS HUGEINT) * case_inc) OVER f AS q
+      FROM inc WINDOW f AS (PARTITION BY state ORDER BY date
+                            RANGE BETWEEN INTERVAL 14 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING))""")
+_mart("reproduction_ratio_calendar", "B3", f"""
+SELECT state, {DAY} AS date, Rt FROM (
+  SELECT state, date, CASE WHEN l > 50 THEN CAST(ROUND(CAST(CAST(CAST(t AS DOUBLE) / l AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE) END AS Rt
+  FROM (SELECT state, date,
+               SUM(case_inc) OVER (PARTITION BY state ORDER BY date
+                                   RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) AS t,
+               SUM(case_inc) OVER (PARTITION BY state ORDER BY date
+                                   RANGE BETWEEN INTERVAL 13 DAYS PRECEDING AND INTERVAL 7 DAYS PRECEDING) AS l
+        FROM inc))
+WHERE Rt IS NOT NULL""")
+_mart("snapshot_as_of", "B3", """
+SELECT date, state, total_cases, total_deaths,
+       CAST(ROUND(CAST(CAST(CAST(total_deaths AS DOUBLE) / NULLIF(total_cases, 0) AS VARCHAR) AS DECIMAL(38, 18)), 4) AS DOUBLE) AS death_rate
+FROM sd WHERE date = DATE '1997-06-16'""")
+_mart("json_roundtrip", "B3", "SELECT * FROM snap")
+_mart("risk_scaled_features", "B3", """
+SELECT state, ROUND(total_cases / STDDEV_SAMP(total_cases) OVER (), 6) AS scaled_total_cases,
+       ROUND(total_deaths / STDDEV_SAMP(total_deaths) OVER (), 6) AS scaled_total_deaths,
+       ROUND(max_daily_inc / STDDEV_SAMP(max_daily_inc) OVER (), 6) AS scaled_max_daily_inc
+FROM (SELECT t.state, t.total_cases, t.total_deaths, m.max_daily_inc
+      FROM (SELECT state, total_cases, total_deaths FROM sd WHERE date = (SELECT MAX(date) FROM sd)) t
+      JOIN (SELECT state, MAX(case_inc) AS max_daily_inc FROM inc GROUP BY state) m ON t.state = m.state)""")
+_mart("normalised_aliases", "B3", """
+SELECT date, CASE WHEN state = 'NATION_1' THEN 'Unknown' ELSE state END AS state, total_deaths, total_cases,
+       0 AS death_rate
+FROM snap""")
+_mart("tsv_daily_totals", "B1", "SELECT date, cases, deaths FROM dt ORDER BY date", DT)
+
 
 def statement(name: str) -> str:
     fixture, ctes, final = MART_SQL[name]
@@ -206,7 +248,7 @@ def _severity_sql() -> str:
     from cumulus.constants import SEVERITY_BINS
     selects = []
     for m, (edges, labels) in SEVERITY_BINS.items():
-        v = f"CAST({m} AS DOUBLE)"
+        v = f"COALESCE(CAST({m} AS DOUBLE), 0)"
         selects.append(f"SELECT state, '{m}' AS measure, {v} AS value, "
                        f"CAST({_case_bins(v, edges)} AS INTEGER) AS bin, {_case_bins(v, edges, labels)} AS label "
                        f"FROM group_snapshot")
@@ -224,8 +266,8 @@ FROM (SELECT *, MAX(value) OVER (PARTITION BY series) AS mx FROM (
         SELECT date, 'case_increase' AS series, case_increase AS value FROM daily_increase
         UNION ALL SELECT date, 'death_increase', death_increase FROM daily_increase))
 GROUP BY series""")
-_view("severity_bins", "B2", ("group_snapshot",), "__SEVERITY__")
-_view("top5_scaled", "B2", ("group_snapshot",), """
+_view("severity_bins", "B3", ("group_snapshot",), "__SEVERITY__")
+_view("top5_scaled", "B3", ("group_snapshot",), """
 SELECT measure, rank, state, value,
        CAST(ROUND(CAST(CAST(value / CASE measure WHEN 'total_cases' THEN CAST(10000 AS DOUBLE)
                                   WHEN 'total_deaths' THEN CAST(1 AS DOUBLE)
@@ -233,14 +275,13 @@ SELECT measure, rank, state, value,
 FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY measure ORDER BY value DESC, state) AS INTEGER) AS rank
       FROM (SELECT state, 'total_cases' AS measure, CAST(total_cases AS DOUBLE) AS value FROM group_snapshot
             UNION ALL SELECT state, 'total_deaths', CAST(total_deaths AS DOUBLE) FROM group_snapshot
-            UNION ALL SELECT state, 'death_rate', CAST(death_rate AS DOUBLE) FROM group_snapshot)
-      WHERE value IS NOT NULL)
+            UNION ALL SELECT state, 'death_rate', COALESCE(CAST(death_rate AS DOUBLE), 0) FROM group_snapshot))
 WHERE rank <= 5""")
 for _m, _src in (("total_cases", "top10_cases"), ("total_deaths", "top10_deaths")):
-    _view(f"top10_ex_total_{_m.split('_')[1]}", "B2", (_src,), f"""
+    _view(f"top10_ex_total_{_m.split('_')[1]}", "B3", (_src,), f"""
 SELECT state, {_m}, MIN({_m}) OVER () AS color_min, MAX({_m}) OVER () AS color_max
 FROM (SELECT state, {_m} FROM {_src} WHERE state <> 'USA' ORDER BY {_m} DESC, state LIMIT 10)""")
-_view("rate_complement", "B2", ("overall_and_group_rate",), """
+_view("rate_complement", "B3", ("overall_and_group_rate",), """
 SELECT 'fatal' AS category, p AS percent FROM pr
 UNION ALL SELECT 'non_fatal', CAST(ROUND(CAST(CAST(CAST(100 AS DOUBLE) - p AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE) FROM pr""",
       "pr AS (SELECT CAST(ROUND(CAST(CAST(death_rate * 100 AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE) AS p FROM overall_and_group_rate "
@@ -280,7 +321,7 @@ SELECT state, doubling_time, spread_index, MIN(spread_index) OVER () AS spread_m
        MAX(spread_index) OVER () AS spread_max
 FROM (SELECT state, doubling_time, CAST(ROUND(CAST(CAST(CAST(100 AS DOUBLE) / NULLIF(doubling_time, 0) AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE) AS spread_index
       FROM fastest)""", _FASTEST)
-_view("pareto_top20_cut", "B2", ("pareto_share",), """
+_view("pareto_top20_cut", "B3", ("pareto_share",), """
 SELECT CAST(ROW_NUMBER() OVER o AS INTEGER) AS rank, state, total_deaths,
        CAST(ROUND(CAST(CAST(cum_percent * 100 AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE) AS percent, cum_percent >= 0.8 AS over_threshold,
        cum_percent >= 0.8 AND COALESCE(MAX(CAST(cum_percent >= 0.8 AS INTEGER)) OVER (o ROWS BETWEEN
@@ -328,7 +369,7 @@ SELECT state, date, rt, rt > 1.0 AS above_one,
        COALESCE((rt > 1.0) <> LAG(rt > 1.0) OVER (PARTITION BY state ORDER BY date), FALSE) AS crossing,
        rt = MAX(rt) OVER (PARTITION BY state) AS is_max
 FROM (SELECT state, date, CAST(ROUND(CAST(CAST(Rt AS VARCHAR) AS DECIMAL(38, 18)), 3) AS DOUBLE) AS rt FROM reproduction_ratio WHERE state = 'NATION_0')""")
-_view("normalised_snapshot", "B2", ("group_snapshot",), """
+_view("normalised_snapshot", "B3", ("group_snapshot",), """
 SELECT date, COALESCE(trim(state), 'Unknown') AS state, COALESCE(total_cases, 0) AS total_cases,
        COALESCE(total_deaths, 0) AS total_deaths, COALESCE(death_rate, 0) AS death_rate
 FROM group_snapshot""")

@@ -17,21 +17,34 @@ import argparse
 from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cumulus.operators import marts as M
 from cumulus.operators.clustering import risk_clusters
-from cumulus.operators.stages import group_day, with_increments
-from cumulus.plans.stage import stage_table
-from cumulus.sources.dimensions import broadcast_if_small, nation_coords, reference_coords
+from cumulus.plans.stage import stage_group_days
+from cumulus.sources.dimensions import nation_coords, reference_coords
 from cumulus.sources.fixtures import FIXTURES
 from cumulus.sources.observations import read_obs
 from cumulus.sources.results import write_result
 
-# Marts small enough to write as one sorted file (as the original outputs 1-8 were).
-SINGLE_FILE = {"daily_totals": ["date"], "daily_increase": ["date"], "group_snapshot": None,
-               "top10_cases": None, "top10_deaths": None, "bottom10_cases": None,
-               "bottom10_deaths": None, "overall_and_group_rate": None}
+# The original outputs 1-8 were single files, in this order (column, descending).
+FILE_ORDER = {
+    "daily_totals": [("date", False)], "daily_increase": [("date", False)],
+    "group_snapshot": [("total_cases", True), ("state", False)],
+    "top10_cases": [("total_cases", True), ("state", False)],
+    "top10_deaths": [("total_deaths", True), ("state", False)],
+    "bottom10_cases": [("total_cases", False), ("state", False)],
+    "bottom10_deaths": [("total_deaths", False), ("state", False)],
+    "overall_and_group_rate": [("sort_sign", False), ("death_rate", True), ("state", False)],
+}
+# Those of a bounded size (a row per calendar day, or ten rows) are single files by default.
+SINGLE_FILE = ("daily_totals", "daily_increase", "top10_cases", "top10_deaths", "bottom10_cases", "bottom10_deaths")
+
+
+def file_order(name: str) -> list[Column] | None:
+    keys = FILE_ORDER.get(name)
+    return keys and [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_first() for c, down in keys]
 
 
 def mart_builders(coords: DataFrame | None) -> dict[str, Callable[[DataFrame], DataFrame]]:
@@ -52,11 +65,12 @@ def mart_builders(coords: DataFrame | None) -> dict[str, Callable[[DataFrame], D
 def materialise_group_day(spark: SparkSession, obs: DataFrame) -> DataFrame:
     """group_day(obs) with its increments, written once under the shared checkpoint folder,
     bucketed by group, and read back."""
-    return stage_table(spark, with_increments(group_day(obs)), "group-day", bucket_by="state")
+    return stage_group_days(spark, obs)
 
 
 def run_all(spark: SparkSession, obs: DataFrame, out_dir: str, coords: DataFrame | None = None,
-            fmt: str = "json", names: Iterable[str] | None = None, parallelism: int = 8) -> dict[str, str]:
+            fmt: str = "json", names: Iterable[str] | None = None, parallelism: int = 8,
+            single_file: Iterable[str] = SINGLE_FILE) -> dict[str, str]:
     """Materialise the group-day stage, then write every mart from it.
 
     The marts are independent small jobs over the same stage, so up to
@@ -65,12 +79,11 @@ def run_all(spark: SparkSession, obs: DataFrame, out_dir: str, coords: DataFrame
     """
     sd = materialise_group_day(spark, obs)
     builders = mart_builders(coords)
-    todo = list(names or builders)
+    todo, single = list(names or builders), set(single_file)
 
     def write(name: str) -> tuple[str, str]:
         path = f"{out_dir.rstrip('/')}/{name}"
-        write_result(builders[name](sd), path, fmt=fmt, single_file=name in SINGLE_FILE,
-                     sort_by=SINGLE_FILE.get(name))
+        write_result(builders[name](sd), path, fmt=fmt, single_file=name in single, sort_by=file_order(name))
         return name, path
 
     if parallelism <= 1:
@@ -81,12 +94,12 @@ def run_all(spark: SparkSession, obs: DataFrame, out_dir: str, coords: DataFrame
 
 
 def run_fixture(spark: SparkSession, sf_dir: str, out_dir: str, fixture: str = "B3", **kw) -> dict[str, str]:
-    coords = broadcast_if_small(nation_coords(spark, sf_dir), 10_000)
+    coords = nation_coords(spark, sf_dir)
     return run_all(spark, FIXTURES[fixture](spark, sf_dir), out_dir, coords=coords, **kw)
 
 
 def run_tsv(spark: SparkSession, path: str, out_dir: str, mode: str = "FAILFAST", **kw) -> dict[str, str]:
-    coords = broadcast_if_small(reference_coords(spark), 1000)
+    coords = reference_coords(spark)
     return run_all(spark, read_obs(spark, path, mode=mode), out_dir, coords=coords, **kw)
 
 

@@ -7,16 +7,23 @@ to the group-day table and runs one mart or view on it.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cumulus.operators import marts as M
-from cumulus.operators.clustering import risk_clusters
-from cumulus.operators.stages import group_day, with_increments
-from cumulus.plans.stage import stage_table
-from cumulus.sources.dimensions import broadcast_if_small, nation_coords
-from cumulus.sources.fixtures import FIXTURES
+from cumulus.operators import tracks as TR
+from cumulus.operators import views as V
+from cumulus.operators.clustering import FEATURES, cluster_tiers, risk_clusters, scaled_features
+from cumulus.operators.stages import group_day
+from cumulus.plans.stage import new_path, stage_group_days
+from cumulus.sources.dimensions import nation_coords
+from cumulus.sources.fixtures import FIXTURE_TABLES, FIXTURES
+from cumulus.sources.observations import read_obs
+from cumulus.sources.results import read_result, write_result
 
 Builder = Callable[[SparkSession, str, DataFrame], DataFrame]
 
@@ -28,44 +35,98 @@ def register(name: str, fixture: str, builder: Builder) -> None:
     REGISTRY[name] = (fixture, builder)
 
 
-def _coords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Broadcast only after a bounded count proves the dimension is small.
-    return broadcast_if_small(nation_coords(spark, sf_dir), 10_000)
-
-
 def _on_sd(fn):
     return lambda spark, sf_dir, sd: fn(sd)
 
 
 for _name in ["daily_totals", "daily_increase", "weekday_profile", "lagged_correlation"]:
     register(_name, "B1", _on_sd(getattr(M, _name)))
+# Snapshots of the latest day are taken of B3, where many groups report on it.
 for _name in ["group_snapshot", "top10_cases", "top10_deaths", "bottom10_cases", "bottom10_deaths",
-              "overall_and_group_rate", "rolling_mean_7", "peak_increment", "growth_rate",
-              "monthly_top10", "case_fatality_series", "doubling_time", "pareto_share",
-              "zscore_anomaly", "day0_alignment", "risk_features", "reproduction_ratio"]:
+              "overall_and_group_rate", "pareto_share", "risk_features"]:
+    register(_name, "B3", _on_sd(getattr(M, _name)))
+for _name in ["rolling_mean_7", "peak_increment", "growth_rate", "monthly_top10", "case_fatality_series",
+              "doubling_time", "zscore_anomaly", "day0_alignment", "reproduction_ratio"]:
     register(_name, "B2", _on_sd(getattr(M, _name)))
+for _name in ["rolling_mean_7", "zscore_anomaly", "reproduction_ratio"]:
+    register(f"{_name}_calendar", "B3", lambda spark, sf_dir, sd, _m=getattr(M, _name): _m(sd, calendar=True))
 register("weighted_centroid", "B2",
-         lambda spark, sf_dir, sd: M.weighted_centroid(sd, _coords(spark, sf_dir)))
-register("risk_clusters", "B2", lambda spark, sf_dir, sd: risk_clusters(M.risk_features(sd)))
+         lambda spark, sf_dir, sd: M.weighted_centroid(sd, nation_coords(spark, sf_dir)))
+register("risk_clusters", "B3", lambda spark, sf_dir, sd: risk_clusters(M.risk_features(sd)))
+
+SNAPSHOT_DAY = "1997-06-16"
+register("snapshot_as_of", "B3", lambda spark, sf_dir, sd: M.group_snapshot(sd, as_of=SNAPSHOT_DAY))
+
+
+def _scaled(spark: SparkSession, sf_dir: str, sd: DataFrame) -> DataFrame:
+    """The k-means features as plain columns, rounded as sums of doubles depend on their order."""
+    values = vector_to_array("features")
+    return scaled_features(M.risk_features(sd)).select(
+        "state", *[F.round(values[i], 6).alias(f"scaled_{c}") for i, c in enumerate(FEATURES)])
+
+
+register("risk_scaled_features", "B3", _scaled)
+
+
+def _json_round_trip(spark: SparkSession, sf_dir: str, sd: DataFrame) -> DataFrame:
+    """The snapshot written as JSON lines in the shared folder and read back."""
+    snapshot = M.group_snapshot(sd, ordered=False)
+    path = new_path(spark, f"cumulus_json_{uuid.uuid4().hex}")
+    write_result(snapshot, path)
+    return read_result(spark, path, snapshot.schema)
+
+
+register("json_roundtrip", "B3", _json_round_trip)
+
+
+def _aliased(spark: SparkSession, sf_dir: str, sd: DataFrame) -> DataFrame:
+    """``normalise`` on other spellings, a group without name and an absent measure."""
+    odd = M.group_snapshot(sd, ordered=False).select(
+        "date", F.when(F.col("state") != "NATION_1", F.concat(F.lit(" "), "state")).alias("state"),
+        F.col("total_cases").alias("totalCases"), "total_deaths")
+    return V.normalise(odd)
+
+
+register("normalised_aliases", "B3", _aliased)
+
+
+def tsv_daily_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1 written as a tab-separated file in the shared folder, read as observations, summed per day."""
+    path = new_path(spark, f"cumulus_tsv_{uuid.uuid4().hex}")
+    obs = FIXTURES["B1"](spark, sf_dir)
+    obs.select(F.date_format("date", "yyyy/M/d"), "county", "state", "cases", "deaths").write.option("sep", "\t").csv(path)
+    return M.daily_totals(group_day(read_obs(spark, path)))
 
 
 def group_day_of(spark: SparkSession, sf_dir: str, fixture: str) -> DataFrame:
     return group_day(FIXTURES[fixture](spark, sf_dir))
 
 
-# Materialised group-day stages, per (application, tables folder, fixture).
-_STAGES: dict[tuple[str, str, str], DataFrame] = {}
+# Materialised group-day stages, per (application, tables folder, fixture), each with the
+# state of the source files that it was made from.
+_STAGES: dict[tuple[str, str, str], tuple[tuple, DataFrame]] = {}
+
+
+def _source_state(spark: SparkSession, sf_dir: str, fixture: str) -> tuple:
+    """Path, length and time of change of every file of the fixture's tables."""
+    sc, found = spark.sparkContext, []
+    for table in FIXTURE_TABLES[fixture]:
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{table}.parquet")
+        for f in path.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(path):
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def staged_group_day(spark: SparkSession, sf_dir: str, fixture: str, reuse: bool = True) -> DataFrame:
-    """The fixture's group-day table with its increments, written once per application and read back."""
+    """The fixture's group-day table with its increments, written once per application and read back
+    (again when the source files have changed)."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), fixture)
-    if reuse and key in _STAGES:
-        return _STAGES[key]
-    sd = stage_table(spark, with_increments(group_day_of(spark, sf_dir, fixture)), "group-day",
-                     bucket_by="state")
+    state = _source_state(spark, sf_dir, fixture) if reuse else ()
+    if reuse and key in _STAGES and _STAGES[key][0] == state:
+        return _STAGES[key][1]
+    sd = stage_group_days(spark, sd=group_day_of(spark, sf_dir, fixture))
     if reuse:
-        _STAGES[key] = sd
+        _STAGES[key] = (state, sd)
     return sd
 
 
@@ -87,44 +148,45 @@ def run(name: str, spark: SparkSession, sf_dir: str, fixture: str | None = None,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, _n=name: run(_n, spark, sf_dir)) for name in REGISTRY}
+    found = {name: (lambda spark, sf_dir, _n=name: run(_n, spark, sf_dir)) for name in REGISTRY}
+    return found | {"tsv_daily_totals": tsv_daily_totals}
 
 
 # ---- views over the marts ---------------------------------------------------------------
-def _register_views() -> None:
-    from cumulus.operators import tracks as TR
-    from cumulus.operators import views as V
-    from cumulus.operators.clustering import cluster_tiers
+#: Groups that the views of chosen groups show on the test fixtures.
+CHOSEN = [f"NATION_{k}" for k in range(6)]
 
+
+def _register_views() -> None:
     def coords_centroid(spark, sf_dir, sd):
-        return M.weighted_centroid(sd, _coords(spark, sf_dir))
+        return M.weighted_centroid(sd, nation_coords(spark, sf_dir))
 
     on = {
         "series_peak_and_mean": ("B1", lambda s, d, sd: V.series_peak_and_mean(M.daily_increase(sd))),
         "weekday_monday_first": ("B1", lambda s, d, sd: V.weekday_monday_first(M.weekday_profile(sd))),
         "correlation_band": ("B1", lambda s, d, sd: V.correlation_band(M.lagged_correlation(sd))),
         "daily_totals_stacked": ("B1", lambda s, d, sd: V.daily_totals_stacked(M.daily_totals(sd))),
-        "severity_bins": ("B2", lambda s, d, sd: V.severity_bins(M.group_snapshot(sd))),
-        "top5_scaled": ("B2", lambda s, d, sd: V.top5_scaled(M.group_snapshot(sd))),
-        "top10_ex_total_cases": ("B2", lambda s, d, sd: V.top10_ex_total(M.top10_cases(sd), "total_cases")),
-        "top10_ex_total_deaths": ("B2", lambda s, d, sd: V.top10_ex_total(M.top10_deaths(sd), "total_deaths")),
-        "rate_complement": ("B2", lambda s, d, sd: V.rate_complement(M.overall_and_group_rate(sd))),
+        "severity_bins": ("B3", lambda s, d, sd: V.severity_bins(M.group_snapshot(sd))),
+        "top5_scaled": ("B3", lambda s, d, sd: V.top5_scaled(M.group_snapshot(sd))),
+        "top10_ex_total_cases": ("B3", lambda s, d, sd: V.top10_ex_total(M.top10_cases(sd), "total_cases")),
+        "top10_ex_total_deaths": ("B3", lambda s, d, sd: V.top10_ex_total(M.top10_deaths(sd), "total_deaths")),
+        "rate_complement": ("B3", lambda s, d, sd: V.rate_complement(M.overall_and_group_rate(sd))),
         "latest_rolling_top20": ("B2", lambda s, d, sd: V.latest_rolling_top20(M.rolling_mean_7(sd))),
         "peak_top15": ("B2", lambda s, d, sd: V.peak_top15(M.peak_increment(sd))),
         "growth_extremes": ("B2", lambda s, d, sd: V.growth_extremes(M.growth_rate(sd))),
         "month_frames": ("B2", lambda s, d, sd: V.month_frames(M.monthly_top10(sd))),
-        "cfr_wide": ("B2", lambda s, d, sd: V.cfr_wide(M.case_fatality_series(sd))),
+        "cfr_wide": ("B2", lambda s, d, sd: V.cfr_wide(M.case_fatality_series(sd), CHOSEN[:5])),
         "fastest_doubling_top15": ("B2", lambda s, d, sd: V.fastest_doubling_top15(M.doubling_time(sd))),
         "spread_index": ("B2", lambda s, d, sd: V.spread_index(V.fastest_doubling_top15(M.doubling_time(sd)))),
-        "pareto_top20_cut": ("B2", lambda s, d, sd: V.pareto_top20_cut(M.pareto_share(sd))),
-        "anomaly_points": ("B2", lambda s, d, sd: V.anomaly_points(M.zscore_anomaly(sd))),
+        "pareto_top20_cut": ("B3", lambda s, d, sd: V.pareto_top20_cut(M.pareto_share(sd))),
+        "anomaly_points": ("B2", lambda s, d, sd: V.anomaly_points(M.zscore_anomaly(sd), CHOSEN[0])),
         "thin_trajectory": ("B2", lambda s, d, sd: TR.thin_trajectory(coords_centroid(s, d, sd))),
         "trajectory_segments": ("B2", lambda s, d, sd: TR.trajectory_segments(coords_centroid(s, d, sd))),
-        "day0_wide": ("B2", lambda s, d, sd: V.day0_wide(M.day0_alignment(sd))),
-        "day0_endpoints": ("B2", lambda s, d, sd: V.day0_endpoints(M.day0_alignment(sd))),
-        "cluster_tiers": ("B2", lambda s, d, sd: cluster_tiers(risk_clusters(M.risk_features(sd)))),
-        "rt_threshold": ("B2", lambda s, d, sd: V.rt_threshold(M.reproduction_ratio(sd))),
-        "normalised_snapshot": ("B2", lambda s, d, sd: V.normalise(M.group_snapshot(sd))),
+        "day0_wide": ("B2", lambda s, d, sd: V.day0_wide(M.day0_alignment(sd), CHOSEN)),
+        "day0_endpoints": ("B2", lambda s, d, sd: V.day0_endpoints(M.day0_alignment(sd), CHOSEN)),
+        "cluster_tiers": ("B3", lambda s, d, sd: cluster_tiers(risk_clusters(M.risk_features(sd)))),
+        "rt_threshold": ("B2", lambda s, d, sd: V.rt_threshold(M.reproduction_ratio(sd), CHOSEN[0])),
+        "normalised_snapshot": ("B3", lambda s, d, sd: V.normalise(M.group_snapshot(sd))),
     }
     for name, (fx, fn) in on.items():
         register(name, fx, fn)

@@ -17,15 +17,16 @@ from cumulus.operators.stages import group_day, increments, with_increments
 
 def register_views(spark: SparkSession, obs: DataFrame | None = None, sd: DataFrame | None = None,
                    prefix: str = "") -> list[str]:
+    if obs is not None:
+        obs.createOrReplaceTempView(f"{prefix}obs")
     if sd is None:
         if obs is None:
             raise ValueError("give obs or sd")
-        obs.createOrReplaceTempView(f"{prefix}obs")
         sd = group_day(obs)
     sd.createOrReplaceTempView(f"{prefix}group_day")
     with_increments(sd).createOrReplaceTempView(f"{prefix}increments_all")
     increments(sd).createOrReplaceTempView(f"{prefix}increments")
-    return [v for v in (["obs"] if obs is not None else []) + ["group_day", "increments_all", "increments"]]
+    return [f"{prefix}{v}" for v in (["obs"] if obs is not None else []) + ["group_day", "increments_all", "increments"]]
 
 
 def register_marts(spark: SparkSession, sd: DataFrame, coords: DataFrame | None = None,

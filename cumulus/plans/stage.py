@@ -2,18 +2,46 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
-from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from cumulus.operators.stages import group_day, with_increments
 from cumulus.session import checkpoint_dir
 
-MAX_STAGE_BUCKETS = 512
+# Folders that this process has written, per application; removed when it ends.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that goes when the application ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    if not _WRITTEN:
+        atexit.register(_drop_at_exit)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Delete the stages that this application has written; returns how many folders went."""
+    sc, gone = spark.sparkContext, 0
+    for path in _WRITTEN.pop(sc.applicationId, []):
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True))
+    return gone
+
+
+def _drop_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        drop_stages(spark)
 
 
 def stage_table(spark: SparkSession, df: DataFrame, label: str = "stage",
-                bucket_by: str | None = None, buckets: int | None = None) -> DataFrame:
+                bucket_by: str | None = None, buckets: int | None = None,
+                partitioned: bool = False) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back.
 
     This cuts the lineage: every later plan (scalar subqueries, self-joins,
@@ -21,32 +49,41 @@ def stage_table(spark: SparkSession, df: DataFrame, label: str = "stage",
     it rather than re-running the scan of the source tables.
 
     With ``bucket_by`` the stage is an external table bucketed on that column
-    (one file per bucket: rows are hash-partitioned the same way first), so
-    windows and aggregations keyed by it run without an exchange.  If the
-    catalog cannot take the table, a plain Parquet stage is written instead.
-    Without a shared folder on a cluster, fall back to a disk-backed cache
-    (recomputed from lineage if lost).
+    (one file per bucket: rows are hash-partitioned the same way first, unless
+    ``partitioned`` says that they are), so windows and aggregations keyed by it
+    run without an exchange.  There are as many buckets as shuffle partitions.
+    If the catalog refuses the table, a plain Parquet stage is written instead;
+    any other failure is raised.  On a cluster without a shared folder, so is
+    that (see ``checkpoint_dir``).
     """
-    try:
-        base = checkpoint_dir(spark)
-    except RuntimeError:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
     name = f"cumulus_{label.replace('-', '_')}_{uuid.uuid4().hex}"
-    path = f"{base.rstrip('/')}/{name}"
+    path = new_path(spark, name)
     if bucket_by:
-        # One row per (group, day) at most: a few hundred buckets keep windows parallel
-        # without thousands of tiny files when the cluster's shuffle partitions are large.
-        n = buckets or max(1, min(MAX_STAGE_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = df if partitioned else df.repartition(n, bucket_by)
         try:
-            (df.repartition(n, bucket_by).write.mode("overwrite")
-             .bucketBy(n, bucket_by).sortBy(bucket_by).option("path", path).saveAsTable(name))
+            (rows.write.mode("overwrite").bucketBy(n, bucket_by).sortBy(bucket_by)
+             .option("path", path).saveAsTable(name))
             staged = spark.table(name)
             # The resolved relation keeps the files and the bucket layout; the catalog
             # entry of this external table is only needed to read it back, so no table
             # is left behind in a shared catalog.
             spark.sql(f"DROP TABLE IF EXISTS {name}")
             return staged
-        except Exception:  # noqa: BLE001 - no usable catalog: plain files below
-            path = path + "_files"
+        except AnalysisException:
+            path = new_path(spark, name + "_files")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def stage_group_days(spark: SparkSession, obs: DataFrame | None = None, sd: DataFrame | None = None,
+                     buckets: int | None = None) -> DataFrame:
+    """The group-day table with its increments, bucketed by group.
+
+    Rows are hash-partitioned by group into the stage's buckets below the lag
+    window, so window and buckets share one exchange at any partition setting.
+    """
+    sd = group_day(obs) if sd is None else sd
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return stage_table(spark, with_increments(sd.repartition(n, "state")), "group-day", bucket_by="state",
+                       buckets=n, partitioned=True)

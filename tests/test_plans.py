@@ -2,7 +2,6 @@
 
 import pytest
 
-import __spark_entry__ as E
 from cumulus.plans import registry as R
 
 from conftest import SF_SMALL
@@ -40,7 +39,7 @@ def test_topk_per_group_uses_window_group_limit(spark, name):
 
 
 def test_no_python_in_any_registered_plan(spark):
-    for name, fn in E.queries().items():
+    for name, fn in R.queries().items():
         plan = plan_of(fn(spark, SF_SMALL))
         assert not any(n in plan for n in PYTHON_NODES), name
 
@@ -74,12 +73,59 @@ def test_group_day_aggregates_before_its_exchange(spark):
 
 
 @pytest.mark.parametrize("fixture", ["B2", "B3"])
-def test_fixture_join_orders_agree(spark, monkeypatch, fixture):
+def test_fixture_joins_carry_no_hint_and_run_no_job(spark, fixture):
     from cumulus.sources import fixtures as FX
-    small = sorted(map(tuple, FX.FIXTURES[fixture](spark, SF_SMALL).collect()))
-    monkeypatch.setattr(FX, "BROADCAST_DIM_ROWS", 0)   # force the pre-aggregate-then-join branch
-    large = sorted(map(tuple, FX.FIXTURES[fixture](spark, SF_SMALL).collect()))
-    assert small == large and len(small) > 100
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("fixture", "fixture")
+    try:
+        df = FX.FIXTURES[fixture](spark, SF_SMALL)
+        assert not tracker.getJobIdsForGroup("fixture")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    logical = df._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in logical and "UnresolvedHint" not in logical
+
+
+@pytest.mark.parametrize("partitions, buckets", [(8, None), (520, None), (8, 16)])
+def test_stage_build_has_one_exchange_by_group(spark, partitions, buckets):
+    from cumulus.operators.stages import with_increments
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        sd = R.group_day_of(spark, SF_SMALL, "B3")
+        plan = plan_of(with_increments(sd.repartition(buckets or partitions, "state")))
+        assert plan.count("Exchange hashpartitioning(state") == 1
+        staged = R.stage_group_days(spark, sd=sd, buckets=buckets)
+        assert f"out of {buckets or partitions}" in plan_of(staged.filter("state = 'NATION_0'"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_stage_is_made_again_when_its_source_changes(spark, tmp_path):
+    import shutil
+    shutil.copy(f"{SF_SMALL}/events.parquet", tmp_path / "events.parquet")
+    first = R.run("daily_totals", spark, str(tmp_path)).count()
+    assert first == R.run("daily_totals", spark, str(tmp_path)).count()
+    half = spark.read.parquet(f"{SF_SMALL}/events.parquet").limit(1)
+    half.write.parquet(str(tmp_path / "new"))
+    part = next((tmp_path / "new").glob("part-*.parquet"))
+    shutil.copy(part, tmp_path / "events.parquet")
+    assert R.run("daily_totals", spark, str(tmp_path)).count() == 1 < first
+
+
+def test_stages_go_with_the_application(spark, tmp_path):
+    from cumulus.plans import stage as S
+    path = S.new_path(spark, "cumulus_probe")
+    spark.range(3).write.parquet(path)
+    own = S._WRITTEN[spark.sparkContext.applicationId]
+    others = [p for p in own if p != path]
+    own[:] = [path]
+    try:
+        assert S.drop_stages(spark) == 1
+        with pytest.raises(Exception):
+            spark.read.parquet(path).count()
+    finally:
+        S._WRITTEN[spark.sparkContext.applicationId] = others
 
 
 def test_bucketed_stage_leaves_no_catalog_table(spark):
@@ -92,14 +138,27 @@ def test_bucketed_stage_leaves_no_catalog_table(spark):
 
 
 def test_stage_falls_back_to_plain_files_without_a_catalog(spark, monkeypatch):
+    from pyspark.errors import AnalysisException
     from pyspark.sql import DataFrameWriter
     from cumulus.plans.stage import stage_table
 
     def refuse(self, *a, **k):
-        raise RuntimeError("no catalog")
+        raise AnalysisException("no catalog")
 
     monkeypatch.setattr(DataFrameWriter, "saveAsTable", refuse)
     sd = stage_table(spark, R.group_day_of(spark, SF_SMALL, "B1"), "fallback", bucket_by="state")
     want = sorted(map(tuple, R.group_day_of(spark, SF_SMALL, "B1").collect()))
     assert sorted(map(tuple, sd.collect())) == want
     assert "Bucketed: true" not in plan_of(sd)
+
+
+def test_stage_raises_what_is_no_refusal_of_the_catalog(spark, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+    from cumulus.plans.stage import stage_table
+
+    def fail(self, *a, **k):
+        raise RuntimeError("disk full")
+
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", fail)
+    with pytest.raises(RuntimeError):
+        stage_table(spark, R.group_day_of(spark, SF_SMALL, "B1"), "failing", bucket_by="state")
