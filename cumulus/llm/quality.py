@@ -131,6 +131,7 @@ def _distance(names: list[str], prefix: str = "") -> Column:
 
 
 GROUP = ["g_lang", "g_source"]
+START = [*GROUP, "start"]      # estimates of the two starts go through the steps side by side
 
 
 def _salted(groups: DataFrame) -> DataFrame:
@@ -138,27 +139,27 @@ def _salted(groups: DataFrame) -> DataFrame:
 
 
 def _moments(rows: DataFrame, names: list[str], floors: list[float]) -> DataFrame:
-    """Mean and covariance per group of the rows, the covariance drawn to the language's.
+    """Mean and covariance of the rows per group and start, the covariance drawn to the language's.
 
     The floors' squares are added to the variances, so no covariance is singular.
     """
     d = len(names)
     sums = [F.count(F.lit(1)).alias("n")] + [F.sum(n).alias(f"t_{i}") for i, n in enumerate(names)] + [
         F.sum(F.col(names[i]) * F.col(names[j])).alias(f"q_{i}_{j}") for i in range(d) for j in range(i + 1)]
-    by_group = rows.groupBy(*GROUP).agg(*sums)
+    by_group = rows.groupBy(*START).agg(*sums)
 
     def scatter(i: int, j: int) -> Column:
         return F.col(f"q_{i}_{j}") - F.col(f"t_{i}") * F.col(f"t_{j}") / F.col("n")
 
     scatters = [scatter(i, j).alias(f"c_{i}_{j}") for i in range(d) for j in range(i + 1)]
-    own = by_group.select(*GROUP, "n", *[(F.col(f"t_{i}") / F.col("n")).alias(f"m_{i}") for i in range(d)], *scatters)
-    pooled = own.groupBy("g_lang").agg(F.sum("n").alias("nl"), *[
+    own = by_group.select(*START, "n", *[(F.col(f"t_{i}") / F.col("n")).alias(f"m_{i}") for i in range(d)], *scatters)
+    pooled = own.groupBy("g_lang", "start").agg(F.sum("n").alias("nl"), *[
         F.sum(f"c_{i}_{j}").alias(f"b_{i}_{j}") for i in range(d) for j in range(i + 1)])
-    both = own.join(pooled, "g_lang")
+    both = own.join(pooled, ["g_lang", "start"])
     drawn = [((F.col(f"c_{i}_{j}") + PRIOR * F.col(f"b_{i}_{j}") / F.col("nl")) / (F.col("n") + PRIOR)
               + (F.lit(floors[i] ** 2) if i == j else F.lit(0.0))).alias(f"s_{i}_{j}")
              for i in range(d) for j in range(i + 1)]
-    return both.select(*GROUP, *[f"m_{i}" for i in range(d)], *drawn)
+    return both.select(*START, *[f"m_{i}" for i in range(d)], *drawn)
 
 
 def estimates(rows: DataFrame, features: dict[str, tuple[str, float]] = FEATURES) -> DataFrame:
@@ -175,23 +176,19 @@ def estimates(rows: DataFrame, features: dict[str, tuple[str, float]] = FEATURES
     spread = centred.groupBy(*GROUP).agg(
         *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(d)],
         *[F.percentile_approx(F.abs(F.col(n) - F.col(f"m_{i}")), 0.5, ACCURACY).alias(f"a_{i}") for i, n in enumerate(names)])
-    plain = spread.select(*GROUP, *[f"m_{i}" for i in range(d)], *[
+    medians = spread.select(*GROUP, F.lit(0).alias("start"), *[f"m_{i}" for i in range(d)], *[
         (F.col(f"a_{i}") ** 2 * 2.2 + floors[i] ** 2 if i == j else F.lit(0.0)).alias(f"s_{i}_{j}")
         for i in range(d) for j in range(i + 1)])
-    starts = [plain, _moments(rows, names, floors)]
-    ends = []
-    for k, start in enumerate(starts):
-        groups = staged(_precision(start, names, GROUP), "estimate")
-        for _ in range(STEPS):
-            far = rows.join(_salted(groups), [*GROUP, "salt"]).select(*GROUP, "salt", *names, _distance(names).alias("d2"))
-            far = staged(far, "distances")
-            limit = far.groupBy(*GROUP).agg(F.percentile_approx("d2", SHARE, ACCURACY).alias("limit"))
-            core = far.join(_salted(limit), [*GROUP, "salt"]).where("d2 <= limit")
-            groups = staged(_precision(_moments(core, names, floors), names, GROUP), "estimate")
-        ends.append(groups.withColumn("start", F.lit(k)))
-    both = ends[0].unionByName(ends[1])
-    best = both.groupBy(*GROUP).agg(F.min(F.struct("logdet", "start", *[c for c in both.columns if c[:2] in ("m_", "p_")])).alias("e"))
-    held = [c for c in both.columns if c[:2] in ("m_", "p_")]
+    plain = _moments(rows.withColumn("start", F.lit(1)), names, floors)
+    groups = staged(_precision(medians.unionByName(plain), names, START), "estimate")
+    both = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
+    for _ in range(STEPS):
+        far = both.join(_salted(groups), [*START, "salt"]).select(*START, "salt", *names, _distance(names).alias("d2"))
+        limit = far.groupBy(*START).agg(F.percentile_approx("d2", SHARE, ACCURACY).alias("limit"))
+        core = far.join(_salted(limit), [*START, "salt"]).where("d2 <= limit")
+        groups = staged(_precision(_moments(core, names, floors), names, START), "estimate")
+    held = [c for c in groups.columns if c[:2] in ("m_", "p_")]
+    best = groups.groupBy(*GROUP).agg(F.min(F.struct("logdet", "start", *held)).alias("e"))
     return best.select(*GROUP, *[(F.col(f"e.{c}") / factor if c[0] == "p" else F.col(f"e.{c}")).alias(c) for c in held])
 
 
