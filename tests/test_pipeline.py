@@ -30,7 +30,7 @@ def test_run_fixture_parquet_output_matches_queries(spark, tmp_path):
     assert set(written) == {"rolling_mean_7", "weighted_centroid", "pareto_share"}
     for name, path in written.items():
         got = sorted(map(tuple, spark.read.parquet(path).collect()))
-        want = sorted(map(tuple, R.run(name, spark, SF_SMALL).collect()))
+        want = sorted(map(tuple, R.run(name, spark, SF_SMALL, fixture="B2").collect()))
         assert got == want, name
 
 
