@@ -35,6 +35,7 @@ CLOSED, IN_LETTERS, IN_NUMBERS, IN_OTHER, AFTER_LEAD, IN_SPACE, ONE_TO_GO, TWO_T
 
 BLOCK = 512                 # code points a block of the scan
 PART_BYTES = 1 << 20        # bytes of text scanned at once
+BATCH_ROWS = 256            # texts encoded before their rows go back to Spark
 CACHE_SLICES = 400_000      # slices kept by a worker before the cache starts anew
 WIDE = 32                   # bytes of the longest slice merged in the vectorised rounds
 NO_RANK = np.int64(1 << 40)
@@ -378,6 +379,13 @@ def encoder(path: str, specials: dict[str, int] | None = None) -> Encoder:
     return _ENCODERS[key]
 
 
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of a few hundred rows, so that what a worker holds at once stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(k, BATCH_ROWS)
+
+
 def _bytes_of(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
@@ -402,7 +410,7 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", ids: str = "tok
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ranks_path, specials)
         words, lengths = own.tables()
-        for batch in batches:
+        for batch in _portions(batches):
             packed = own.encode_texts(_bytes_of(batch.column(batch.schema.get_field_index(_TEXT))))
             new = [pa.array(packed, type=pa.binary())]
             if offsets:
@@ -439,7 +447,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "token_ids", out: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, _ = encoder(ranks_path, specials).tables()
         at = keep.index(ids)
-        for batch in batches:
+        for batch in _portions(batches):
             new = pa.array([decode_ids(x or b"", words) for x in batch.column(at).to_pylist()], type=pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [new],
                                              names=[*keep, out])
