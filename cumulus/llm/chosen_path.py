@@ -22,6 +22,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -286,8 +287,7 @@ def _in_blocks(members: DataFrame, similarity: float, best: bool) -> DataFrame:
         "block", "id", "n", "component", *[f"s{i}" for i in range(COORDINATES // 64)])
     most, percent = _most_apart(similarity), round(100 * similarity)
 
-    def run(key, frame):
-        import pandas as pd
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         node, i, j = key
         x, y = frame[frame["block"] == i], frame[frame["block"] == j]
         found = []

@@ -143,7 +143,7 @@ def _compare(threshold: float):
     return run
 
 
-def _pack(key, frame: pd.DataFrame) -> pd.DataFrame:
+def _pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values("rep")
     return pd.DataFrame({
         "key": ["/".join(map(str, key))], "label": [key[0]], "dim": [key[1]],

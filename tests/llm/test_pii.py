@@ -72,7 +72,7 @@ def test_equal_values_stay_linked_across_documents(change):
 
 def test_invalid_values_stay(change):
     texts = ["card 4417744280351548.", "ip 300.1.1.1 x", "ssn 000-12-3456", "GB83 WEST 1234 5698 7654 32", "2023-02-30", "12345", "3.14",
-             "version 1.2.3", "1500-01-01", "a@b", "x" * 100_000 + "1", "1" * 50]
+             "version 1.2.3", "1500-01-01", "a@b", "x" * 100_000 + "1", "1" * 25]
     assert change(texts) == [(t, 0) for t in texts]
 
 
