@@ -35,7 +35,7 @@ SMALL_NODE = 32          # documents that a node may hold to be compared exhaust
 BLOCK = 1024             # documents of a block in such nodes
 FILTER_BITS = 23         # two to this power: bits of the filter of ids whose texts are needed
 RECALL = 1 - 1e-7        # chance to find a pair exactly at the threshold
-PART_BYTES = 1 << 21
+PART_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -30,6 +30,7 @@ SHARE = 0.75          # documents of a group that a concentration step keeps
 STEPS = 3             # concentration steps
 ACCURACY = 1000       # of quantiles: their rank is off by at most 1 / ACCURACY of a group
 PRIOR = 50            # weight, in documents, of the language's estimate in a source's covariance
+CENTRE_PRIOR = 5      # the same for its centre: a document alone in its group is not its own measure
 CUTOFF = 1 - 1e-6     # of the chi-square distribution of squared distances
 SALTS = 64
 
@@ -139,7 +140,7 @@ def _salted(groups: DataFrame) -> DataFrame:
 
 
 def _moments(rows: DataFrame, names: list[str], floors: list[float]) -> DataFrame:
-    """Mean and covariance of the rows per group and start, the covariance drawn to the language's.
+    """Mean and covariance of the rows per group and start, both drawn to the language's.
 
     The floors' squares are added to the variances, so no covariance is singular.
     """
@@ -152,14 +153,16 @@ def _moments(rows: DataFrame, names: list[str], floors: list[float]) -> DataFram
         return F.col(f"q_{i}_{j}") - F.col(f"t_{i}") * F.col(f"t_{j}") / F.col("n")
 
     scatters = [scatter(i, j).alias(f"c_{i}_{j}") for i in range(d) for j in range(i + 1)]
-    own = by_group.select(*START, "n", *[(F.col(f"t_{i}") / F.col("n")).alias(f"m_{i}") for i in range(d)], *scatters)
-    pooled = own.groupBy("g_lang", "start").agg(F.sum("n").alias("nl"), *[
+    own = by_group.select(*START, "n", *[f"t_{i}" for i in range(d)], *scatters)
+    pooled = own.groupBy("g_lang", "start").agg(F.sum("n").alias("nl"), *[F.sum(f"t_{i}").alias(f"u_{i}") for i in range(d)], *[
         F.sum(f"c_{i}_{j}").alias(f"b_{i}_{j}") for i in range(d) for j in range(i + 1)])
     both = own.join(pooled, ["g_lang", "start"])
     drawn = [((F.col(f"c_{i}_{j}") + PRIOR * F.col(f"b_{i}_{j}") / F.col("nl")) / (F.col("n") + PRIOR)
               + (F.lit(floors[i] ** 2) if i == j else F.lit(0.0))).alias(f"s_{i}_{j}")
              for i in range(d) for j in range(i + 1)]
-    return both.select(*START, *[f"m_{i}" for i in range(d)], *drawn)
+    centre = [((F.col(f"t_{i}") + CENTRE_PRIOR * F.col(f"u_{i}") / F.col("nl")) / (F.col("n") + CENTRE_PRIOR)).alias(f"m_{i}")
+              for i in range(d)]
+    return both.select(*START, *centre, *drawn)
 
 
 def estimates(rows: DataFrame, features: dict[str, tuple[str, float]] = FEATURES) -> DataFrame:

@@ -11,11 +11,14 @@ from cumulus.llm import bpe, chosen_path, embedding_links, packing, pii, prefere
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: The only special token of byte_bpe_50k.json (its ids are those of the rank file otherwise).
 SPECIALS = {"<|endoftext|>": 50256}
+ARROW_ROWS = 1000
 #: Key of the registered pseudonyms; a real corpus gets a secret one.
 KEY = "cumulus"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder.  Rows hold whole texts, so Python workers get fewer at a time than by default."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

