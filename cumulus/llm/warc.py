@@ -49,13 +49,13 @@ def _line(text: str) -> str:
     return "".join(c if " " < c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in text)
 
 
-def record(kind: str, uid: int, url: str | None, payload: bytes, digest: str, when: str,
+def record(kind: str, name: str, url: str | None, payload: bytes, digest: str, when: str,
            extra: list[tuple[str, str]]) -> bytes:
     """A whole record, uncompressed.  A revisit has the HTTP header alone."""
     http = (b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
             + str(len(payload)).encode() + b"\r\n\r\n")
     block = http if kind == "revisit" else http + payload
-    fields = [("WARC-Type", kind), ("WARC-Record-ID", record_id(uid)), ("WARC-Date", when)]
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", name), ("WARC-Date", when)]
     if url is not None:
         fields.append(("WARC-Target-URI", _line(url)))
     fields += [("WARC-Payload-Digest", f"sha256:{digest}"), *extra,
@@ -64,8 +64,9 @@ def record(kind: str, uid: int, url: str | None, payload: bytes, digest: str, wh
     return VERSION + head + b"\r\n" + block + b"\r\n\r\n"
 
 
-def record_id(uid: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, str(uid))}>"
+def record_id(page_id: int | None, digest: str) -> str:
+    """A record's id, by its page and payload."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}/{digest}')}>"
 
 
 def _header(data: bytes) -> tuple[dict[str, str], int] | None:
@@ -156,18 +157,18 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url: str = "ur
     """Write one record per row into gzip archives under ``folder``; returns the manifest (file, bytes, records).
 
     A null payload is empty.  Of rows with equal payloads of at least ``least``
-    bytes the one with the smallest id is the response (null ids come last, and
-    one of rows that are equal in everything), the others are revisits of it.
+    bytes the one with the smallest id is the response (null ids come last; rows
+    that repeat that id are responses too), the others are revisits of it.
     """
     base = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url).cast("string").alias("url"),
                         F.coalesce(F.col(payload), F.lit("")).alias("payload"))
     base = base.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
-    base = staged(base.withColumn("uid", F.monotonically_increasing_id()), "pages")
     first = base.where(F.col("size") >= least).groupBy("digest").agg(
-        F.min(F.struct(F.col("id").isNull(), "id", "uid")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = first.select("digest", F.col("first.uid").alias("of_uid"))
-    rows = base.join(first, "digest", "left").select("id", "url", "payload", "digest", "uid",
-                                                     F.when(F.expr("of_uid != uid"), F.col("of_uid")).alias("of_uid"))
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # A null id that is the first of its payload repeats itself: all such rows are responses.
+    rows = base.join(first.select("digest", "first"), "digest", "left").select(
+        "id", "url", "payload", "digest", F.col("first.id").alias("first_id"),
+        F.coalesce(~F.col("id").eqNullSafe(F.col("first.id")) & F.col("first").isNotNull(), F.lit(False)).alias("again"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _open(folder)
@@ -187,12 +188,12 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url: str = "ur
                     out, count, size, files = system.open_output_stream(f"{root}/{name}", compression=None), 0, 0, files + 1
                 extra = [] if row["id"] is None else [("X-Page-Id", str(row["id"]))]
                 kind = "response"
-                if row["of_uid"] is not None:
+                if row["again"]:
                     kind = "revisit"
-                    extra += [("WARC-Refers-To", record_id(row["of_uid"])), ("WARC-Profile", REVISIT_PROFILE)]
+                    extra += [("WARC-Refers-To", record_id(row["first_id"], row["digest"])), ("WARC-Profile", REVISIT_PROFILE)]
                 packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-                member = packer.compress(record(kind, row["uid"], row["url"], row["payload"].encode(), row["digest"],
-                                                when, extra)) + packer.flush()
+                member = packer.compress(record(kind, record_id(row["id"], row["digest"]), row["url"],
+                                                row["payload"].encode(), row["digest"], when, extra)) + packer.flush()
                 out.write(member)
                 count, size = count + 1, size + len(member)
                 if size >= FILE_BYTES:
@@ -263,9 +264,8 @@ def resolve(records: DataFrame) -> DataFrame:
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.when(F.col("record_type") == "response", F.sha2("payload", 256)).otherwise(F.col("digest"))
         .alias("payload_digest")), "records")
-    of = known.where("record_type = 'response'").select(
-        F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"),
-        F.col("payload_bytes").alias("of_bytes"))
+    of = known.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(
+        F.min("page_id").alias("refers_to"), F.min("payload_bytes").alias("of_bytes"))
     revisits = known.where("record_type = 'revisit'").join(of, "refers_to_id", "left").select(
         "page_id", F.col("of_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     responses = known.where("record_type = 'response'").select(

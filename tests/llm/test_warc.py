@@ -46,10 +46,11 @@ def test_odd_pages(spark):
     assert rows_of(warc.round_trip(frame(spark, PAGES))) == sorted(brute(PAGES), key=key)
 
 
-def test_repeated_rows_have_one_response(spark):
-    out = warc.round_trip(frame(spark, [(1, "u", "x" * 200)] * 4 + [(2, "u", "x" * 200)])).collect()
-    assert sorted(r.record_type for r in out) == ["response"] + ["revisit"] * 4
+def test_rows_that_repeat_the_smallest_id_are_responses(spark):
+    out = warc.round_trip(frame(spark, [(1, "u", "x" * 200)] * 4 + [(2, "u", "x" * 200)] * 2)).collect()
+    assert sorted(r.record_type for r in out) == ["response"] * 4 + ["revisit"] * 2
     assert {r.refers_to for r in out if r.record_type == "revisit"} == {1}
+    assert {r.payload_bytes for r in out} == {200}
 
 
 def test_empty_table(spark):
@@ -75,7 +76,7 @@ def test_plain_gzip_reads_the_archives(spark, tmp_path):
 
 
 def test_false_magic_and_foreign_members_are_passed_over():
-    record = warc.record("response", 1, "u", b"payload", "0", "t", [])
+    record = warc.record("response", "<id>", "u", b"payload", "0", "t", [])
     data = b"\x1f\x8b\x08junk" + gzip.compress(b"no archive") + gzip.compress(record) + gzip.compress(b"other") + gzip.compress(record)
     found = list(warc.records_in(io.BytesIO(data), 0, len(data)))
     assert len(found) == 2 and all(b.endswith(b"payload") for _, _, b in found)
