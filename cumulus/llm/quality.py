@@ -35,13 +35,15 @@ CUTOFF = 1 - 1e-6     # of the chi-square distribution of squared distances
 SALTS = 64
 
 #: Transformed statistics, and the standard deviation below which a group's spread is not
-#: believed (clean texts often agree in a statistic altogether).
+#: believed (clean texts often agree in a statistic altogether).  x_lines and x_repeats are the
+#: logarithms of how often a line stands there on average, and of all words by those outside of
+#: repeated windows: they grow without bound, so that either alone can pass the cut.
 FEATURES = {
     "x_words": ("ln(1.0D + n_words)", 0.5),
     "x_length": ("ln(1.0D + word_chars / greatest(n_words, 1))", 0.08),
     "x_symbols": ("ln(1.0D + 100.0D * n_symbols / greatest(n_words, 1))", 0.3),
-    "x_lines": ("sqrt(n_dup_lines / cast(greatest(n_lines, 1) AS double))", 0.2),
-    "x_repeats": ("sqrt(n_repeat_words / cast(greatest(n_words, 1) AS double))", 0.2),
+    "x_lines": ("ln(greatest(n_lines, 1) / cast(greatest(n_lines - n_dup_lines, 1) AS double))", 0.08),
+    "x_repeats": ("ln(greatest(n_words, 1) / cast(greatest(n_words - n_repeat_words, 1) AS double))", 0.08),
 }
 
 

@@ -105,3 +105,22 @@ def test_nulls_repeats_and_clashing_names(spark):
     assert all(v for i, v in verdict.items() if i not in (90, 91, 92))
     assert quality.judge(docs.limit(0)).count() == 0
     assert quality.judge(docs.where(F.col("text").isNull())).first().kept is False
+
+
+def test_every_statistic_alone_can_reject(spark):
+    draw = random.Random(4)
+    vocabulary = [f"word{i:03}" for i in range(900)]
+
+    def lines(n):
+        return [" ".join(draw.sample(vocabulary, 10)) for _ in range(n)]
+
+    passage = " ".join(lines(4))
+    texts = [("good", "\n".join(lines(draw.randint(6, 12)))) for _ in range(200)]
+    texts += [("x_words", "\n".join(lines(1500))), ("x_length", "\n".join(lines(8)).replace("word", "longerlongword")),
+              ("x_symbols", "\n".join(lines(8)).replace("word1", "wor#1").replace("word2", "wor#2")),
+              ("x_lines", "\n".join(f"{x}\nRead more" for x in lines(20))),
+              ("x_repeats", "\n".join([passage + " a", *lines(8), passage + " b c d e"]))]
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in texts], "name string, text string, lang string, source string")
+    out = quality.judge(docs, keep=["name"]).collect()
+    assert not any(r.base_failed for r in out)
+    assert {r.name for r in out if not r.kept} == {*quality.FEATURES} and sum(not r.kept for r in out) == 5
