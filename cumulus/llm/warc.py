@@ -34,7 +34,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 FILE_BYTES = 64 << 20     # an archive file is closed beyond this size
 SPLIT_BYTES = 8 << 20     # bytes of a reader's range
 CHUNK = 1 << 20           # bytes read at once
-HEAD = 1 << 16            # compressed bytes within which a record's header must end
+HEAD = 1 << 16            # compressed bytes decoded at once in search of a header's end
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
@@ -100,12 +100,26 @@ class _Window:
 
 def _begins_record(window: _Window, at: int) -> bool:
     """The bytes from ``at`` decode to a gzip member that begins with a WARC header."""
-    while len(window.data) - at < HEAD and window.more():
-        pass
+    member = zlib.decompressobj(31)
+    head = bytearray()
     try:
-        return _header(zlib.decompressobj(31).decompress(window.data[at:at + HEAD], 1 << 18)) is not None
+        while not member.eof:
+            if at == len(window.data) and not window.more():
+                return False
+            part = window.data[at:at + HEAD]
+            at += len(part)
+            while part and not member.eof:
+                seen = len(head)
+                head += member.decompress(part, CHUNK)
+                part = member.unconsumed_tail
+                if not head.startswith(b"WARC/"[:len(head)]):
+                    return False
+                end = head.find(b"\r\n\r\n", max(0, seen - 3))
+                if end >= 0:
+                    return _header(bytes(head[:end + 4])) is not None
     except zlib.error:
-        return False
+        pass
+    return False
 
 
 def records_in(source, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import io
+import random
 
 import pytest
 
@@ -88,3 +89,12 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     assert rows_of(op8_warc(spark, sf)) == sorted(brute(pages), key=key)
+
+
+def test_first_record_with_a_long_url():
+    draw = random.Random(3)
+    for url in ("data:" + "".join(chr(draw.randint(33, 126)) for _ in range(1_500_000)), "http://a/" + "x" * 600_000):
+        members = [gzip.compress(warc.record("response", f"<urn:uuid:{k}>", u, b"page", "00", "2024-01-01T00:00:00Z", []))
+                   for k, u in enumerate([url, "http://a/2"])]
+        found = list(warc.records_in(io.BytesIO(b"".join(members)), 0, len(members[0]) + len(members[1])))
+        assert [(offset, fields["warc-target-uri"]) for offset, fields, _ in found] == [(0, url), (len(members[0]), "http://a/2")]
