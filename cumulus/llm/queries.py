@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cumulus.llm import bpe, chosen_path, embedding_links, packing, pii, preference, quality, toxicity, warc, wrappers
+from cumulus.llm import bpe, chosen_path, embedding_links, merkle, packing, pii, preference, quality, toxicity, warc, wrappers
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: The only special token of byte_bpe_50k.json (its ids are those of the rank file otherwise).
@@ -76,6 +76,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.manifest(docs, other={"text": F.translate("text", upper, upper.lower())}, where=touched)
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -87,6 +94,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_main_text": op9_main_text,
     "op10_pii": op10_pii,
+    "op13_merkle": op13_merkle,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_minhash_dedup": r"""
@@ -142,5 +150,44 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
 FROM q
+""",
+    "op13_merkle": """
+WITH RECURSIVE
+     f AS (SELECT doc_id, source, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                  || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+                  text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+     h AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                  sha256(head || coalesce(strlen(low) || ':' || low, '-')) AS low_leaf,
+                  xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::UBIGINT)),
+                      lambda c, b: list_reduce(list_concat([xor(c, b)], [0::UBIGINT for z in range(8)]),
+                                               lambda d, z: xor(d >> 1, 3988292384::UBIGINT * (d & 1)))), 4294967295::UBIGINT) AS crc FROM f),
+     s AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS s, count(*) OVER () AS sources
+           FROM (SELECT DISTINCT source FROM documents)),
+     d AS (SELECT h.*, s.s, row_number() OVER () AS r, count(*) OVER (PARTITION BY s.s) AS n,
+                  row_number() OVER (PARTITION BY s.s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+           FROM h JOIN s ON h.source IS NOT DISTINCT FROM s.source),
+     u AS (SELECT s, 0 AS lvl, i, n, leaf AS h FROM d
+           UNION ALL SELECT s, lvl + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1
+           GROUP BY s, lvl, i // 16, n),
+     v AS (SELECT 0 AS lvl, s.s AS i, sources AS n, u.h FROM s JOIN u ON u.s = s.s AND u.n = 1
+           UNION ALL SELECT lvl + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM v WHERE n > 1
+           GROUP BY lvl, i // 16, n),
+     w AS (SELECT s, lvl, i, n, h, 0 AS up FROM u WHERE n > 1 UNION ALL SELECT -1, lvl, i, n, h, 1 FROM v WHERE n > 1),
+     p AS (SELECT d.r, string_agg(w.h, '' ORDER BY up, w.lvl, w.i) AS p
+           FROM d JOIN w ON (w.up = 0 AND w.s = d.s AND w.i // 16 = d.i // (16 ** (w.lvl + 1))::BIGINT AND w.i <> d.i // (16 ** w.lvl)::BIGINT)
+                         OR (w.up = 1 AND w.i // 16 = d.s // (16 ** (w.lvl + 1))::BIGINT AND w.i <> d.s // (16 ** w.lvl)::BIGINT) GROUP BY d.r),
+     a AS (SELECT r, s, 0 AS lvl, i, n, CASE WHEN crc % 5 = 0 THEN low_leaf ELSE leaf END AS h FROM d
+           UNION ALL SELECT a.r, a.s, a.lvl + 1, a.i // 16, (a.n + 15) // 16,
+                            sha256(string_agg(CASE WHEN u.i = a.i THEN a.h ELSE u.h END, '' ORDER BY u.i))
+           FROM a JOIN u ON u.s = a.s AND u.lvl = a.lvl AND u.i // 16 = a.i // 16 WHERE a.n > 1
+           GROUP BY a.r, a.s, a.lvl, a.i // 16, a.n),
+     b AS (SELECT a.r, 0 AS lvl, a.s AS i, s.sources AS n, a.h FROM a JOIN s ON s.s = a.s WHERE a.n = 1
+           UNION ALL SELECT b.r, b.lvl + 1, b.i // 16, (b.n + 15) // 16,
+                            sha256(string_agg(CASE WHEN v.i = b.i THEN b.h ELSE v.h END, '' ORDER BY v.i))
+           FROM b JOIN v ON v.lvl = b.lvl AND v.i // 16 = b.i // 16 WHERE b.n > 1
+           GROUP BY b.r, b.lvl, b.i // 16, b.n)
+SELECT d.doc_id, d.leaf, t.h AS subroot, o.h AS root, sha256(coalesce(p.p, '')) AS proof_sha256, b.h AS folded_root,
+       b.h = o.h AS verified
+FROM d JOIN u t ON t.s = d.s AND t.n = 1 JOIN b ON b.r = d.r AND b.n = 1 JOIN v o ON o.n = 1 LEFT JOIN p ON p.r = d.r
 """,
 }
