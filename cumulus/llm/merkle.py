@@ -21,10 +21,10 @@ from hashlib import sha256
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cumulus.llm.staging import staged
+from cumulus.llm.staging import numbered, staged
 
 FAN = 16            # nodes under one parent
 BLOCK_LEVELS = 3    # levels of a tree that one task group builds
@@ -150,25 +150,6 @@ def _block_proofs(height: int):
     return run
 
 
-def _numbered(nodes: DataFrame, order: Sequence[str], label: str) -> DataFrame:
-    """``nodes`` with idx (place in its tree by ``order``) and n (its tree's nodes).
-
-    Rows are range-partitioned by tree and order, so a large tree is spread over
-    many tasks; places come from the partitions' counts, of which there is one
-    per tree and partition.
-    """
-    placed = nodes.repartitionByRange("tree", *order).sortWithinPartitions("tree", *order)
-    placed = staged(placed.withColumn("at", F.monotonically_increasing_id()), label)
-    part = F.shiftright("at", 33)
-    runs = placed.groupBy("tree", part.alias("part")).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("rows"))
-    whole = Window.partitionBy("tree")
-    before = F.sum("rows").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    runs = runs.select("tree", "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"),
-                       F.sum("rows").over(whole).alias("n"))
-    return placed.withColumn("part", part).join(runs, ["tree", "part"]).withColumn(
-        "idx", F.col("at") + F.col("shift")).drop("at", "part", "shift")
-
-
 def _by_block(nodes: DataFrame, height: int):
     return nodes.withColumn("block", F.expr(f"idx div {FAN ** height}")).groupBy("tree", "block")
 
@@ -219,12 +200,12 @@ def manifest(docs: DataFrame, fields: Sequence[str] = ("doc_id", "source", "lang
     leaves = docs.select(F.coalesce(F.concat(F.lit("1"), F.col(source).cast("string")), F.lit("0")).alias("tree"),
                          F.col(id_col).alias("id"), leaf_digest([F.col(f) for f in fields]).alias("digest"),
                          found.alias("other"))
-    leaves = staged(_numbered(leaves, ["id", "digest"], "leaves"), "leaves")
+    leaves = staged(numbered(leaves, ["id", "digest"], "leaves"), "leaves")
     rounds = _rounds_up(leaves, block_levels, "nodes")
     subroots = rounds[-1].select("tree", "digest")
 
     sources = subroots.select(F.lit("").alias("tree"), F.col("tree").alias("source"), "digest")
-    sources = staged(_numbered(sources, ["source"], "sources"), "sources")
+    sources = staged(numbered(sources, ["source"], "sources"), "sources")
     above = _rounds_up(sources, block_levels, "upper_nodes")
     none = F.array().cast(PATH)
     top = above[-1].select("tree", "idx", F.lit(None).cast("string").alias("subroot"), F.col("digest").alias("root"),

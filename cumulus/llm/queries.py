@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cumulus.llm import bpe, chosen_path, embedding_links, merkle, packing, pii, preference, quality, toxicity, warc, wrappers
+from cumulus.llm import (
+    bpe, chosen_path, embedding_links, hard_negatives, merkle, packing, pii, preference, quality, toxicity, warc, wrappers,
+)
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: The only special token of byte_bpe_50k.json (its ids are those of the rank file otherwise).
@@ -76,6 +78,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -94,6 +101,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_main_text": op9_main_text,
     "op10_pii": op10_pii,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_merkle": op13_merkle,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -150,6 +158,20 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
 FROM q
+""",
+    "op12_hard_negatives": """
+WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS s
+           FROM e a JOIN e b ON a.id % 100 = 0 AND a.id <> b.id AND len(a.q) = len(b.q)),
+     p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+     n AS (SELECT p.a, p.b AS p, p.s AS ps, s.b AS n, s.s AS ns,
+                  row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS k
+           FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.s <= 100 * s.s AND s.s <= p.s)
+SELECT a AS anchor_id, p AS positive_id, CAST(k AS INTEGER) AS rank, n AS negative_id, ps AS positive_score,
+       ns AS negative_score FROM n WHERE k <= 5
 """,
     "op13_merkle": """
 WITH RECURSIVE

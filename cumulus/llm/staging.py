@@ -1,4 +1,4 @@
-"""Written tables that cut lineage, and component labels over a link table.
+"""Written tables that cut lineage, row numbers, and component labels over a link table.
 
 Everything here is written under the shared folder that ``spark.checkpoint.dir``
 names, so any executor can read it back after another one is lost.
@@ -7,8 +7,9 @@ names, so any executor can read it back after another one is lost.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cumulus.session import checkpoint_dir
@@ -28,6 +29,25 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def numbered(nodes: DataFrame, order: Sequence[str], label: str) -> DataFrame:
+    """``nodes`` with idx (place in its tree by ``order``) and n (its tree's nodes).
+
+    Rows are range-partitioned by tree and order, so a large tree is spread over
+    many tasks; places come from the partitions' counts, of which there is one
+    per tree and partition.
+    """
+    placed = nodes.repartitionByRange("tree", *order).sortWithinPartitions("tree", *order)
+    placed = staged(placed.withColumn("at", F.monotonically_increasing_id()), label)
+    part = F.shiftright("at", 33)
+    runs = placed.groupBy("tree", part.alias("part")).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("rows"))
+    whole = Window.partitionBy("tree")
+    before = F.sum("rows").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select("tree", "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"),
+                       F.sum("rows").over(whole).alias("n"))
+    return placed.withColumn("part", part).join(runs, ["tree", "part"]).withColumn(
+        "idx", F.col("at") + F.col("shift")).drop("at", "part", "shift")
+
+
 def _are_stars(pairs: DataFrame) -> bool:
     """Every u has one v, and no v is a u itself."""
     several = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
