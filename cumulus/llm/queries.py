@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cumulus.llm import (
-    bpe, chosen_path, embedding_links, hard_negatives, merkle, packing, pii, preference, quality, toxicity, warc, wrappers,
+    bpe, chosen_path, embedding_links, hard_negatives, merkle, packing, pii, preference, quality, secret_scan,
+    toxicity, warc, wrappers,
 )
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -78,6 +79,16 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def listed(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    out = secret_scan.scan(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}")
+              for kind in secret_scan.KINDS]
+    return out.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
@@ -101,6 +112,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_main_text": op9_main_text,
     "op10_pii": op10_pii,
+    "op11_secret_scan": op11_secret_scan,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_merkle": op13_merkle,
 }
