@@ -1,17 +1,14 @@
-"""k-means risk tiers over (latest cases, latest deaths, peak increment).
+"""Risk tiers over (latest cases, latest deaths, peak increment) by k-means.
 
-VectorAssembler -> StandardScaler(withStd, no centring) -> KMeans, as in the
-original job, with two additions that make the labels reproducible:
+``risk_clusters`` divides each feature by its sample deviation (no centring) and
+clusters with ``operators.kmeans``: exact whole-number arithmetic and
+deterministic seeds, so labels do not depend on layout or machine.  Cluster ids go by
+ascending centre size, so id 0 is the smallest-magnitude tier.  k is lowered to
+the number of different points.
 
-* the feature rows are hash-partitioned by group and sorted inside partitions,
-  because k-means|| initialisation depends on the layout;
-* of several seeds the lowest-cost model is kept, and cluster ids are
-  renumbered by ascending centre norm, so id 0 is the smallest-magnitude tier.
-
-k-means needs k different points; with fewer, k is lowered to their number (with
-one or none every group is in cluster 0), found by a count that stops at k.
-
-Fitting is MLlib's distributed iteration; only the k centres reach the driver.
+``risk_clusters_mllib`` is the original job's way (VectorAssembler ->
+StandardScaler -> MLlib KMeans over several seeds, lowest cost kept): the same
+columns, labels as good as its random starts.
 """
 
 from __future__ import annotations
@@ -27,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cumulus.constants import KMEANS_K, KMEANS_SEED, TIER_NAMES
+from cumulus.operators.kmeans import best_centres, centres_literal, deviations, nearest, on_grid, whole_value
+from cumulus.plans.stage import stage_table
 
 FEATURES = ("total_cases", "total_deaths", "max_daily_inc")
 
@@ -42,9 +41,27 @@ def scaled_features(features: DataFrame, inputs: Sequence[str] = FEATURES, log_s
     return model.transform(assembled).select("state", *inputs, "features")
 
 
-def risk_clusters(features: DataFrame, k: int = KMEANS_K,
-                  seeds: Sequence[int] = (KMEANS_SEED, KMEANS_SEED + 1, KMEANS_SEED + 2),
-                  inputs: Sequence[str] = FEATURES, log_scale: bool = False) -> DataFrame:
+def risk_clusters(features: DataFrame, k: int = KMEANS_K, inputs: Sequence[str] = FEATURES,
+                  log_scale: bool = False) -> DataFrame:
+    """(state, *inputs, prediction).  Rows with a null feature get a null prediction and no part in the centres."""
+    kinds = dict(features.dtypes)
+    whole = [f"_v{i}" for i in range(len(inputs))]
+    rows = features.select("state", *inputs, *[whole_value(c, kinds[c], log_scale).alias(v) for c, v in zip(inputs, whole)])
+    # Written once: every seed and round scans this small table, not the plan of the features.
+    rows = stage_table(features.sparkSession, rows, "features")
+    known = rows.dropna(subset=whole)
+    z = F.array(*[on_grid(F.col(v), d) for v, d in zip(whole, deviations(known, whole))])
+    centres = best_centres(known.select("state", z.alias("z")), "state", len(inputs), k)
+    placed = rows.select("state", *inputs, z.alias("z"))
+    if not centres:
+        return placed.select("state", *inputs, F.lit(None).cast("int").alias("prediction"))
+    label = f"CASE WHEN NOT exists(z, v -> v IS NULL) THEN {nearest(centres_literal(centres))}.k END"
+    return placed.select("state", *inputs, F.expr(label).cast("int").alias("prediction"))
+
+
+def risk_clusters_mllib(features: DataFrame, k: int = KMEANS_K,
+                        seeds: Sequence[int] = (KMEANS_SEED, KMEANS_SEED + 1, KMEANS_SEED + 2),
+                        inputs: Sequence[str] = FEATURES, log_scale: bool = False) -> DataFrame:
     scaled = scaled_features(features, inputs, log_scale)
     held = scaled.persist(StorageLevel.MEMORY_AND_DISK)
     try:

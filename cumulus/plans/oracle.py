@@ -211,12 +211,70 @@ FROM snap""")
 _mart("tsv_daily_totals", "B1", "SELECT date, cases, deaths FROM dt ORDER BY date", DT)
 
 
+# k-means (R21, V20) on whole millionths of a deviation.  ``walk``: the farthest-first traversal, one step a
+# round over all points; ``runs``: Lloyd rounds of every start, one row (centres, cost of those before) each.
+_KM_AXES = ("total_cases", "total_deaths", "max_daily_inc")
+_KM_D = "(p.z1 - {c}[1]) * (p.z1 - {c}[1]) + (p.z2 - {c}[2]) * (p.z2 - {c}[2]) + (p.z3 - {c}[3]) * (p.z3 - {c}[3])"
+_KM_POINT = "[z1, z2, z3]"
+_KM_NEAR = f"list_transform(c, lambda x: {_KM_D.format(c='x')})"
+
+
+def _km_deviation(x: str) -> str:
+    return (f"CASE WHEN COUNT(*) > 1 THEN sqrt(CAST(COUNT(*) * SUM(CAST({x} AS HUGEINT) * {x}) - SUM(CAST({x} AS HUGEINT)) "
+            f"* SUM(CAST({x} AS HUGEINT)) AS DOUBLE) / (COUNT(*) * (COUNT(*) - 1))) END")
+
+
+def _km_axis(x: str, d: str) -> str:
+    return f"CASE WHEN {d} > 0 THEN CAST(floor(CAST({x} AS DOUBLE) * 1000000.0 / {d} + 0.5) AS HUGEINT) ELSE 0 END"
+
+
+def _km_mean(z: str, n: str = "COUNT(*)") -> str:
+    return f"CAST(floor((2 * SUM({z}) + {n}) / CAST(2 * {n} AS DOUBLE)) AS HUGEINT)"
+
+
+_KMEANS = f"""
+dev AS (SELECT {", ".join(f"{_km_deviation(x)} AS d{i}" for i, x in enumerate(_KM_AXES, 1))} FROM risk_features),
+pts AS (SELECT f.*, {", ".join(f"{_km_axis(x, f'd{i}')} AS z{i}" for i, x in enumerate(_KM_AXES, 1))}
+        FROM risk_features f CROSS JOIN dev),
+mid AS (SELECT [{", ".join(_km_mean(f"z{i}") for i in (1, 2, 3))}] AS c FROM pts),
+walk AS (SELECT 1 AS step, p.state, p.z1, p.z2, p.z3, {_KM_D.format(c="m.c")} AS d,
+                first_value([p.z1, p.z2, p.z3]) OVER (ORDER BY {_KM_D.format(c="m.c")}, p.state) AS seed
+         FROM pts p CROSS JOIN mid m
+         UNION ALL
+         SELECT step + 1, state, z1, z2, z3, d, first_value([z1, z2, z3]) OVER (ORDER BY d DESC, state) AS seed
+         FROM (SELECT p.step, p.state, p.z1, p.z2, p.z3, CASE WHEN p.step = 1 THEN {_KM_D.format(c="p.seed")}
+                      ELSE least(p.d, {_KM_D.format(c="p.seed")}) END AS d FROM walk p)
+         WHERE step < 8 QUALIFY max(d) OVER () > 0),
+seeds AS (SELECT step, any_value(seed) AS seed FROM walk GROUP BY step),
+runs AS (SELECT s.step AS run, 1 AS it, list(t.seed ORDER BY t.step) AS c, CAST(NULL AS HUGEINT) AS cost
+         FROM seeds s JOIN seeds t ON t.step BETWEEN s.step AND s.step + 3
+         WHERE s.step <= greatest(1, (SELECT MAX(step) FROM seeds) - 3) GROUP BY s.step
+         UNION ALL
+         SELECT run, it + 1, list(m ORDER BY j), any_value(total)
+         FROM (SELECT run, it, j, any_value(before) AS before, any_value(total) AS total,
+                      CASE WHEN COUNT(*) FILTER (WHERE k = j) = 0 THEN any_value(c[j])
+                           ELSE [{", ".join(f"CAST(floor((2 * SUM(z{i}) FILTER (WHERE k = j) + COUNT(*) FILTER (WHERE k = j)) / CAST(2 * COUNT(*) FILTER (WHERE k = j) AS DOUBLE)) AS HUGEINT)" for i in (1, 2, 3))}] END AS m
+               FROM (SELECT run, it, c, before, z1, z2, z3, k, SUM(d) OVER (PARTITION BY run) AS total, d, unnest(range(1, len(c) + 1)) AS j
+                     FROM (SELECT run, it, c, cost AS before, z1, z2, z3, list_min(near) AS d, list_position(near, list_min(near)) AS k
+                           FROM (SELECT r.run, r.it, r.c, r.cost, p.z1, p.z2, p.z3, {_KM_NEAR} AS near FROM runs r CROSS JOIN pts p)))
+               GROUP BY run, it, j)
+         GROUP BY run, it HAVING any_value(before) IS NULL OR any_value(total) < any_value(before)),
+best AS (SELECT r.c FROM runs r JOIN runs n ON n.run = r.run AND n.it = r.it + 1 ORDER BY n.cost, r.run, r.it LIMIT 1),
+cents AS (SELECT list(x ORDER BY x[1] * x[1] + x[2] * x[2] + x[3] * x[3], x) AS c FROM (SELECT unnest(c) AS x FROM best)),
+risk_clusters AS (SELECT state, total_cases, total_deaths, max_daily_inc, CAST(list_position(near, list_min(near)) - 1 AS INTEGER) AS prediction
+                  FROM (SELECT p.*, {_KM_NEAR} AS near FROM pts p CROSS JOIN cents))"""
+_RISK = f"risk_features AS (\n{MART_SQL['risk_features'][2].strip()}\n),"
+_mart("risk_clusters", "B3", "SELECT * FROM risk_clusters", _RISK + _KMEANS)
+_mart("cluster_tiers", "B3", "SELECT *, ['low', 'medium', 'high', 'very high'][prediction + 1] AS tier FROM risk_clusters",
+      _RISK + _KMEANS)
+
+
 def statement(name: str) -> str:
     fixture, ctes, final = MART_SQL[name]
     parts = [FIXTURE_CTE[fixture].strip(), STAGES_CTE.strip()]
     if ctes:
         parts.append(ctes.strip())
-    return "WITH " + ",\n".join(parts) + "\n" + final.strip()
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + final.strip()
 
 
 def oracle_statements() -> dict[str, str]:

@@ -26,8 +26,6 @@ from cumulus.sources.observations import OBS_SCHEMA  # noqa: E402
 
 from conftest import SF_SMALL  # noqa: E402
 
-SKIP = {"risk_clusters", "cluster_tiers"}  # k-means: rows-only, tested elsewhere
-
 
 def random_obs(seed: int, scale: int = 1) -> pd.DataFrame:
     rnd = random.Random(seed)
@@ -63,7 +61,7 @@ def pair(request, spark):
     return spark, sd, con
 
 
-@pytest.mark.parametrize("name", sorted(n for n in R.REGISTRY if n not in SKIP))
+@pytest.mark.parametrize("name", sorted(R.REGISTRY))
 def test_spark_equals_oracle_on_random_obs(pair, name):
     spark, sd, con = pair
     _, builder = R.REGISTRY[name]

@@ -28,11 +28,9 @@ def duck():
     return con
 
 
-def test_every_query_has_an_oracle_or_is_rows_only():
+def test_every_query_has_an_oracle():
     names = set(QUERIES)
-    rows_only = names - set(SQL)
-    assert rows_only == {"risk_clusters", "cluster_tiers"}
-    assert set(SQL) <= names
+    assert set(SQL) == names
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -98,13 +98,13 @@ def test_stage_build_has_one_exchange_by_group(spark, partitions, buckets):
 
 def test_stage_is_made_again_when_its_source_changes(spark, tmp_path):
     import shutil
-    shutil.copy(f"{SF_SMALL}/events.parquet", tmp_path / "events.parquet")
+    shutil.copyfile(f"{SF_SMALL}/events.parquet", tmp_path / "events.parquet")
     first = R.run("daily_totals", spark, str(tmp_path)).count()
     assert first == R.run("daily_totals", spark, str(tmp_path)).count()
     half = spark.read.parquet(f"{SF_SMALL}/events.parquet").limit(1)
     half.write.parquet(str(tmp_path / "new"))
     part = next((tmp_path / "new").glob("part-*.parquet"))
-    shutil.copy(part, tmp_path / "events.parquet")
+    shutil.copyfile(part, tmp_path / "events.parquet")
     assert R.run("daily_totals", spark, str(tmp_path)).count() == 1 < first
 
 
