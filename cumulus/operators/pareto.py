@@ -2,51 +2,27 @@
 
 Semantics: for a row with value v, ``cum_sum`` = sum of every value >= v, so
 rows with equal values share one running total (the RANGE frame of an ordered
-window); NULL values come last and add nothing.  A window without a partition
-key would move every row into one task; instead:
-
-1. collapse peers: one row per distinct value with its summed mass;
-2. take cut points from the distinct values (quantiles): at most P numbers that
-   reach the driver and become literals of the plan;
-3. a value's slice is the number of cut points above it: a function of the value
-   alone, so every branch of the plan agrees on it;
-4. total per slice (at most P + 2 rows) -> prefix over slices and grand total;
-   running sum inside each slice + the slice's prefix = cum_sum per value;
-5. join back to the rows on the value (the distinct-value side is unique; AQE
-   may split a value that most rows share).
+window); NULL values come last and add nothing.  Peers are collapsed to one row
+per distinct value before the ordered scan (``operators.ordered``), so a value
+that most rows share is one row there; the share goes back to the rows by a
+join on the value, whose right side is unique (AQE may split a value that most rows share).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cumulus.functions.scalar import ratio
+from cumulus.operators.ordered import running_sums
 
 
 def running_share_desc(df: DataFrame, value: str, slices: int | None = None,
                        digits: int | None = 4, out: str = "cum_percent") -> DataFrame:
-    spark = df.sparkSession
-    p = max(1, slices or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    mass = df.groupBy(value).agg(F.coalesce(F.sum(value), F.lit(0)).alias("_mass"))
-    cuts = df.select(value).distinct().agg(
-        F.percentile_approx(value, [i / p for i in range(1, p)] or [0.5], 100 * p)).first()[0] or []
-    above = F.array(*[F.lit(c) for c in cuts])
-    slice_of = F.size(F.filter(above, lambda c: c > F.col(value))) if cuts else F.lit(0)
-    sliced = mass.withColumn("_slice", F.when(F.col(value).isNull(), F.lit(len(cuts) + 1)).otherwise(slice_of))
-    inside = sliced.withColumn(
-        "_run", F.sum("_mass").over(Window.partitionBy("_slice").orderBy(F.col(value).desc_nulls_last())
-                                    .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    per_slice = sliced.groupBy("_slice").agg(F.sum("_mass").alias("_slice_mass"))
-    # At most P + 2 rows: exclusive prefix over the slices and the grand total, in one pass.
-    offsets = per_slice.select(
-        "_slice",
-        F.coalesce(F.sum("_slice_mass").over(Window.orderBy("_slice")
-                                             .rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_offset"),
-        F.sum("_slice_mass").over(Window.partitionBy()).alias("_total"))
-    share = ratio(F.col("_offset") + F.col("_run"), "_total")
+    mass = df.groupBy(F.col(value).alias("_value")).agg(F.coalesce(F.sum(value), F.lit(0)).alias("_mass"))
+    cum = running_sums(mass, [F.col("_value").desc_nulls_last()], {"_cum": F.col("_mass")}, slices)
+    share = ratio("_cum", "_cum_total")
     if digits is not None:
         share = F.round(share, digits)
-    cum = inside.join(F.broadcast(offsets), "_slice").select(F.col(value).alias("_value"), share.alias(out))
+    cum = cum.select("_value", share.alias(out))
     return df.join(cum, F.col(value).eqNullSafe(F.col("_value")), "left").drop("_value")

@@ -9,9 +9,11 @@ partitioning (Welford-style streaming moments are not).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
+from cumulus.operators.ordered import shifted
+
 _EXACT = "decimal(38,0)"
 
 
@@ -60,9 +62,5 @@ def trailing_zscore(df: DataFrame, x: str, frame: WindowSpec, out: str = "z_scor
 
 
 def lead_pairs(national: DataFrame, x: str, y: str, rows: int, time: str = "date") -> DataFrame:
-    """Pair x at row t with y at row t + ``rows`` in time order.
-
-    The input has one row per calendar day, so the single ordered window holds
-    at most one row per day.
-    """
-    return national.select(x, F.lead(y, rows).over(Window.orderBy(time)).alias(f"{y}_lagged"))
+    """Pair x at row t with y at row t + ``rows`` in time order (an ordered scan over range partitions)."""
+    return shifted(national, [F.col(time)], rows, {f"{y}_lagged": y}).select(x, f"{y}_lagged")
