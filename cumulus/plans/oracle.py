@@ -269,6 +269,32 @@ _mart("cluster_tiers", "B3", "SELECT *, ['low', 'medium', 'high', 'very high'][p
       _RISK + _KMEANS)
 
 
+# The batch of results is the union of the single oracles, with the place in a list as rank.
+def _batch_sql() -> str:
+    columns = {"rank": "INTEGER", "date": "DATE", "month": "VARCHAR", "day_num": "INTEGER", "day_of_week": "VARCHAR",
+               "state": "VARCHAR", "sort_sign": "INTEGER", "total_cases": "BIGINT", "total_deaths": "BIGINT",
+               "death_rate": "DOUBLE", "monthly_inc": "BIGINT", "avg_inc": "DOUBLE"}
+    own = {
+        "daily_totals": {"date": "date", "total_cases": "cases", "total_deaths": "deaths"},
+        "group_snapshot": {c: c for c in ("date", "state", "total_cases", "total_deaths", "death_rate")},
+        "overall_and_group_rate": {c: c for c in ("sort_sign", "date", "state", "death_rate")},
+        "monthly_top10": {"month": "month", "state": "state", "monthly_inc": "monthly_inc",
+                          "rank": "row_number() OVER (PARTITION BY month ORDER BY monthly_inc DESC, state)"},
+        "weekday_profile": {"day_of_week": "day_of_week", "avg_inc": "avg_inc",
+                            "day_num": "list_position(['Sun', 'Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat'], day_of_week)"},
+    }
+    for end, way in (("top10", "DESC"), ("bottom10", "ASC")):
+        for c in ("cases", "deaths"):
+            own[f"{end}_{c}"] = {"date": "date", "state": "state", f"total_{c}": f"total_{c}",
+                                 "rank": f"row_number() OVER (ORDER BY total_{c} {way}, state)"}
+    return "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS result, " + ", ".join(f"CAST({cols.get(c, 'NULL')} AS {t}) AS {c}" for c, t in columns.items())
+        + f" FROM (\n{MART_SQL[name][2].strip()}\n)" for name, cols in own.items())
+
+
+_mart("snapshot_batch", "B3", _batch_sql(), DT)
+
+
 def statement(name: str) -> str:
     fixture, ctes, final = MART_SQL[name]
     parts = [FIXTURE_CTE[fixture].strip(), STAGES_CTE.strip()]

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from cumulus.operators import marts as M
 from cumulus.operators.clustering import risk_clusters
-from cumulus.plans.stage import stage_group_days
+from cumulus.plans import batch
+from cumulus.plans.stage import stage_group_days, stage_table
 from cumulus.sources.dimensions import nation_coords, reference_coords
 from cumulus.sources.fixtures import FIXTURES
 from cumulus.sources.observations import read_obs
@@ -71,7 +72,8 @@ def materialise_group_day(spark: SparkSession, obs: DataFrame) -> DataFrame:
 def run_all(spark: SparkSession, obs: DataFrame, out_dir: str, coords: DataFrame | None = None,
             fmt: str = "json", names: Iterable[str] | None = None, parallelism: int = 8,
             single_file: Iterable[str] = SINGLE_FILE) -> dict[str, str]:
-    """Materialise the group-day stage, then write every mart from it.
+    """Materialise the group-day stage, then write every mart from it (nine of them from one shared scan,
+    see ``plans.batch``).
 
     The marts are independent small jobs over the same stage, so up to
     ``parallelism`` of them are submitted at once from driver threads and the
@@ -80,6 +82,11 @@ def run_all(spark: SparkSession, obs: DataFrame, out_dir: str, coords: DataFrame
     sd = materialise_group_day(spark, obs)
     builders = mart_builders(coords)
     todo, single = list(names or builders), set(single_file)
+    shared = [n for n in todo if n in batch.NAMES]
+    if len(shared) > 1:
+        # One scan of the stage feeds all of these; each is then read off the small batch table.
+        made = stage_table(spark, batch.snapshot_batch(sd), "batch")
+        builders |= {n: (lambda _, n=n: batch.result_of(made, n)) for n in shared}
 
     def write(name: str) -> tuple[str, str]:
         path = f"{out_dir.rstrip('/')}/{name}"

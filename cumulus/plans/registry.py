@@ -19,6 +19,7 @@ from cumulus.operators import tracks as TR
 from cumulus.operators import views as V
 from cumulus.operators.clustering import FEATURES, cluster_tiers, risk_clusters, scaled_features
 from cumulus.operators.stages import group_day
+from cumulus.plans.batch import snapshot_batch
 from cumulus.plans.stage import new_path, stage_group_days
 from cumulus.sources.dimensions import nation_coords
 from cumulus.sources.fixtures import FIXTURE_TABLES, FIXTURES
@@ -54,6 +55,8 @@ register("weighted_centroid", "B2",
          lambda spark, sf_dir, sd: M.weighted_centroid(sd, nation_coords(spark, sf_dir)))
 register("risk_clusters", "B3", lambda spark, sf_dir, sd: risk_clusters(M.risk_features(sd)))
 
+register("snapshot_batch", "B3", _on_sd(snapshot_batch))
+
 SNAPSHOT_DAY = "1997-06-16"
 register("snapshot_as_of", "B3", lambda spark, sf_dir, sd: M.group_snapshot(sd, as_of=SNAPSHOT_DAY))
 
