@@ -208,6 +208,8 @@ _mart("normalised_aliases", "B3", """
 SELECT date, CASE WHEN state = 'NATION_1' THEN 'Unknown' ELSE state END AS state, total_deaths, total_cases,
        0 AS death_rate
 FROM snap""")
+_mart("daily_increase_streamed", "B1", MART_SQL["daily_increase"][2], DT)
+_mart("rolling_mean_7_streamed", "B1", MART_SQL["rolling_mean_7"][2])
 _mart("tsv_daily_totals", "B1", "SELECT date, cases, deaths FROM dt ORDER BY date", DT)
 
 

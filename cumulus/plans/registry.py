@@ -25,6 +25,7 @@ from cumulus.sources.dimensions import nation_coords
 from cumulus.sources.fixtures import FIXTURE_TABLES, FIXTURES
 from cumulus.sources.observations import read_obs
 from cumulus.sources.results import read_result, write_result
+from cumulus.streaming.increments import IncrementTable, start_increments
 
 Builder = Callable[[SparkSession, str, DataFrame], DataFrame]
 
@@ -101,6 +102,27 @@ def tsv_daily_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.daily_totals(group_day(read_obs(spark, path)))
 
 
+# The streamed group-day tables, as ``_STAGES`` below.
+_STREAMED: dict[tuple[str, str], tuple[tuple, DataFrame]] = {}
+STREAM_BATCHES = 5
+
+
+def streamed_group_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1 as tab-separated files that hold days in no order, taken in by the stream a few at a time."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    state = _source_state(spark, sf_dir, "B1")
+    if key in _STREAMED and _STREAMED[key][0] == state:
+        return _STREAMED[key][1]
+    name = f"cumulus_stream_{uuid.uuid4().hex}"
+    files, folder, checkpoint = (new_path(spark, f"{name}_{part}") for part in ("files", "table", "checkpoint"))
+    obs = FIXTURES["B1"](spark, sf_dir).repartition(STREAM_BATCHES * 2, "date", "county")
+    obs.select(F.date_format("date", "yyyy/M/d"), "county", "state", "cases", "deaths").write.option("sep", "\t").csv(files)
+    table = IncrementTable(spark, folder, compact_every=3)
+    start_increments(spark, files, table, checkpoint, available_now=True, max_files_per_trigger=2).awaitTermination()
+    _STREAMED[key] = (state, table.current())
+    return _STREAMED[key][1]
+
+
 def group_day_of(spark: SparkSession, sf_dir: str, fixture: str) -> DataFrame:
     return group_day(FIXTURES[fixture](spark, sf_dir))
 
@@ -152,7 +174,11 @@ def run(name: str, spark: SparkSession, sf_dir: str, fixture: str | None = None,
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: (lambda spark, sf_dir, _n=name: run(_n, spark, sf_dir)) for name in REGISTRY}
-    return found | {"tsv_daily_totals": tsv_daily_totals}
+    return found | {
+        "tsv_daily_totals": tsv_daily_totals,
+        "daily_increase_streamed": lambda spark, sf_dir: M.daily_increase(streamed_group_day(spark, sf_dir)),
+        "rolling_mean_7_streamed": lambda spark, sf_dir: M.rolling_mean_7(streamed_group_day(spark, sf_dir)),
+    }
 
 
 # ---- views over the marts ---------------------------------------------------------------

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from cumulus.operators.stages import group_day
 from cumulus.sources.observations import read_obs_stream
 
 
@@ -29,9 +30,7 @@ def _write_partials(out_dir: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         # One row per (date, group) seen in the batch; AQE merges small reduce tasks, so
         # a small batch leaves few files and a first batch of the whole history many.
-        partial = (batch.groupBy("date", "state")
-                   .agg(F.sum("cases").alias("total_cases"), F.sum("deaths").alias("total_deaths")))
-        partial.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
+        group_day(batch).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
     return write
 
 
