@@ -219,6 +219,9 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url: str = "ur
     return staged(rows.mapInArrow(run, "file string, bytes long, records long"), "manifest")
 
 
+READ_TASKS = 100_000  # tasks of one read at most; beyond that a task reads several ranges
+
+
 def read(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Read archives (rows ``file``, ``bytes``) by byte ranges.
 
@@ -229,7 +232,9 @@ def read(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
         F.when(F.col("bytes") > 0, F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long")))
     ).alias("start"))
     ranges = ranges.select("file", "start", F.least("bytes", F.col("start") + split_bytes).alias("end"))
-    ranges = ranges.repartition("file", "start")
+    # As many tasks as ranges: a number that is given is not coalesced, however small the rows that name the ranges.
+    count = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 0
+    ranges = ranges.repartition(max(1, min(int(count), READ_TASKS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -98,3 +98,18 @@ def test_first_record_with_a_long_url():
                    for k, u in enumerate([url, "http://a/2"])]
         found = list(warc.records_in(io.BytesIO(b"".join(members)), 0, len(members[0]) + len(members[1])))
         assert [(offset, fields["warc-target-uri"]) for offset, fields, _ in found] == [(0, url), (len(members[0]), "http://a/2")]
+
+
+def test_every_range_is_a_task(spark, tmp_path):
+    """The rows that name the ranges are small, but adaptive planning must not read them in one task."""
+    from pyspark.sql import functions as F
+    pages = spark.createDataFrame([(k, f"http://h{k}.example/", f"<p>{k} " + "x" * 2000) for k in range(60)],
+                                  "page_id long, url string, html string")
+    manifest = warc.write(pages, str(tmp_path / "warc"))
+    size = manifest.agg(F.sum("bytes")).first()[0]
+    split = max(1, size // 20)
+    ranges = manifest.agg(F.sum(F.ceil(F.col("bytes") / split))).first()[0]
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true" and ranges >= 15
+    records = warc.read(manifest, split_bytes=split)
+    assert records.rdd.getNumPartitions() == ranges
+    assert records.where("record_type = 'response'").count() == 60
