@@ -297,6 +297,30 @@ def _batch_sql() -> str:
 _mart("snapshot_batch", "B3", _batch_sql(), DT)
 
 
+def _zscore(n: str, s: str, q: str) -> str:
+    return (f"(CAST(case_inc AS DOUBLE) - CAST({s} AS DOUBLE) / NULLIF({n}, 0)) / NULLIF(sqrt(CAST(CAST({n} AS HUGEINT) * {q} "
+            f"- CAST({s} AS HUGEINT) * {s} AS DOUBLE) / NULLIF({n} * ({n} - 1), 0)), 0)")
+
+
+_RANGE = "RANGE BETWEEN INTERVAL {a} DAYS PRECEDING AND {b}"
+_mart("zscore_frames", "B3", "SELECT date, state, case_inc, "
+      + ", ".join(f"{_zscore(f'n{k}', f's{k}', f'q{k}')} AS z_{k}" for k in (7, 14, 28))
+      + "\nFROM (SELECT date, state, case_inc, "
+      + ", ".join(f"COUNT(case_inc) OVER f{k} AS n{k}, SUM(case_inc) OVER f{k} AS s{k}, "
+                  f"SUM(CAST(case_inc AS HUGEINT) * case_inc) OVER f{k} AS q{k}" for k in (7, 14, 28))
+      + "\n      FROM inc WINDOW "
+      + ", ".join(f"f{k} AS (PARTITION BY state ORDER BY date {_RANGE.format(a=k, b='INTERVAL 1 DAYS PRECEDING')})" for k in (7, 14, 28))
+      + ")")
+_mart("reproduction_frames", "B3", "\nUNION ALL\n".join(f"""
+SELECT state, {DAY} AS date, CAST({k} AS INTEGER) AS days, Rt FROM (
+  SELECT state, date, CASE WHEN l > 50 THEN CAST(ROUND(CAST(CAST(CAST(t AS DOUBLE) / l AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE) END AS Rt
+  FROM (SELECT state, date,
+               SUM(case_inc) OVER (PARTITION BY state ORDER BY date {_RANGE.format(a=k - 1, b='CURRENT ROW')}) AS t,
+               SUM(case_inc) OVER (PARTITION BY state ORDER BY date {_RANGE.format(a=2 * k - 1, b=f'INTERVAL {k} DAYS PRECEDING')}) AS l
+        FROM inc))
+WHERE Rt IS NOT NULL""".strip() for k in (7, 14, 28)))
+
+
 def statement(name: str) -> str:
     fixture, ctes, final = MART_SQL[name]
     parts = [FIXTURE_CTE[fixture].strip(), STAGES_CTE.strip()]

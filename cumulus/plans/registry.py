@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cumulus.operators import frames as FR
 from cumulus.operators import marts as M
 from cumulus.operators import tracks as TR
 from cumulus.operators import views as V
@@ -52,6 +53,8 @@ for _name in ["rolling_mean_7", "peak_increment", "growth_rate", "monthly_top10"
     register(_name, "B2", _on_sd(getattr(M, _name)))
 for _name in ["rolling_mean_7", "zscore_anomaly", "reproduction_ratio"]:
     register(f"{_name}_calendar", "B3", lambda spark, sf_dir, sd, _m=getattr(M, _name): _m(sd, calendar=True))
+register("zscore_frames", "B3", _on_sd(FR.zscore_frames))
+register("reproduction_frames", "B3", _on_sd(FR.reproduction_frames))
 register("weighted_centroid", "B2",
          lambda spark, sf_dir, sd: M.weighted_centroid(sd, nation_coords(spark, sf_dir)))
 register("risk_clusters", "B3", lambda spark, sf_dir, sd: risk_clusters(M.risk_features(sd)))
