@@ -10,7 +10,9 @@ useful depth needs no data of others; then nodes are counted.  Documents of smal
 nodes are compared exhaustively (by 128-bit sketches, which lose a pair at the
 threshold with a chance of about 1e-6); in large nodes everyone is compared with
 the node's smallest id, and nodes that still hold several components branch on.
-Nodes that stay large to the last depth are compared in blocks, spread over tasks.
+Of nodes that hold the same documents only one is compared.  The documents of
+nodes that stay large to the last depth are cut into blocks; blocks that share a
+node are compared once, in a task that holds their sets and returns only links.
 Every pair that passes is confirmed on the full sets.  Pairs whose documents are
 connected already need no confirmation: the result is the components.
 """
@@ -24,15 +26,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cumulus.llm.staging import connected_components, staged
+from cumulus.llm.staging import connected_components, dropped, staged
 
 COORDINATES = 128        # minwise tokens of a signature; each also gives one bit of the sketch
 DEPTHS = (3, 5, 8)       # branchings after which nodes are counted; those large to the last are compared in blocks
 SMALL_NODE = 32          # documents that a node may hold to be compared exhaustively
-BLOCK = 1024             # documents of a block in such nodes
+BLOCK = 512              # documents of a block of such nodes
 FILTER_BITS = 23         # two to this power: bits of the filter of ids whose texts are needed
 RECALL = 1 - 1e-7        # chance to find a pair exactly at the threshold
 PART_BYTES = 1 << 20
@@ -206,8 +209,21 @@ def _nodes(active: DataFrame, trees: int, depth: int, similarity: float) -> Data
     return active.select("id", "component", "sig").mapInArrow(run, "node long, id long, component long")
 
 
-def _needed_texts(base: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``base`` with one of the ids.
+def _to_compare(nodes: DataFrame) -> DataFrame:
+    """(node, c, lo) of the nodes in which something is left to find: c documents, the smallest of them.
+
+    Nodes within one component have nothing left; of nodes that hold the same
+    documents (by their number and two hashes) the smallest is enough.
+    """
+    sizes = nodes.groupBy("node").agg(
+        F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "component")).alias("lo"),
+        F.min("component").alias("x"), F.max("component").alias("y"),
+        F.bit_xor(F.xxhash64("id")).alias("h"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("g")).where("x < y")
+    return sizes.groupBy("c", "h", "g").agg(F.min(F.struct("node", "lo")).alias("m")).select("m.node", "c", "m.lo")
+
+
+def _needed_texts(base: DataFrame, ids: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """The rows of ``base`` with one of the ids, and the broadcast that they need.
 
     A bit filter of a fixed size (one bit per residue of the id) goes to every task
     first, so that few texts are shuffled that the join then drops.
@@ -227,7 +243,7 @@ def _needed_texts(base: DataFrame, ids: DataFrame) -> DataFrame:
             at = batch.column(0).to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(held[(at ^ (at >> FILTER_BITS)) & (bits - 1)]))
 
-    return base.where("id IS NOT NULL").mapInArrow(run, base.schema).join(ids, "id", "left_semi")
+    return base.where("id IS NOT NULL").mapInArrow(run, base.schema).join(ids, "id", "left_semi"), shared
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -273,46 +289,65 @@ def _alike(x: str, y: str, similarity: float) -> str:
     return f"{bits} <= {_most_apart(similarity)} AND 100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
 
 
-def _in_blocks(members: DataFrame, similarity: float, best: bool) -> DataFrame:
-    """Pairs of nodes that are large to the last: blocks against blocks, each in a task of its own.
+def _block_pairs(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of nodes that are large to the last: (id, block) of their documents, and (i, j), the pairs of blocks to compare.
 
-    Members of one component need no comparison.  With ``best``, only the most
-    similar partner of every member in the other block is returned.
+    A document belongs to the largest of its nodes, whose documents are cut into
+    blocks.  Two blocks are compared once if any node holds documents of both,
+    however many trees bring them together.
     """
-    sizes = members.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    rows = members.join(sizes, "node").withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    spread = rows.select("*", F.explode(F.expr("sequence(0, CAST(blocks AS INT) - 1)")).alias("other")).select(
-        "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "block", "id", "n", "component", *[f"s{i}" for i in range(COORDINATES // 64)])
+    main = F.max(F.struct("c", "node")).over(Window.partitionBy("id"))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("main.c") / BLOCK))
+    rows = large.select("node", "id", main.alias("main")).select("node", "id", F.xxhash64("main.node", part).alias("block"))
+    of_node = rows.groupBy("node").agg(F.sort_array(F.collect_set("block")).alias("m"))
+    pairs = of_node.select(F.explode("m").alias("i"), "m").select("i", F.explode(F.filter("m", lambda j: j >= F.col("i"))).alias("j"))
+    return rows.select("id", "block").distinct(), pairs.distinct()
+
+
+def _links_in_blocks(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect all similar documents of each pair of blocks, confirmed on the full sets in its task.
+
+    ``docs``: (id, block, component, n, s0, s1, members).  Pairs that a component
+    or the links so far connect are left out, so a task returns fewer links than it holds documents.
+    """
+    left = pairs.select("i", "j", F.col("i").alias("block"))
+    right = pairs.where("i < j").select("i", "j", F.col("j").alias("block"))
+    spread = left.unionByName(right).join(docs, "block")
     most, percent = _most_apart(similarity), round(100 * similarity)
+    bits = [f"s{k}" for k in range(COORDINATES // 64)]
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        node, i, j = key
+        i, j = key
         x, y = frame[frame["block"] == i], frame[frame["block"] == j]
-        found = []
-        bits = [f"s{k}" for k in range(COORDINATES // 64)]
+        every = sorted({*x["component"], *y["component"]})
+        root = np.arange(len(every))
         # Unsigned, as numpy counts the bits of a number's absolute value.
         sx, sy = (f[bits].to_numpy().astype(np.uint64) for f in (x, y))
-        nx, ny = x["n"].to_numpy(), y["n"].to_numpy()
-        cx, cy, ix, iy = (f[c].to_numpy() for c in ("component", "id") for f in (x, y))
-        least, partner = np.full(len(y), COORDINATES + 1), np.zeros(len(y), dtype=np.int64)
+        nx, ny, ix, iy = (f[c].to_numpy() for c in ("n", "id") for f in (x, y))
+        cx, cy = (np.searchsorted(every, f["component"].to_numpy()) for f in (x, y))
+        tx, ty = ([np.frombuffer(m, dtype=np.uint64) for m in f["members"]] for f in (x, y))
+        found = []
         for k in range(len(x)):
-            apart = np.bitwise_count(sx[k] ^ sy).sum(axis=1)
-            good = (apart <= most) & (cx[k] != cy) & (ix[k] != iy)
+            good = (np.bitwise_count(sx[k] ^ sy).sum(axis=1) <= most) & (root[cx[k]] != root[cy])
             good &= 100 * np.minimum(nx[k], ny) >= percent * np.maximum(nx[k], ny)
-            apart = np.where(good, apart, COORDINATES + 1)
-            if best:
-                least = np.minimum(least, apart)
-                partner = np.where(apart == least, ix[k], partner)
-                good &= apart == apart.min()
-                good[good.argmax() + 1:] = False
-            found += [(min(ix[k], b), max(ix[k], b)) for b in iy[good]]
-        if best:
-            found += [(min(a, b), max(a, b)) for a, b, d in zip(partner, iy, least) if d <= most]
+            if i == j:
+                good[:k + 1] = False
+            at = np.flatnonzero(good)
+            if not len(at) or not len(tx[k]):
+                continue
+            sizes = [len(ty[c]) for c in at]
+            tokens = np.concatenate([ty[c] for c in at])
+            inside = tx[k][np.minimum(np.searchsorted(tx[k], tokens), len(tx[k]) - 1)] == tokens
+            common = np.add.reduceat(inside, np.cumsum([0, *sizes[:-1]]), dtype=np.int64)
+            alike = 100 * common >= percent * (len(tx[k]) + np.array(sizes) - common)
+            for c in at[alike]:
+                p, q = root[cx[k]], root[cy[c]]
+                if p != q:
+                    root[root == max(p, q)] = min(p, q)
+                    found.append((min(ix[k], iy[c]), max(ix[k], iy[c])))
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return spread.groupBy("node", "i", "j").applyInPandas(run, "a long, b long")
+    return spread.groupBy("i", "j").applyInPandas(run, "a long, b long")
 
 
 def components(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id",
@@ -342,13 +377,11 @@ def components(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
     sketches = staged(_sketches(reps), "sketches")
     found, labels = [links], None
     active = reps.select("id", F.col("id").alias("component"), "sig")
+    done: list[DataFrame] = []
     for depth in DEPTHS:
         nodes = _nodes(active, trees_for(recall, depth, similarity), depth, similarity)
-        # Nodes within one component have nothing left to find.
-        sizes = nodes.groupBy("node").agg(
-            F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "component")).alias("lo"),
-            F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("node", "c", "lo")
-        held = staged(nodes.join(sizes, "node").join(sketches, "id"), "nodes")
+        held = staged(nodes.join(_to_compare(nodes), "node").join(sketches, "id"), "nodes")
+        dropped(*done)
         first = sketches.select(*[F.col(c).alias(f"{c}_lo") for c in sketches.columns])
         stars = held.where(f"c > {SMALL_NODE} AND component != lo.component").select(
             "id", F.col("lo.id").alias("lo"), "n", "s0", "s1").distinct().join(first, F.col("lo") == F.col("id_lo"))
@@ -363,34 +396,45 @@ def components(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
         active = reps.join(large.select("id").distinct(), "id", "left_semi").select("id", "sig")
         active = staged(active.join(labels, "id", "left").select(
             "id", F.coalesce("component_id", "id").alias("component"), "sig"), "active")
+        done = [held, active]
         if active.isEmpty():
             break
     else:
-        for best in (True, False):
-            now = active.select("id").join(labels, "id", "left").select("id", F.coalesce("component_id", "id").alias("component"))
-            rows = large.drop("component").join(now, "id")
-            mixed = rows.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-            rows = staged(rows.join(mixed.select("node"), "node", "left_semi"), "large")
-            if rows.isEmpty():
-                break
-            pairs = staged(_in_blocks(rows, similarity, best).distinct(), "candidates")
-            found += _link(pairs, base, percent, words)
-            labels = _components_of(found)
+        blocks, pairs = _block_pairs(large)
+        blocks, pairs = staged(blocks, "blocks"), staged(pairs, "block_pairs")
+        sets = _staged_sets(base, blocks.select("id"), words)
+        rows = blocks.join(sketches, "id").join(labels, "id", "left").withColumn(
+            "component", F.coalesce("component_id", "id")).drop("component_id").join(sets, "id")
+        found.append(staged(_links_in_blocks(rows, pairs, similarity), "links"))
+        dropped(sets, blocks, pairs, *done)
+        labels = _components_of(found)
     return _result(every, members, labels, id_col)
 
 
+def _staged_sets(base: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, members) of the documents with one of the ids, written; an id whose rows differ gives each of its sets."""
+    texts, mask = _needed_texts(base, ids)
+    sets = staged(_sets(texts, words), "sets")
+    mask.destroy()
+    return sets
+
+
 def _link(pairs: DataFrame, base: DataFrame, percent: int, words: int) -> list[DataFrame]:
     """The links that connect what candidate pairs connect: each document is compared with its
     smallest partner first, and then with those that this has not put beside it."""
     needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = staged(_sets(_needed_texts(base, staged(needed, "ids")), words), "sets")
+    ids = staged(needed, "ids")
+    sets = _staged_sets(base, ids, words)
+    dropped(ids)
     first = pairs.groupBy("b").agg(F.min("a").alias("m"))
     linked = staged(_confirm(first.select(F.col("m").alias("a"), "b"), sets, percent), "links")
     beside = first.join(linked.select("b", F.col("a").alias("of_b")), "b", "left")
     rest = pairs.join(beside, "b").where("a != m").join(
         linked.select(F.col("b").alias("a"), F.col("a").alias("of_a")), "a", "left")
     rest = rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    return [linked, staged(_confirm(rest, sets, percent), "links")]
+    more = staged(_confirm(rest, sets, percent), "links")
+    dropped(sets, pairs)
+    return [linked, more]
 
 
 def _components_of(found: list[DataFrame]) -> DataFrame:

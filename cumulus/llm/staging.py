@@ -26,7 +26,19 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = shared_folder(spark, label)
     schema = df.schema
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table._staged_at = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the folders of tables from ``staged`` that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_staged_at", None)
+        if path is not None:
+            sc = df.sparkSession.sparkContext
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def numbered(nodes: DataFrame, order: Sequence[str], label: str) -> DataFrame:
@@ -75,10 +87,12 @@ def connected_components(links: DataFrame, label: str = "components", max_rounds
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = staged(large.where("u != v").distinct(), label)
+        dropped(pairs)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.where("u != v").unionByName(low.select("u", F.col("m").alias("v")))
         pairs = staged(small.distinct(), label)
+        dropped(large)
     else:
         raise RuntimeError(f"component labels did not settle in {max_rounds} rounds")
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(
