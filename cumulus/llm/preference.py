@@ -7,14 +7,16 @@ completion whose mask marks the assistant's own characters.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cumulus.llm.staging import staged
+from cumulus.operators.ordered import shifted
+
 # ---- fixed values: the chat template --------------------------------------------------------
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 ASSISTANT = "assistant"
-
-NEIGHBOURS = 64      # conversations of so many ids in a row look for partners among each other
+OUTPUT = ("prompt_turns", "prompt", "chosen", "rejected", "chosen_spans", "rejected_spans")
 
 
 def turns_of(conversations: DataFrame, id_col: str = "conv_id", turn: str = "turn", role: str = "role",
@@ -52,39 +54,54 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reje
 
     chosen_spans and rejected_spans are the (start, length) of the characters to
     train on, counted in code points of the completion.  A null array is empty; equal
-    conversations are all prompt, with empty completions.  Other columns stay.
+    conversations are all prompt, with empty completions.  Other columns stay,
+    whatever their names; one named like a column of the result is replaced.
     """
-    others = [F.col(f"`{c}`") for c in pairs.columns if c not in (chosen, rejected)]
+    kept = {f"other_{i}": c for i, c in enumerate(pairs.columns) if c not in (chosen, rejected, *OUTPUT)}
+    apart = pairs.toDF(*["chosen" if c == chosen else "rejected" if c == rejected else f"other_{i}"
+                         for i, c in enumerate(pairs.columns)])
     none = "cast(array() AS array<struct<role:string,text:string>>)"
-    sides = pairs.select(*others, F.expr(f"coalesce(`{chosen}`, {none})").alias("__c"),
-                         F.expr(f"coalesce(`{rejected}`, {none})").alias("__r"))
+    sides = apart.select(*kept, F.expr(f"coalesce(chosen, {none})").alias("__c"),
+                         F.expr(f"coalesce(rejected, {none})").alias("__r"))
     agree = F.expr("""
         CASE WHEN least(size(__c), size(__r)) = 0 THEN 0
              ELSE coalesce(nullif(array_position(transform(sequence(0, least(size(__c), size(__r)) - 1),
                     i -> __c[i].role = __r[i].role AND __c[i].text = __r[i].text), false), 0) - 1,
                   least(size(__c), size(__r))) END""")
     sides = sides.withColumn("__k", agree.cast("int"))
-    sides = sides.select(*others, F.col("__k").cast("long").alias("prompt_turns"), F.expr("slice(__c, 1, __k)").alias("__p"),
+    sides = sides.select(*kept, F.col("__k").cast("long").alias("prompt_turns"), F.expr("slice(__c, 1, __k)").alias("__p"),
                          F.expr("slice(__c, __k + 1, size(__c))").alias("__c"),
                          F.expr("slice(__r, __k + 1, size(__r))").alias("__r"))
-    return sides.select(*others, "prompt_turns", F.expr(_render("__p")).alias("prompt"),
+    return sides.select(*[F.col(new).alias(old) for new, old in kept.items()], "prompt_turns", F.expr(_render("__p")).alias("prompt"),
                         F.expr(_render("__c")).alias("chosen"), F.expr(_render("__r")).alias("rejected"),
                         F.expr(_spans("__c")).alias("chosen_spans"), F.expr(_spans("__r")).alias("rejected_spans"))
 
 
+def partners(openings: DataFrame) -> DataFrame:
+    """(id, rejected_id) of ``openings(id, opening)``: the next larger id of the same opening, for all that have one.
+
+    Rows are ordered by opening and id over range partitions, so an opening that a
+    third of all conversations share is spread over many tasks and no neighbour is lost.
+    """
+    after = shifted(openings, [F.col("opening"), F.col("id")], 1, {"next_opening": "opening", "rejected_id": "id"})
+    return after.where("opening = next_opening").select("id", "rejected_id")
+
+
 def pairs_of(conversations: DataFrame, **names: str) -> DataFrame:
     """One pair per conversation, which is its chosen side: (conv_id, rejected_id, chosen, rejected).
 
-    The rejected side is the next conversation of the same ``NEIGHBOURS`` ids in a
-    row that opens with the same turn.  Without one, it is the conversation itself
+    The rejected side is the conversation with the next larger id, in the whole
+    table, that opens with the same turn.  Without one, it is the conversation itself
     with another last answer: its first one given again, or, where that is the same,
     an empty one (rejected_id is null then).
     """
     whole = turns_of(conversations, **names)
-    opening = F.xxhash64(F.element_at("turns", 1)["role"], F.element_at("turns", 1)["text"])
-    window = Window.partitionBy(F.floor(F.col("id") / NEIGHBOURS), "opening", F.element_at("turns", 1)).orderBy("id")
-    rows = whole.withColumn("opening", opening).select(
-        "id", "turns", F.lead("id").over(window).alias("rejected_id"), F.lead("turns").over(window).alias("other"))
+    first_turn = F.element_at("turns", 1)
+    opening = F.sha2(F.concat_ws(":", F.length(first_turn["role"]), first_turn["role"], first_turn["text"]), 256)
+    openings = staged(whole.select("id", opening.alias("opening")), "openings")
+    others = whole.select(F.col("id").alias("rejected_id"), F.col("turns").alias("other"))
+    # Every conversation has one follower at most, so neither join has a hot key.
+    rows = whole.join(partners(openings), "id", "left").join(others, "rejected_id", "left")
     last = (f"coalesce(array_max(filter(transform(turns, (t, i) -> CASE WHEN t.role = '{ASSISTANT}' THEN i ELSE -1 END), "
             "i -> i >= 0)), -1)")
     first = f"element_at(filter(turns, t -> t.role = '{ASSISTANT}'), 1).text"

@@ -142,7 +142,7 @@ WITH t AS (SELECT conv_id AS id, list({'role': coalesce(role, ''), 'text': coale
                   list_filter(turns, lambda x: x.role = 'assistant') AS answers,
                   list_max(list_filter(list_transform(turns, lambda x, i: CASE WHEN x.role = 'assistant' THEN i ELSE 0 END),
                                        lambda i: i > 0)) AS place
-           FROM t WINDOW o AS (PARTITION BY floor(id / 64.0), turns[1] ORDER BY id)),
+           FROM t WINDOW o AS (PARTITION BY turns[1] ORDER BY id)),
      p AS (SELECT id, rejected_id, turns AS c, coalesce(other, list_transform(turns, lambda x, i: {
                     'role': x.role, 'text': CASE WHEN i = place THEN CASE WHEN x.text = answers[1].text THEN '' ELSE answers[1].text END
                                             ELSE x.text END})) AS r FROM w),

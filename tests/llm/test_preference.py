@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from cumulus.llm import preference
 
 TURNS = "array<struct<role:string,text:string>>"
@@ -39,12 +41,43 @@ def test_partners_and_own_answers(spark):
         return [(i, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(texts)]
 
     rows = talk(1, "q", "x") + talk(2, "other", "y", "again", "z") + talk(3, "q", "w") + talk(70, "q", "v") + talk(4, "lone")
+    rows += talk(63, "q", "a") + talk(64, "q", "b") + talk(700, "q", "c")
     out = {r.conv_id: r for r in preference.pairs_of(spark.createDataFrame(
         rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert {i: r.rejected_id for i, r in out.items()} == {1: 3, 2: None, 3: None, 4: None, 70: None}
+    assert {i: r.rejected_id for i, r in out.items()} == {1: 3, 2: None, 3: 63, 63: 64, 64: 70, 70: 700, 700: None, 4: None}
     assert [t.text for t in out[1].rejected] == ["q", "w"]
     assert [t.text for t in out[2].rejected] == ["other", "y", "again", "y"]
-    assert [t.text for t in out[3].rejected] == ["q", ""] and [t.text for t in out[4].rejected] == ["lone"]
+    assert [t.text for t in out[700].rejected] == ["q", ""] and [t.text for t in out[4].rejected] == ["lone"]
+
+
+def test_a_hot_opening_over_many_partitions(spark):
+    """Every conversation gets the next of its opening, whatever the layout, and no task holds the hot opening."""
+    ids = spark.range(0, 60_000, 1, 8).selectExpr("id * 7919 % 1000003 AS id").selectExpr(
+        "id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('o', id % 5000) END AS opening")
+    held: dict[str, list[int]] = {}
+    for r in ids.collect():
+        held.setdefault(r.opening, []).append(r.id)
+    want = {(a, b) for v in held.values() for a, b in zip(sorted(v), sorted(v)[1:])}
+    for parts in (1, 16):
+        assert {tuple(r) for r in preference.partners(ids.repartition(parts)).collect()} == want
+
+
+def test_clashing_names_and_a_long_text(spark):
+    long = "é x" * 400_000
+    pairs = spark.createDataFrame([(1, [("user", long), ("assistant", "a")], [("user", long), ("assistant", long)])],
+                                  f"id long, chosen {TURNS}, rejected {TURNS}")
+    names = ["__c", "__r", "__k", "__p", "other_0", "x.y"]
+    out = preference.format_pairs(pairs.select("*", *[F.lit(n).alias(n) for n in [*names, "prompt"]]))
+    assert out.columns == ["id", *names, *preference.OUTPUT]
+    row = out.collect()[0]
+    assert row[1:7] == tuple(names) and row.prompt == f"<|user|>\n{long}<|end|>\n"
+    assert row.rejected_spans[0].length == len(long) + len("<|end|>\n")
+
+
+def test_no_python_in_the_plan(spark):
+    talks = spark.createDataFrame([(1, 0, "user", "q"), (2, 0, "user", "q")], "conv_id long, turn long, role string, text string")
+    plan = preference.format_pairs(preference.pairs_of(talks))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_empty_table(spark):
