@@ -6,7 +6,9 @@ ranges, addresses (IPv4) by their octets, dates by the calendar.  Then a keyed
 Feistel network permutes the value within its format: digits to digits, letters to
 letters, dates to dates; check digits are computed anew.  The permutation hangs on
 the value and the key alone, so equal values get equal pseudonyms in all documents,
-and different values of a kind different ones.  What fails validation stays as it is.
+and different values of a kind different ones.  Dates stay in their span of years
+(0 to 1899, 1900 to 2099, 2100 to 9999); a letter outside A-Z stays within the 64
+code points around it.  What fails validation stays as it is.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8             # an even number
 WALK = 16              # steps of a cycle walk that looks for a valid value
-FIRST_DAY, DAYS, DAY_SIDES = "1900-01-01", 73049, (270, 271)    # dates of two centuries
+#: Spans of years that a date stays in: first day, days, and two sides whose product is as large or a little larger.
+SPANS = (("0000-01-01", 693961, (833, 834)), ("1900-01-01", 73049, (270, 271)), ("2100-01-01", 2885415, (1699, 1699)))
 
 # ---- fixed values: formats, in the order in which they are tried --------------------------
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]*+\.)+[A-Za-z]{2,}"
@@ -51,23 +54,29 @@ class Feistel:
 
     def text(self, value: str, kind: str, letters: int = 26) -> str:
         """Permute a string within its format: every digit stays a digit, every letter a letter of its case
-        (of the first ``letters`` of the alphabet); other characters stay.  Case does not change the pseudonym."""
+        (of the first ``letters`` of the alphabet), a letter outside A-Z one of its block of 64 code points; other
+        characters stay.  The case of A-Z does not change the pseudonym."""
         number = self.number(kind, "turn", "i", "lower(s.r)")
 
         def moved(first: int, size: int) -> str:
             return f"chr({first} + cast((ascii(c) - {first} + {number}) % {size} AS int))"
 
+        # Of the 64 code points around a letter outside A-Z, the next by steps of this number that is a letter: the
+        # first return of a rotation, which is one-to-one and comes back to the letter itself after 64 steps at most.
+        around = f"(ascii(w) div 64 * 64 + (ascii(w) + {number}) % 64)"
+        returned = (f"aggregate(sequence(1, 64), named_struct('w', c, 'end', false), (g, step) -> CASE WHEN g.end THEN g ELSE "
+                    + _let("w", "g.w", _let("v", _character(around), "named_struct('w', v, 'end', v RLIKE '\\\\p{L}')"))
+                    + " END, g -> g.w)")
         character = (f"CASE WHEN c BETWEEN '0' AND '9' THEN {moved(48, 10)} WHEN c BETWEEN 'a' AND 'z' THEN {moved(97, letters)} "
-                     f"WHEN c BETWEEN 'A' AND 'Z' THEN {moved(65, letters)} WHEN c RLIKE '\\\\p{{L}}' THEN "
-                     f"chr(97 + cast((ascii(c) + {number}) % {letters} AS int)) ELSE c END")
+                     f"WHEN c BETWEEN 'A' AND 'Z' THEN {moved(65, letters)} WHEN c RLIKE '\\\\p{{L}}' THEN {returned} ELSE c END")
         half = (f"CASE WHEN length(s.l) = 0 THEN '' ELSE array_join(transform(sequence(1, length(s.l)), i -> "
                 f"element_at(transform(array(substr(s.l, i, 1)), c -> {character}), 1)), '') END")
         start = f"named_struct('l', substr({value}, 1, cast(length({value}) / 2 AS int)), 'r', substr({value}, cast(length({value}) / 2 AS int) + 1))"
         return (f"aggregate(sequence(1, {ROUNDS}), {start}, (s, turn) -> named_struct('l', s.r, 'r', {half}), "
                 "s -> concat(s.l, s.r))")
 
-    def numbers(self, left: str, right: str, sides: tuple[int, int], kind: str) -> str:
-        """Permute a pair of numbers below the two sides; the result is a struct (l, r)."""
+    def numbers(self, left: str, right: str, sides: tuple[int | str, int | str], kind: str) -> str:
+        """Permute a pair of numbers below the two sides (numbers or SQL); the result is a struct (l, r)."""
         a, b = sides
         turn_l = f"cast((s.l + {self.number(kind, 'turn', '0', 's.r')}) % {a} AS bigint)"
         turn_r = f"cast((s.r + {self.number(kind, 'turn', '1', 's.l')}) % {b} AS bigint)"
@@ -81,6 +90,11 @@ def _let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def _character(code: str) -> str:
+    """SQL: the character of a code point."""
+    return f"decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32')"
+
+
 def _refilled(form: str, symbols: str, allowed: str) -> str:
     """SQL: the characters of ``form`` that match ``allowed``, replaced in turn by those of ``symbols``."""
     return (f"aggregate(sequence(1, length({form})), named_struct('o', '', 'k', 1), (a, i) -> CASE WHEN "
@@ -134,10 +148,11 @@ def _pseudonym(net: Feistel) -> str:
             "ELSE coalesce({dm}, {md}) END").format(
         dm="try_to_date(concat_ws('-', q[2], lpad(q[1], 2, '0'), lpad(q[0], 2, '0')), 'yyyy-MM-dd')",
         md="try_to_date(concat_ws('-', q[2], lpad(q[0], 2, '0'), lpad(q[1], 2, '0')), 'yyyy-MM-dd')")
-    a, b = DAY_SIDES
-    step = _let("h", net.numbers(f"n div {b}", f"n % {b}", DAY_SIDES, "date"), f"h.l * {b} + h.r")
-    walked = (f"aggregate(sequence(1, {WALK}), cast(-1 AS bigint), (n0, step) -> CASE WHEN n0 BETWEEN 0 AND {DAYS - 1} THEN n0 ELSE "
-              + _let("n", "CASE WHEN n0 < 0 THEN cast(day AS bigint) ELSE n0 END", step) + " END)")
+    step = _let("h", net.numbers("n div z.b", "n % z.b", ("z.a", "z.b"), "date"), "h.l * z.b + h.r")
+    walked = (f"aggregate(sequence(1, {WALK}), cast(-1 AS bigint), (n0, step) -> CASE WHEN n0 BETWEEN 0 AND z.days - 1 THEN n0 ELSE "
+              + _let("n", "CASE WHEN n0 < 0 THEN cast(datediff(day, z.first) AS bigint) ELSE n0 END", step) + " END)")
+    span = " ".join(f"WHEN day >= DATE'{first}' THEN named_struct('first', DATE'{first}', 'days', {days}, 'a', {a}, 'b', {b})"
+                    for first, days, (a, b) in reversed(SPANS))
     month_first = "(length(q[0]) < 4 AND cast(q[1] AS int) > 12)"
 
     def shown(pattern: str, part: str) -> str:
@@ -146,9 +161,8 @@ def _pseudonym(net: Feistel) -> str:
     written = (f"CASE WHEN length(q[0]) = 4 THEN concat_ws({separator}, date_format(t, 'yyyy'), {shown('M', 'q[1]')}, {shown('d', 'q[2]')}) "
                f"WHEN {month_first} THEN concat_ws({separator}, {shown('M', 'q[0]')}, {shown('d', 'q[1]')}, date_format(t, 'yyyy')) "
                f"ELSE concat_ws({separator}, {shown('d', 'q[0]')}, {shown('M', 'q[1]')}, date_format(t, 'yyyy')) END")
-    date = _let("q", parts, _let("day", f"datediff({read}, DATE'{FIRST_DAY}')", (
-        f"CASE WHEN day BETWEEN 0 AND {DAYS - 1} THEN "
-        + _let("t", f"date_add(DATE'{FIRST_DAY}', cast({walked} AS int))", written) + " ELSE m END")))
+    moved = _let("z", f"CASE {span} END", _let("t", f"date_add(z.first, cast({walked} AS int))", written))
+    date = _let("q", parts, _let("day", read, f"CASE WHEN day IS NOT NULL THEN {moved} ELSE m END"))
     ways = {"email": email, "secret": secret, "iban": iban, "date": date, "ipv4": ipv4, "ssn": ssn, "card": card, "phone": phone}
     cases = " ".join(f"WHEN m RLIKE {_quoted('^(?:' + KINDS[k] + ')$')} THEN {ways[k]}" for k in KINDS)
     return f"CASE {cases} ELSE m END"
@@ -160,21 +174,22 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str | Non
     ``count`` names a column (long) for the number of values replaced.  A null text
     stays null with a count of 0; an empty text stays empty.  Rows are independent,
     so repeated rows and ties get equal results; an empty table gives an empty table.
-    A column that already has the name of ``count`` is replaced.
+    A column that already has the name of ``count`` is replaced; all others may have any name.
     """
     pattern = "|".join(f"(?:{p})" for p in KINDS.values())
-    body = F.col(f"`{text}`")
+    names = {f"other_{i}": c for i, c in enumerate(docs.columns) if c != count or c == text}
+    docs = docs.toDF(*[f"other_{i}" for i in range(len(docs.columns))])
+    body = next(F.col(new) for new, old in names.items() if old == text)
     # Texts without a digit or an at sign hold none of the formats (a secret has 32 hex digits).
     some = body.rlike(r"[0-9@]|[A-Fa-f]{32}") & body.rlike(pattern)
-    rest = [F.col(f"`{c}`") for c in docs.columns]
-    cut = docs.select(*rest, F.when(some, F.split(body, pattern, -1)).alias("__between"),
-                      F.when(some, F.regexp_extract_all(body, F.lit(pattern), F.lit(0))).alias("__found"))
-    changed = cut.select("*", F.expr(f"transform(__found, m -> {_pseudonym(Feistel(key))})").alias("__new"))
-    whole = F.expr("concat(element_at(__between, 1), array_join(transform(__new, (x, i) -> "
-                   "concat(x, element_at(__between, i + 2))), ''))")
-    replaced = F.expr("cast(coalesce(size(filter(zip_with(__found, __new, (x, y) -> x != y), z -> z)), 0) AS bigint)")
-    out = [F.when(F.col("__new").isNotNull(), whole).otherwise(body).alias(text) if c == text else F.col(f"`{c}`")
-           for c in docs.columns if c != count]
+    cut = docs.select(*names, F.when(some, F.split(body, pattern, -1)).alias("between"),
+                      F.when(some, F.regexp_extract_all(body, F.lit(pattern), F.lit(0))).alias("found"))
+    changed = cut.select("*", F.expr(f"transform(found, m -> {_pseudonym(Feistel(key))})").alias("new"))
+    whole = F.expr("concat(element_at(between, 1), array_join(transform(new, (x, i) -> "
+                   "concat(x, element_at(between, i + 2))), ''))")
+    replaced = F.expr("cast(coalesce(size(filter(zip_with(found, new, (x, y) -> x != y), z -> z)), 0) AS bigint)")
+    out = [F.when(F.col("new").isNotNull(), whole).otherwise(F.col(new)).alias(old) if old == text else F.col(new).alias(old)
+           for new, old in names.items()]
     if count:
         out.append(F.greatest(replaced, F.lit(0).cast("long")).alias(count))
     return changed.select(*out)
