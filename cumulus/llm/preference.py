@@ -100,8 +100,8 @@ def pairs_of(conversations: DataFrame, **names: str) -> DataFrame:
     opening = F.sha2(F.concat_ws(":", F.length(first_turn["role"]), first_turn["role"], first_turn["text"]), 256)
     openings = staged(whole.select("id", opening.alias("opening")), "openings")
     others = whole.select(F.col("id").alias("rejected_id"), F.col("turns").alias("other"))
-    # Every conversation has one follower at most, so neither join has a hot key.
-    rows = whole.join(partners(openings), "id", "left").join(others, "rejected_id", "left")
+    # An id has one follower at most and follows one at most, and no key is null, so neither join has a hot key.
+    rows = whole.join(partners(openings).join(others, "rejected_id"), "id", "left")
     last = (f"coalesce(array_max(filter(transform(turns, (t, i) -> CASE WHEN t.role = '{ASSISTANT}' THEN i ELSE -1 END), "
             "i -> i >= 0)), -1)")
     first = f"element_at(filter(turns, t -> t.role = '{ASSISTANT}'), 1).text"
