@@ -14,6 +14,8 @@ is half away from zero like Spark's HALF_UP.
 
 from __future__ import annotations
 
+from cumulus.constants import REFERENCE_COORDS
+
 FIXTURE_CTE = {
     "B1": """
 d AS (SELECT CAST(ts AS DATE) AS date, 'u' || CAST(user_id % 10 AS VARCHAR) AS county,
@@ -211,6 +213,44 @@ FROM snap""")
 _mart("daily_increase_streamed", "B1", MART_SQL["daily_increase"][2], DT)
 _mart("rolling_mean_7_streamed", "B1", MART_SQL["rolling_mean_7"][2])
 _mart("tsv_daily_totals", "B1", "SELECT date, cases, deaths FROM dt ORDER BY date", DT)
+_mart("tsv_tolerant_totals", "B1", "SELECT date, cases, deaths FROM dt ORDER BY date", DT)
+_mart("tsv_rejects", "B1", r"""
+SELECT CASE day(date) WHEN 1 THEN concat_ws(chr(9), '1999/13/40', county, state, cases, deaths)
+                      WHEN 2 THEN concat_ws(chr(9), strftime(date, '%Y/%-m/%-d'), county, state, 'many', deaths)
+                      ELSE concat_ws(chr(9), strftime(date, '%Y/%-m/%-d'), county, state) END AS raw_line
+FROM obs WHERE day(date) <= 3""")
+_mart("json_single_file", "B3", "SELECT row_number() OVER (ORDER BY total_cases DESC, state) - 1 AS line, * FROM snap")
+_mart("sql_over_views", "B3", """
+SELECT s.state, s.total_cases, MAX(i.case_inc) AS peak, CAST(SUM(i.case_inc) AS BIGINT) AS kept_increments
+FROM snap s JOIN inc i ON s.state = i.state GROUP BY s.state, s.total_cases""")
+_mart("reference_centroid", "B2", """
+SELECT date, CAST(ROUND(CAST(CAST(center_lat AS VARCHAR) AS DECIMAL(38, 18)), 6) AS DOUBLE) AS center_lat,
+             CAST(ROUND(CAST(CAST(center_lon AS VARCHAR) AS DECIMAL(38, 18)), 6) AS DOUBLE) AS center_lon
+FROM (SELECT date, SUM(total_cases * lat) / NULLIF(SUM(total_cases), 0) AS center_lat,
+                   SUM(total_cases * lon) / NULLIF(SUM(total_cases), 0) AS center_lon
+      FROM sd JOIN named USING (state) GROUP BY date)""", "named (state, lat, lon) AS (VALUES " + ", ".join(
+    f"('NATION_{k}', CAST({lat} AS DOUBLE), CAST({lon} AS DOUBLE))" for k, (_, lat, lon) in enumerate(REFERENCE_COORDS)) + ")")
+
+# A unit's value on a day is its latest one, on every reported day from its first one on.
+_CARRIED = """
+cal AS (SELECT DISTINCT date FROM obs),
+un AS (SELECT county, state, MIN(date) AS first FROM obs GROUP BY county, state),
+filled AS (SELECT c.date, u.state, LAST_VALUE(o.cases IGNORE NULLS) OVER w AS cases,
+                  LAST_VALUE(o.deaths IGNORE NULLS) OVER w AS deaths
+           FROM un u JOIN cal c ON c.date >= u.first
+           LEFT JOIN obs o ON o.county = u.county AND o.state = u.state AND o.date = c.date
+           WINDOW w AS (PARTITION BY u.county, u.state ORDER BY c.date)),
+carried AS (SELECT date, state, CAST(SUM(cases) AS BIGINT) AS total_cases, CAST(SUM(deaths) AS BIGINT) AS total_deaths
+            FROM filled GROUP BY date, state)"""
+_mart("group_day_carried", "B3", "SELECT * FROM carried", _CARRIED)
+_mart("daily_increase_carried", "B3", """
+SELECT t1.date, t1.cases - t2.cases AS case_increase, t1.deaths - t2.deaths AS death_increase
+FROM dtc t1 JOIN dtc t2 ON t1.date = t2.date + 1 ORDER BY t1.date""", _CARRIED + """,
+dtc AS (SELECT date, CAST(SUM(total_cases) AS BIGINT) AS cases,
+               CAST(SUM(total_deaths) AS BIGINT) AS deaths FROM carried GROUP BY date)""")
+_mart("rolling_mean_7_carried", "B3", MART_SQL["rolling_mean_7"][2].replace("FROM inc)", "FROM cinc)"), _CARRIED + """,
+cinc AS (SELECT * FROM (SELECT date, state, COALESCE(total_cases - LAG(total_cases) OVER w, total_cases) AS case_inc
+                        FROM carried WINDOW w AS (PARTITION BY state ORDER BY date)) WHERE case_inc >= 0)""")
 
 
 # k-means (R21, V20) on whole millionths of a deviation.  ``walk``: the farthest-first traversal, one step a

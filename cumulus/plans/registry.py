@@ -14,17 +14,20 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cumulus.constants import REFERENCE_COORDS
 from cumulus.operators import frames as FR
 from cumulus.operators import marts as M
 from cumulus.operators import tracks as TR
 from cumulus.operators import views as V
+from cumulus.operators.carried import carried_totals, unit_steps
 from cumulus.operators.clustering import FEATURES, cluster_tiers, risk_clusters, scaled_features
 from cumulus.operators.stages import group_day
 from cumulus.plans.batch import snapshot_batch
-from cumulus.plans.stage import new_path, stage_group_days
-from cumulus.sources.dimensions import nation_coords
+from cumulus.plans.sql import register_marts, register_views
+from cumulus.plans.stage import new_path, stage_group_days, stage_table
+from cumulus.sources.dimensions import nation_coords, reference_coords
 from cumulus.sources.fixtures import FIXTURE_TABLES, FIXTURES
-from cumulus.sources.observations import read_obs
+from cumulus.sources.observations import read_obs, read_rejects
 from cumulus.sources.results import read_result, write_result
 from cumulus.streaming.increments import IncrementTable, start_increments
 
@@ -105,6 +108,75 @@ def tsv_daily_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.daily_totals(group_day(read_obs(spark, path)))
 
 
+def _json_single_file(spark: SparkSession, sf_dir: str, sd: DataFrame) -> DataFrame:
+    """The snapshot written as one sorted file of JSON lines and read back: its records with their line's number."""
+    snapshot = M.group_snapshot(sd, ordered=False)
+    path = new_path(spark, f"cumulus_json_{uuid.uuid4().hex}")
+    write_result(snapshot, path, single_file=True, sort_by=[F.desc("total_cases"), "state"])
+    # One small file is one partition, whose rows are numbered in the order of its lines.
+    lines = spark.read.text(path).select(
+        F.monotonically_increasing_id().alias("line"), F.from_json("value", snapshot.schema).alias("r"))
+    return lines.select("line", "r.*")
+
+
+register("json_single_file", "B3", _json_single_file)
+
+
+def _sql_over_views(spark: SparkSession, sf_dir: str, sd: DataFrame) -> DataFrame:
+    """SQL over the stages and result views: each group of the snapshot with its largest and its latest increments."""
+    prefix = f"v{uuid.uuid4().hex}_"
+    views = register_views(spark, sd=sd, prefix=prefix) + register_marts(spark, sd, prefix=prefix)
+    out = spark.sql(f"""
+        SELECT s.state, s.total_cases, p.case_inc AS peak, CAST(sum(i.case_inc) AS BIGINT) AS kept_increments
+        FROM {prefix}group_snapshot s JOIN {prefix}peak_increment p ON s.state = p.state
+        JOIN {prefix}increments i ON s.state = i.state
+        GROUP BY s.state, s.total_cases, p.case_inc""")
+    for v in views:
+        spark.catalog.dropTempView(v)
+    return out
+
+
+register("sql_over_views", "B3", _sql_over_views)
+
+
+def _reference_centroid(spark: SparkSession, sf_dir: str, sd: DataFrame) -> DataFrame:
+    """The centroid over the literal coordinates, the first groups under the names that these have.
+
+    Rounded, as sums of doubles depend on their order.
+    """
+    names = F.array(*[F.lit(state) for state, _, _ in REFERENCE_COORDS])
+    place = F.regexp_extract("state", r"^NATION_([0-9]+)$", 1).try_cast("int")
+    named = sd.withColumn("state", F.coalesce(F.get(names, place), "state"))
+    centre = M.weighted_centroid(named, reference_coords(spark))
+    return centre.select("date", *[F.round(c, 6).alias(c) for c in ("center_lat", "center_lon")])
+
+
+register("reference_centroid", "B2", _reference_centroid)
+
+
+def _tsv_with_bad_lines(spark: SparkSession, sf_dir: str) -> str:
+    """B1 as a tab-separated file in the shared folder, with further lines that are no observations."""
+    path = new_path(spark, f"cumulus_tsv_{uuid.uuid4().hex}")
+    obs = FIXTURES["B1"](spark, sf_dir)
+    day, n = F.date_format("date", "yyyy/M/d"), F.dayofmonth("date")
+    good = F.concat_ws("\t", day, "county", "state", "cases", "deaths")
+    bad = (F.when(n == 1, F.concat_ws("\t", F.lit("1999/13/40"), "county", "state", "cases", "deaths"))
+           .when(n == 2, F.concat_ws("\t", day, "county", "state", F.lit("many"), "deaths"))
+           .when(n == 3, F.concat_ws("\t", day, "county", "state")))
+    obs.select(F.explode(F.array_compact(F.array(good, bad))).alias("value")).write.text(path)
+    return path
+
+
+def tsv_tolerant_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums per day of what the tolerant reader takes from a file with bad lines."""
+    return M.daily_totals(group_day(read_obs(spark, _tsv_with_bad_lines(spark, sf_dir), mode="PERMISSIVE")))
+
+
+def tsv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that the tolerant reader does not take."""
+    return read_rejects(spark, _tsv_with_bad_lines(spark, sf_dir)).select("raw_line")
+
+
 # The streamed group-day tables, as ``_STAGES`` below.
 _STREAMED: dict[tuple[str, str], tuple[tuple, DataFrame]] = {}
 STREAM_BATCHES = 5
@@ -158,6 +230,15 @@ def staged_group_day(spark: SparkSession, sf_dir: str, fixture: str, reuse: bool
     return sd
 
 
+def staged_carried(spark: SparkSession, sf_dir: str, fixture: str) -> DataFrame:
+    """The fixture's group-day table with silent units carried forward, its steps written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), f"{fixture}_steps")
+    state = _source_state(spark, sf_dir, fixture)
+    if key not in _STAGES or _STAGES[key][0] != state:
+        _STAGES[key] = (state, stage_table(spark, unit_steps(FIXTURES[fixture](spark, sf_dir))))
+    return carried_totals(_STAGES[key][1])
+
+
 def run(name: str, spark: SparkSession, sf_dir: str, fixture: str | None = None,
         materialise: bool = True, reuse: bool = True) -> DataFrame:
     """Build the fixture, sum it to group-days, materialise that stage, run the query.
@@ -179,6 +260,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: (lambda spark, sf_dir, _n=name: run(_n, spark, sf_dir)) for name in REGISTRY}
     return found | {
         "tsv_daily_totals": tsv_daily_totals,
+        "tsv_tolerant_totals": tsv_tolerant_totals,
+        "tsv_rejects": tsv_rejects,
+        "group_day_carried": lambda spark, sf_dir: staged_carried(spark, sf_dir, "B3"),
+        "daily_increase_carried": lambda spark, sf_dir: M.daily_increase(staged_carried(spark, sf_dir, "B3")),
+        "rolling_mean_7_carried": lambda spark, sf_dir: M.rolling_mean_7(staged_carried(spark, sf_dir, "B3")),
         "daily_increase_streamed": lambda spark, sf_dir: M.daily_increase(streamed_group_day(spark, sf_dir)),
         "rolling_mean_7_streamed": lambda spark, sf_dir: M.rolling_mean_7(streamed_group_day(spark, sf_dir)),
     }
