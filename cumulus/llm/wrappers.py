@@ -16,10 +16,12 @@ from __future__ import annotations
 
 import html
 import json
+import math
 import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,8 +58,9 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![A-Za-z\[][^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 GROUP = 12            # tokens of the longest group that is folded at once
-ITEMS = 400           # items of the largest wrapper; pages that it does not cover use their own
-SLOTS = 10 * ITEMS    # slots of the largest wrapper, and of its templates; all pages of hosts beyond that use their own
+CELLS = 1 << 20       # of an alignment's table, held at once
+ITEMS = 400           # items of a bounded wrapper (main_text has none); pages that it does not cover use their own
+SLOTS = 10 * ITEMS    # slots of a bounded wrapper, and of its templates; all pages of hosts beyond that use their own
 KNOWN = 2000          # expressions remembered by a task as aligned already
 DIFFERENT = 3         # pages that differ elsewhere and agree in a text, for it to count as constant
 
@@ -245,6 +248,49 @@ def _key(item) -> str:
     return item
 
 
+class _Common:
+    """Longest common subsequences of what follows every pair of places, whatever the lengths.
+
+    A row of the table comes from the one below by a running maximum.  Rows that
+    open a block are kept and the block in use is filled again from the next one,
+    so the memory grows with the lengths and not with their product.
+    """
+
+    def __init__(self, a: list, b: list):
+        codes: dict = {}
+        self.a, self.b = (np.array([codes.setdefault(x, len(codes)) for x in v], dtype=np.int64) for v in (a, b))
+        self.height = max(1, CELLS // (len(b) + 1), math.isqrt(len(a)))
+        self.kept: dict[int, np.ndarray] = {}
+        row = np.zeros(len(b) + 1, dtype=np.int32)
+        for i in range(len(a), -1, -1):
+            if i < len(a):
+                row = self._above(row, i)
+            if i % self.height == 0 or i == len(a):
+                self.kept[i] = row
+        self.begin, self.rows = -1, []
+
+    def _above(self, below: np.ndarray, i: int) -> np.ndarray:
+        row = below.copy()
+        np.maximum(below[:-1], below[1:] + (self.b == self.a[i]), out=row[:-1])
+        return np.maximum.accumulate(row[::-1])[::-1]
+
+    def _row(self, i: int) -> np.ndarray:
+        if i in self.kept:
+            return self.kept[i]
+        begin = i - i % self.height
+        if begin != self.begin:
+            end = min(begin + self.height, len(self.a))
+            rows = [self.kept[end]]
+            for k in range(end - 1, begin, -1):
+                rows.append(self._above(rows[-1], k))
+            self.begin, self.rows = begin, rows[::-1]       # rows begin + 1 to end
+        return self.rows[i - begin - 1]
+
+    def without_first(self, i: int, j: int) -> bool:
+        """Whether nothing is lost when item i of ``a``, rather than item j of ``b``, is passed over."""
+        return bool(self._row(i + 1)[j] >= self._row(i)[j + 1])
+
+
 def align(wrapper: list, other: list) -> list:
     """The least expression found that covers both: mismatches become optional, groups are merged."""
     if wrapper == other:
@@ -254,11 +300,7 @@ def align(wrapper: list, other: list) -> list:
     if wrapper == other:
         return wrapper
     a, b = [_key(x) for x in wrapper], [_key(x) for x in other]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(len(b) - 1, -1, -1):
-            row[j] = max(below[j], row[j + 1], below[j + 1] + 1 if a[i] == b[j] else 0)
+    best = _Common(a, b)
     out: list = []
     i = j = 0
 
@@ -271,8 +313,8 @@ def align(wrapper: list, other: list) -> list:
 
     while i < len(a) or j < len(b):
         run_a, run_b = i, j
-        while i < len(a) and j < len(b) and not (a[i] == b[j] and best[i][j] == best[i + 1][j + 1] + 1):
-            if best[i + 1][j] >= best[i][j + 1]:
+        while i < len(a) and j < len(b) and a[i] != b[j]:
+            if best.without_first(i, j):
                 i += 1
             else:
                 j += 1
@@ -578,7 +620,7 @@ def _covers(page: list[Step], way: dict, known: dict | None) -> bool:
 
 def text_of(page: str | list[Step], way: dict, known: dict | None = None) -> str:
     """Main text of a page by its host's plan, or by its own expression where the plan does not know the article
-    or the host's wrapper does not cover the page (``known`` keeps which expressions it does).
+    or a bounded wrapper does not cover the page (``known`` keeps which expressions it does).
 
     An article element that is all links or all constant on this page keeps them.
     """
@@ -615,14 +657,17 @@ def host_of(url: str):
 
 
 def infer(pages: DataFrame, salts: int = 64) -> DataFrame:
-    """One row per host of ``pages(host, html)``: (host, way), the JSON of its wrapper's plan."""
+    """One row per host of ``pages(host, html)``: (host, way), the JSON of its wrapper's plan.
+
+    Wrappers are not bounded, so all pages of a host are read by it, however many there are and however they differ.
+    """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrappers: dict[str, tuple[Wrapper, set]] = {}
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if page:
-                    wrapper, known = wrappers.setdefault(host, (Wrapper(), set()))
+                    wrapper, known = wrappers.setdefault(host, (Wrapper(bounded=False), set()))
                     wrapper.add(page, known)
             if len(wrappers) > 10_000:
                 yield _emit({h: w for h, (w, _) in wrappers.items()})
@@ -630,14 +675,14 @@ def infer(pages: DataFrame, salts: int = 64) -> DataFrame:
         yield _emit({h: w for h, (w, _) in wrappers.items()})
 
     def merged(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        whole = Wrapper()
+        whole = Wrapper(bounded=False)
         for state in sorted(frame["state"]):
-            whole.merge(Wrapper(json.loads(state)))
+            whole.merge(Wrapper(json.loads(state), bounded=False))
         return pd.DataFrame({"host": [key[0]], "state": [json.dumps(whole.state())]})
 
     def planned(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         state = merged(key, frame)["state"][0]
-        return pd.DataFrame({"host": [key[0]], "way": [json.dumps(plan(Wrapper(json.loads(state))))]})
+        return pd.DataFrame({"host": [key[0]], "way": [json.dumps(plan(Wrapper(json.loads(state), bounded=False)))]})
 
     partial = pages.select("host", "html").mapInArrow(local, "host string, state string")
     some = partial.withColumn("salt", F.pmod(F.xxhash64("state"), F.lit(salts))).groupBy("host", "salt").applyInPandas(

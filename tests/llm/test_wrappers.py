@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 from cumulus.llm import wrappers
@@ -165,3 +166,30 @@ def test_class_words_around_an_article_do_not_empty_the_page(spark):
     out = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert out.pop(100) == ""
     assert out == {i: f"Head {i % 10}\n\nText {i % 10} of some length" for i in out}
+
+
+def test_hosts_of_any_size_are_read_by_their_wrapper(spark):
+    letters = "abcdefghij"
+
+    def page(k, n):
+        links = "".join(f"<li class=x{letters[i % 10]}{letters[i // 10 % 10]}{letters[i // 100]}><a href=/{i}>Link {k}</a></li>" for i in range(n))
+        slots = "".join(f"<div class=s{letters[k % 10]}{letters[i % 10]}{letters[i // 10 % 10]}{letters[i // 100]}><p>w</p></div>" for i in range(n // 2))
+        return (f"<body><article><h1>Head {k}</h1><p>Text {k} of some length</p><ul class=more>{links}</ul>{slots}"
+                f"<div class=follow>Follow us</div></article></body>")
+
+    # Nine pages with 4500 slots of their own, and an expression of over 800 items: a bounded wrapper would know none of them.
+    rows = [(k, f"http://large.example/{k}", page(k, 999 if k < 9 else 0)) for k in range(14)]
+    assert max(len(wrappers.expression(p)) for _, _, p in rows) > 2 * wrappers.ITEMS
+    out = {r.page_id: r.text.split("\n\n") for r in wrappers.main_text(
+        spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for k in range(14):
+        assert out[k][:2] == [f"Head {k}", f"Text {k} of some length"] and "Follow us" not in out[k]
+
+
+def test_alignment_of_long_expressions_in_blocks(monkeypatch):
+    draw = random.Random(3)
+    pairs = [([draw.choice("abcdefgh") for _ in range(draw.randrange(40))], [draw.choice("abcdefgh") for _ in range(draw.randrange(40))])
+             for _ in range(200)]
+    whole = [wrappers.align(wrappers.fold(a), wrappers.fold(b)) for a, b in pairs]
+    monkeypatch.setattr(wrappers, "CELLS", 1)
+    assert [wrappers.align(wrappers.fold(a), wrappers.fold(b)) for a, b in pairs] == whole
