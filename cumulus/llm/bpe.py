@@ -38,7 +38,7 @@ PART_BYTES = 1 << 20        # bytes of text scanned at once
 BATCH_ROWS = 256            # texts encoded before their rows go back to Spark
 CACHE_SLICES = 400_000      # slices kept by a worker before the cache starts anew
 WIDE = 32                   # bytes of the longest slice merged in the vectorised rounds
-NO_RANK = np.int64(1 << 40)
+NO_RANK = np.int32(1 << 30)
 
 
 def _step(state: int, symbol: int) -> tuple[int, bool]:
@@ -98,9 +98,10 @@ _CLASSES: list[np.ndarray] = []
 def code_point_classes() -> np.ndarray:
     """Class of every code point: letter, number, other, or white space."""
     if not _CLASSES:
-        kinds = {"L": LETTER, "N": NUMBER}
-        table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)),
-                            dtype=np.uint8, count=0x110000)
+        names = "".join(map(unicodedata.category, map(chr, range(0x110000)))).encode()
+        major = np.frombuffer(names, dtype=np.uint8)[::2]
+        table = np.full(0x110000, OTHER, dtype=np.uint8)
+        table[major == ord("L")], table[major == ord("N")] = LETTER, NUMBER
         table[WHITE_SPACE] = SPACE
         _CLASSES.append(table)
     return _CLASSES[0]
@@ -166,7 +167,7 @@ class Encoder:
         self.ranks = ranks
         self.specials = {k.encode(): v for k, v in (specials or {}).items()}
         self.vocabulary = {v: k for k, v in ranks.items()} | {v: k for k, v in self.specials.items()}
-        self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         keys = []
         for piece, rank in ranks.items():
             for cut in range(1, len(piece)):
@@ -174,9 +175,10 @@ class Encoder:
                 if a is not None and b is not None:
                     keys.append((a << 20 | b, rank))
         keys.sort()
-        self.pair_keys = np.array([k for k, _ in keys] + [1 << 62], dtype=np.int64)
-        self.pair_ranks = np.array([r for _, r in keys] + [NO_RANK], dtype=np.int64)
         self.pairs = dict(keys)
+        self._fill_slots(np.array([k for k, _ in keys], dtype=np.int64), np.array([r for _, r in keys], dtype=np.int32))
+        byte = self.single.astype(np.int64)
+        self.byte_pairs = self._rank(np.repeat(byte, 256), np.tile(byte, 256))
         self.cache: dict[bytes, bytes] = {}
 
     @classmethod
@@ -186,22 +188,50 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         return cls(ranks, specials)
 
+    def _fill_slots(self, keys: np.ndarray, ranks: np.ndarray) -> None:
+        """An open-addressed table of the pairs, a quarter full or less."""
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.slot_keys = np.full(1 << bits, -1, dtype=np.int64)
+        self.slot_ranks = np.full(1 << bits, NO_RANK, dtype=np.int32)
+        at, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.slot_keys[at[todo]] < 0]
+            free = free[np.unique(at[free], return_index=True)[1]]
+            self.slot_keys[at[free]], self.slot_ranks[at[free]] = keys[free], ranks[free]
+            todo = todo[self.slot_keys[at[todo]] != keys[todo]]
+            at[todo] = (at[todo] + 1) & self.last
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = np.where((left < 0) | (right < 0), -1, left << 20 | right)
-        at = np.searchsorted(self.pair_keys, key)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NO_RANK)
+        """Rank of the token that each pair merges to; an id below 0 is part of no pair."""
+        key = left.astype(np.int64) << 20 | right
+        at = self._slot(key)
+        seen = self.slot_keys[at]
+        out = self.slot_ranks[at]
+        todo = np.flatnonzero((seen != key) & (seen >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & self.last
+            seen = self.slot_keys[at[todo]]
+            out[todo] = self.slot_ranks[at[todo]]
+            todo = todo[(seen != key[todo]) & (seen >= 0)]
+        out[key < 0] = NO_RANK
+        return out
 
     def merge_together(self, slices: list[bytes]) -> list[bytes]:
         """Ids of many short slices, as packed unsigned 32-bit integers: in every round each
         slice merges its first pair of lowest rank, until no slice has a pair left."""
         sizes = np.array([len(s) for s in slices])
         width = int(sizes.max()) + 1
-        raw = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in slices), dtype=np.uint8)
-        ids = self.single[raw.reshape(len(slices), width)]
-        columns = np.arange(width)
+        raw = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in slices), dtype=np.uint8).reshape(len(slices), width)
+        ids = self.single[raw]
+        columns = np.arange(width, dtype=np.int32)
         ids[columns[None, :] >= sizes[:, None]] = -1
         ranks = np.full_like(ids, NO_RANK)
-        ranks[:, :-1] = self._rank(ids[:, :-1], ids[:, 1:])
+        ranks[:, :-1] = self.byte_pairs[raw[:, :-1].astype(np.uint16) << 8 | raw[:, 1:]]
+        ranks[columns[None, :] + 1 >= sizes[:, None]] = NO_RANK
         done = np.array(ids)
         live = np.arange(len(slices))
         while True:
@@ -215,17 +245,15 @@ class Encoder:
                 if not len(live):
                     break
                 rows = np.arange(len(best))
-            shift = columns[None, :] + (columns[None, :] > best[:, None])
-            shift[:, -1] = width - 1
-            ids = np.take_along_axis(ids, shift, axis=1)
-            ranks = np.take_along_axis(ranks, shift, axis=1)
-            ids[:, -1] = -1
-            ranks[:, -1] = NO_RANK
+            after = columns[None, :-1] > best[:, None]
+            ids[:, :-1] = np.where(after, ids[:, 1:], ids[:, :-1])
+            ranks[:, :-1] = np.where(after, ranks[:, 1:], ranks[:, :-1])
             ids[rows, best] = value
-            ranks[rows, best] = self._rank(value, ids[rows, np.minimum(best + 1, width - 1)])
+            # The last column of a slice is always free.
+            ranks[rows, best] = self._rank(value, ids[rows, best + 1])
             left = best > 0
             where, at = rows[left], best[left] - 1
-            ranks[where, at] = self._rank(ids[where, at], ids[where, at + 1])
+            ranks[where, at] = self._rank(ids[where, at], value[left])
         counts = (done >= 0).sum(axis=1).tolist()
         packed = done.astype("<u4")
         return [packed[i, :n].tobytes() for i, n in enumerate(counts)]
@@ -337,11 +365,15 @@ class Encoder:
         own = np.searchsorted(starts, text_starts).tolist() + [len(starts)]
         if offsets is not None:
             starts = offsets[starts]
-        cuts = starts.tolist()
-        cuts.append(len(buffer))
-        ids = self.encode_slices([buffer[a:b] for a, b in zip(cuts, cuts[1:])])
+        slices, which = _distinct_slices(buffer, starts, np.append(starts[1:], len(buffer)))
+        found = self.encode_slices(slices)
+        counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        firsts = np.cumsum(counts) - counts
+        ends = np.concatenate([[0], np.cumsum(counts[which])])
+        ids = np.frombuffer(b"".join(found), dtype="<u4")[
+            np.repeat(firsts[which] - ends[:-1], counts[which]) + np.arange(ends[-1])]
         for i, (k, _) in enumerate(parts):
-            out[k].append(b"".join(ids[own[i]:own[i + 1]]))
+            out[k].append(ids[ends[own[i]]:ends[own[i + 1]]].tobytes())
 
     def tables(self) -> tuple[list[bytes], np.ndarray]:
         """Bytes of every id (None where an id is free) and their lengths, for decoding."""
@@ -350,6 +382,29 @@ class Encoder:
         return words, np.array([len(w or b"") for w in words], dtype=np.int64)
 
 
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+
+
+def _distinct_slices(buffer: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Slices of the buffer, and which of them each pair of ``begin`` and ``end`` cuts out.
+
+    Slices of up to eight bytes are told apart as numbers and named once; longer
+    ones, and all of a buffer with zero bytes, stand each for itself.
+    """
+    sizes = end - begin
+    short = np.flatnonzero(sizes <= 8) if b"\0" not in buffer else np.zeros(0, dtype=np.int64)
+    eight = np.ndarray(len(buffer), dtype="<u8", buffer=buffer + bytes(8), strides=(1,))
+    numbers, place = np.unique(eight[begin[short]] & _FIRST_BYTES[sizes[short]], return_inverse=True)
+    which = np.empty(len(begin), dtype=np.int64)
+    which[short] = place
+    long = np.ones(len(begin), dtype=bool)
+    long[short] = False
+    long = np.flatnonzero(long)
+    which[long] = len(numbers) + np.arange(len(long))
+    slices = numbers.astype("<u8").view("S8").tolist()
+    return slices + [buffer[a:b] for a, b in zip(begin[long].tolist(), end[long].tolist())], which
+
+
 def _parts(text: bytes) -> Iterator[bytes]:
     """A very long text, cut before spaces that surely start a pre-token."""
     while len(text) > 2 * PART_BYTES:

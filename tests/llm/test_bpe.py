@@ -93,3 +93,25 @@ def test_query_digests(spark, other):
         r = got[d.doc_id]
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (
             len(want) // 4, hashlib.sha256(want).hexdigest(), hashlib.sha256((d.text or "").encode()).hexdigest())
+
+
+def test_slices_are_named_once_and_zero_bytes_are_kept():
+    for buffer in (b"aa bb aa twelve byteslong twelve byteslong \xc3\xa9\xc3\xa9", b"a\0 a a\0\0 a", b"x"):
+        begin = np.array([0, *(i for i in range(1, len(buffer)) if buffer[i:i + 1] == b" ")])
+        end = np.append(begin[1:], len(buffer))
+        slices, which = bpe._distinct_slices(buffer, begin, end)
+        assert [slices[k] for k in which] == [buffer[a:b] for a, b in zip(begin, end)]
+        short = [s for s in slices if len(s) <= 8]
+        assert b"\0" in buffer or len(set(short)) == len(short)
+
+
+def test_pairs_of_the_table_and_merges_against_the_heap():
+    draw = random.Random(5)
+    own = bpe.Encoder.from_file(RANKS)
+    keys = np.array(list(own.pairs), dtype=np.int64)
+    assert (own._rank(keys >> 20, keys & 0xFFFFF) == np.array(list(own.pairs.values()))).all()
+    none = np.array([-1, 3, -1, 50_256])
+    assert (own._rank(none, np.array([3, -1, -1, 50_256])) == bpe.NO_RANK).all()
+    slices = [bytes(draw.choice(b" etaoinshrdlu\xc3\xa9\0" if draw.random() < 0.9 else range(256)) for _ in range(draw.randint(1, 32)))
+              for _ in range(3000)]
+    assert own.merge_together(slices) == [own.merge_long(s) for s in slices]
