@@ -24,7 +24,7 @@ from cumulus.operators.clustering import FEATURES, cluster_tiers, risk_clusters,
 from cumulus.operators.stages import group_day
 from cumulus.plans.batch import snapshot_batch
 from cumulus.plans.sql import register_marts, register_views
-from cumulus.plans.stage import new_path, stage_group_days, stage_table
+from cumulus.plans.stage import new_path, small_tasks, stage_group_days, stage_table
 from cumulus.sources.dimensions import nation_coords, reference_coords
 from cumulus.sources.fixtures import FIXTURE_TABLES, FIXTURES
 from cumulus.sources.observations import read_obs, read_rejects
@@ -217,14 +217,19 @@ def _source_state(spark: SparkSession, sf_dir: str, fixture: str) -> tuple:
     return tuple(sorted(found))
 
 
+def _source_bytes(state: tuple) -> int:
+    return sum(length for _, length, _ in state)
+
+
 def staged_group_day(spark: SparkSession, sf_dir: str, fixture: str, reuse: bool = True) -> DataFrame:
     """The fixture's group-day table with its increments, written once per application and read back
     (again when the source files have changed)."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), fixture)
-    state = _source_state(spark, sf_dir, fixture) if reuse else ()
+    state = _source_state(spark, sf_dir, fixture)
     if reuse and key in _STAGES and _STAGES[key][0] == state:
         return _STAGES[key][1]
-    sd = stage_group_days(spark, sd=group_day_of(spark, sf_dir, fixture))
+    with small_tasks(spark, _source_bytes(state)):
+        sd = stage_group_days(spark, sd=group_day_of(spark, sf_dir, fixture))
     if reuse:
         _STAGES[key] = (state, sd)
     return sd
@@ -235,7 +240,8 @@ def staged_carried(spark: SparkSession, sf_dir: str, fixture: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), f"{fixture}_steps")
     state = _source_state(spark, sf_dir, fixture)
     if key not in _STAGES or _STAGES[key][0] != state:
-        _STAGES[key] = (state, stage_table(spark, unit_steps(FIXTURES[fixture](spark, sf_dir))))
+        with small_tasks(spark, _source_bytes(state)):
+            _STAGES[key] = (state, stage_table(spark, unit_steps(FIXTURES[fixture](spark, sf_dir))))
     return carried_totals(_STAGES[key][1])
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +41,34 @@ def _drop_at_exit() -> None:
         drop_stages(spark)
 
 
+#: Bytes of source files that a task reads, and of shuffled rows that it takes, while a stage is written.
+TASK_BYTES = 8 << 20
+
+
+@contextmanager
+def small_tasks(spark: SparkSession, source_bytes: int) -> Iterator[None]:
+    """Plans that run within deal their rows to as many tasks as the size of their source files asks for.
+
+    A task then sorts and sums a fixed number of rows at most, however large the
+    tables are.  Otherwise it is cores that bound the number of tasks first, and a
+    task's memory grows with the tables.  The session's own smaller sizes hold.
+    """
+    conf = spark.conf
+    smaller = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    partitions = max(int(conf.get("spark.sql.shuffle.partitions")), -(-source_bytes // TASK_BYTES))
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    kept = {k: conf.get(k) for k in smaller} | {first: conf.get(first, None)}
+    try:
+        for k in smaller:
+            size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(kept[k])
+            conf.set(k, str(min(size, TASK_BYTES)))
+        conf.set(first, str(partitions))
+        yield
+    finally:
+        for k, v in kept.items():
+            conf.unset(k) if v is None else conf.set(k, v)
+
+
 def stage_table(spark: SparkSession, df: DataFrame, label: str = "stage",
                 bucket_by: str | None = None, buckets: int | None = None,
                 partitioned: bool = False) -> DataFrame:
