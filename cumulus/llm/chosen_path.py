@@ -10,9 +10,10 @@ useful depth needs no data of others; then nodes are counted.  Documents of smal
 nodes are compared exhaustively (by 128-bit sketches, which lose a pair at the
 threshold with a chance of about 1e-6); in large nodes everyone is compared with
 the node's smallest id, and nodes that still hold several components branch on.
-Of nodes that hold the same documents only one is compared.  The documents of
-nodes that stay large to the last depth are cut into blocks; blocks that share a
-node are compared once, in a task that holds their sets and returns only links.
+Of nodes that hold the same documents only one is compared.  Branching ends at
+the last depth, or when the largest node is a few blocks: the documents of nodes
+that are large by then are cut into blocks; blocks that share a node are compared
+once, in a task that holds their sets and returns only links.
 Every pair that passes is confirmed on the full sets.  Pairs whose documents are
 connected already need no confirmation: the result is the components.
 """
@@ -35,7 +36,8 @@ from cumulus.llm.staging import connected_components, dropped, staged
 COORDINATES = 128        # minwise tokens of a signature; each also gives one bit of the sketch
 DEPTHS = (3, 5, 8)       # branchings after which nodes are counted; those large to the last are compared in blocks
 SMALL_NODE = 32          # documents that a node may hold to be compared exhaustively
-BLOCK = 512              # documents of a block of such nodes
+BLOCK = 512              # documents of a block of large nodes
+BLOCKS = 8               # blocks of the largest node, at most, for branching to end before the last depth
 FILTER_BITS = 23         # two to this power: bits of the filter of ids whose texts are needed
 RECALL = 1 - 1e-7        # chance to find a pair exactly at the threshold
 PART_BYTES = 1 << 20
@@ -391,23 +393,25 @@ def components(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
         pairs = _in_small_nodes(held.where(f"c <= {SMALL_NODE}"), similarity).unionByName(stars).distinct()
         found += _link(staged(pairs, "candidates"), base, percent, words)
         labels = _components_of(found)
-        # The documents of large nodes branch on, under the labels that they have by now.
         large = held.where(f"c > {SMALL_NODE}")
+        biggest = held.agg(F.max("c")).first()[0] or 0
+        if biggest <= SMALL_NODE:
+            break
+        if depth == DEPTHS[-1] or biggest <= BLOCKS * BLOCK:
+            blocks, pairs = _block_pairs(large)
+            blocks, pairs = staged(blocks, "blocks"), staged(pairs, "block_pairs")
+            sets = _staged_sets(base, blocks.select("id"), words)
+            rows = blocks.join(sketches, "id").join(labels, "id", "left").withColumn(
+                "component", F.coalesce("component_id", "id")).drop("component_id").join(sets, "id")
+            found.append(staged(_links_in_blocks(rows, pairs, similarity), "links"))
+            dropped(sets, blocks, pairs, held)
+            labels = _components_of(found)
+            break
+        # The documents of large nodes branch on, under the labels that they have by now.
         active = reps.join(large.select("id").distinct(), "id", "left_semi").select("id", "sig")
         active = staged(active.join(labels, "id", "left").select(
             "id", F.coalesce("component_id", "id").alias("component"), "sig"), "active")
         done = [held, active]
-        if active.isEmpty():
-            break
-    else:
-        blocks, pairs = _block_pairs(large)
-        blocks, pairs = staged(blocks, "blocks"), staged(pairs, "block_pairs")
-        sets = _staged_sets(base, blocks.select("id"), words)
-        rows = blocks.join(sketches, "id").join(labels, "id", "left").withColumn(
-            "component", F.coalesce("component_id", "id")).drop("component_id").join(sets, "id")
-        found.append(staged(_links_in_blocks(rows, pairs, similarity), "links"))
-        dropped(sets, blocks, pairs, *done)
-        labels = _components_of(found)
     return _result(every, members, labels, id_col)
 
 
