@@ -194,3 +194,27 @@ def test_given_labels_and_too_few_findings(spark, corpus):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.scan(docs).collect() == []
+
+
+def test_learning_takes_every_candidate(spark, monkeypatch):
+    draw = np.random.default_rng(2)
+    n = 5000
+    found = np.arange(n) % 10 == 0
+    windows = [bytes(draw.integers(1, 96, S.WINDOW, dtype=np.uint8)) for _ in range(n)]
+    rows = [(k, 0, k % 3, bool(k % 2), windows[k], bool(found[k])) for k in range(n)]
+    frame = spark.createDataFrame(rows, "id long, start int, shape int, digit boolean, windows binary, found boolean")
+    kept, real = [], S._limits
+    monkeypatch.setattr(S, "ROWS", 1000)
+    monkeypatch.setattr(S, "_limits", lambda scored, *at: kept.append(scored.collect()) or real(scored, *at))
+    judge = S.learn(frame, 0.9)
+    slots = kept[0]
+    assert len(slots) == 5 and sum(r.n for r in slots) == n
+    assert sorted(r.codes[k:k + S.WINDOW] for r in slots for k in range(0, len(r.codes), S.WINDOW)) == sorted(windows)
+    logits, kinds, shapes = (np.concatenate([np.frombuffer(r[c], t) for r in slots]) for c, t in (
+        ("own", np.float32), ("kinds", np.uint8), ("shapes", np.uint8)))
+    logits = np.concatenate([logits, *(np.frombuffer(r.moved, np.float32) for r in slots)])
+    labels, shapes = np.concatenate([kinds == 0] * 2).astype(float), np.concatenate([shapes] * 2)
+    assert labels.sum() == 2 * found.sum()
+    slope, shift = S.calibration(logits, labels)
+    assert (judge.slope, judge.shift) == pytest.approx((slope, shift), rel=1e-6, abs=1e-6)
+    assert judge.limits == S.thresholds(S.probability(logits, judge.slope, judge.shift), labels, shapes, 0.9)
