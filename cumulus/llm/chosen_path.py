@@ -228,7 +228,9 @@ def _needed_texts(base: DataFrame, ids: DataFrame) -> tuple[DataFrame, Broadcast
     """The rows of ``base`` with one of the ids, and the broadcast that they need.
 
     A bit filter of a fixed size (one bit per residue of the id) goes to every task
-    first, so that few texts are shuffled that the join then drops.
+    first, so that few texts are shuffled that the join then drops.  The join is never
+    a broadcast: the sets are made in a later stage, as a task that runs two Python functions
+    has two workers, all of which are kept for later queries and take turns in their tasks.
     """
     bits = 1 << FILTER_BITS
     place = F.expr(f"cast((id ^ shiftright(id, {FILTER_BITS})) & {bits - 1} AS int)")
@@ -245,7 +247,7 @@ def _needed_texts(base: DataFrame, ids: DataFrame) -> tuple[DataFrame, Broadcast
             at = batch.column(0).to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(held[(at ^ (at >> FILTER_BITS)) & (bits - 1)]))
 
-    return base.where("id IS NOT NULL").mapInArrow(run, base.schema).join(ids, "id", "left_semi"), shared
+    return base.where("id IS NOT NULL").mapInArrow(run, base.schema).join(ids.hint("merge"), "id", "left_semi"), shared
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

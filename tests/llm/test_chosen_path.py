@@ -98,3 +98,15 @@ def test_components_of_chains_and_hubs(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (200, 201)]
     out = {r.id: r.component_id for r in connected_components(spark.createDataFrame(links, "src long, dst long")).collect()}
     assert out == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 200: 200, 201: 200}
+
+
+def test_no_task_runs_two_python_functions(spark):
+    base = spark.createDataFrame([(1, "a b c"), (2, "d e"), (3, "f"), (None, "g")], "id long, text string")
+    texts, mask = chosen_path._needed_texts(base, spark.range(1, 4, 2))  # small enough for a broadcast
+    sets = chosen_path._sets(texts, 2)
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    steps = [s for s in re.findall(r"MapInArrow|BroadcastExchange|Exchange", plan) if s != "BroadcastExchange"]
+    first, last = (f(k for k, s in enumerate(steps) if s == "MapInArrow") for f in (min, max))
+    assert first < last and "Exchange" in steps[first:last] and "Broadcast" not in plan
+    assert sorted((r.id, len(r.members) // 8) for r in sets.collect()) == [(1, 2), (3, 1)]
+    mask.destroy()
