@@ -26,6 +26,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,13 +36,16 @@ from cumulus.llm.staging import dropped, staged
 BASE = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                           re.ASCII | re.IGNORECASE), 2, 6),
-    ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
-    ("hex", re.compile(r"[0-9a-f]+"), 0, 24),
+    # Their least lengths stand in the patterns: what a failing match would take holds no other match.
+    ("access", re.compile(r"AKIA[A-Z0-9]{16,}"), 0, 20),
+    ("hex", re.compile(r"[0-9a-f]{24,}"), 0, 24),
 ]
+NAMES = ["password", "passwd", "secret", "token", "apikey", "api_key"]  # one of them is in every text with an assignment
 KINDS = [k for k, *_ in BASE]
 ADDED = "network"                # kind of the spans that the network adds
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.-]{12,}={0,2}")
+DIGIT = re.compile(r"[0-9]")
 BEFORE, PIECE, AFTER = 24, 40, 8  # characters of a window
 WINDOW = BEFORE + PIECE + AFTER
 CODES = 98                        # 0 outside, 1-95 printable ASCII, 96 other, 97 line ends and tabs
@@ -51,6 +55,7 @@ ROWS = 20_000      # candidates of a learner, about
 BATCH = (12, 12, 40)  # labelled findings, others with digits and others without in a step
 STEPS = 600        # steps of a learner at least, over its candidates as often as that takes
 ROUNDS = 3         # after which the learners' weights are averaged
+JUDGED = 10_000    # candidates whose windows are joined at once
 LEAST = 20         # findings below which nothing is learnt
 FOLDS = 3
 WIDTH, CHANNELS, FILTERS = 5, 8, 24
@@ -58,6 +63,7 @@ WIDTH, CHANNELS, FILTERS = 5, 8, 24
 _CODE = np.full(256, 96, dtype=np.uint8)
 _CODE[32:127] = np.arange(1, 96)
 _CODE[[9, 10, 13]] = 97
+_CODE_TABLE = _CODE.tobytes()
 
 
 class Span(NamedTuple):
@@ -68,7 +74,9 @@ class Span(NamedTuple):
 
 def base_spans(text: str) -> list[Span]:
     """The matches of the patterns that are long enough, by start, then kind as listed."""
-    found = [Span(kind, *m.span()) for kind, pattern, group, least in BASE
+    low = text.lower()
+    named = any(name in low for name in NAMES)
+    found = [Span(kind, *m.span()) for kind, pattern, group, least in BASE if named or kind != "assign"
              for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
     return sorted(found, key=lambda s: (s.start, KINDS.index(s.kind)))
 
@@ -77,45 +85,50 @@ def shape_of(run: str) -> int:
     return next((k for k, p in enumerate(SHAPES) if p.fullmatch(run)), len(SHAPES))
 
 
-def _codes(text: str, width: int, left: bool) -> bytes:
-    codes = _CODE[np.frombuffer(text.encode("latin-1", "replace"), dtype=np.uint8)].tobytes()
-    return codes.rjust(width, b"\0") if left else codes.ljust(width, b"\0")
-
-
 def windows_of(text: str) -> Iterator[tuple[int, int, int, bool, bytes]]:
     """(start, end, shape, holds a digit, windows of its pieces) of every candidate."""
+    codes = None
     for m in CANDIDATE.finditer(text):
+        if codes is None:
+            codes = text.encode("latin-1", "replace").translate(_CODE_TABLE)
         start, end = m.span()
         pieces = []
         for s in range(start, end, PIECE):
             e = min(s + PIECE, end)
-            pieces.append(_codes(text[max(0, s - BEFORE):s], BEFORE, True) + _codes(text[s:e], PIECE, False)
-                          + _codes(text[e:e + AFTER], AFTER, False))
-        yield start, end, shape_of(m.group()), any(c.isdigit() for c in m.group()), b"".join(pieces)
+            pieces += [codes[max(0, s - BEFORE):s].rjust(BEFORE, b"\0"), codes[s:e].ljust(PIECE, b"\0"),
+                       codes[e:e + AFTER].ljust(AFTER, b"\0")]
+        yield start, end, shape_of(m.group()), DIGIT.search(text, start, end) is not None, b"".join(pieces)
 
 
 SPANS = "array<struct<kind: string, start: int, end: int>>"
 CANDIDATES = "array<struct<start: int, end: int, shape: int, digit: boolean, windows: binary>>"
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+_JUDGED = pa.list_(pa.struct([*_SPAN.value_type, pa.field("probability", pa.float64())]))
 _CANDIDATE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("shape", pa.int32()),
                                  ("digit", pa.bool_()), ("windows", pa.binary())]))
 
 
+def _lists(rows: list[list[tuple]], kind: pa.ListType) -> pa.ListArray:
+    """Lists of structs from lists of tuples."""
+    of = kind.value_type
+    flat = list(zip(*(x for row in rows for x in row))) or [()] * of.num_fields
+    return pa.ListArray.from_arrays(
+        pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()),
+        pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(flat, of)], fields=list(of)), type=kind)
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        base, candidates = [], []
-        for text in batch.column("text"):
-            text = text.as_py() or ""
-            base.append([s._asdict() for s in base_spans(text)])
-            candidates.append([dict(zip(("start", "end", "shape", "digit", "windows"), w)) for w in windows_of(text)])
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(base, _SPAN), pa.array(candidates, _CANDIDATE)],
-                                         names=["id", "base", "candidates"])
+        texts = [text or "" for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), _lists([base_spans(t) for t in texts], _SPAN),
+             _lists([list(windows_of(t)) for t in texts], _CANDIDATE)], names=["id", "base", "candidates"])
 
 
 # ---- the network -------------------------------------------------------------------------
 
-INSIDE = np.zeros((WINDOW, 1), dtype=np.float32)
-INSIDE[BEFORE:BEFORE + PIECE] = 1
+INSIDE = np.zeros(WINDOW, dtype=np.uint8)  # characters of the piece have codes of their own
+INSIDE[BEFORE:BEFORE + PIECE] = CODES
 
 
 class Network:
@@ -129,40 +142,56 @@ class Network:
             np.zeros(FILTERS), draw.normal(size=2 * FILTERS) * 0.2, np.zeros(1)]
         self.weights = [w.astype(np.float32) for w in self.weights]
 
-    def _forward(self, codes: np.ndarray):
-        table, kernel, bias, out, shift = self.weights
-        x = np.concatenate([table[codes], np.broadcast_to(INSIDE, (*codes.shape, 1))], axis=2)
-        seen = np.lib.stride_tricks.sliding_window_view(x, WIDTH, axis=1)
-        seen = seen.reshape(len(codes), -1, (CHANNELS + 1) * WIDTH)
-        answers = np.maximum(seen @ kernel + bias, 0)
-        top = answers.argmax(axis=1)
-        pooled = np.concatenate([np.take_along_axis(answers, top[:, None], axis=1)[:, 0], answers.mean(axis=1)], axis=1)
-        return pooled @ out + shift[0], (codes, seen, answers, top, pooled)
-
-    def scores(self, codes: np.ndarray, at_once: int = 512) -> np.ndarray:
+    def _answers(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The characters that each filter sees, channel by channel, a row for each place; its answers."""
+        table, kernel, bias, _, _ = self.weights
+        both = np.ones((2, CODES, CHANNELS + 1), dtype=table.dtype)
+        both[:, :, :CHANNELS] = table
+        both[0, :, CHANNELS] = 0
+        x = both.reshape(2 * CODES, CHANNELS + 1).take(codes + INSIDE, axis=0)
+        places = WINDOW - WIDTH + 1
+        seen = np.empty((len(codes), places, CHANNELS + 1, WIDTH), dtype=table.dtype)
+        for k in range(WIDTH):
+            seen[..., k] = x[:, k:k + places]
+        seen = seen.reshape(-1, (CHANNELS + 1) * WIDTH)
+        answers = seen @ kernel
+        answers += bias
+        return seen, np.maximum(answers, 0, out=answers).reshape(len(codes), places, FILTERS)
+
+    def _logits(self, top: np.ndarray, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mean = np.full(answers.shape[1], 1 / answers.shape[1], dtype=answers.dtype) @ answers
+        pooled = np.concatenate([top, mean], axis=1)
+        return pooled, pooled @ self.weights[3] + self.weights[4][0]
+
+    def scores(self, codes: np.ndarray, at_once: int = 64) -> np.ndarray:
         """Logits of the windows."""
-        parts = [self._forward(codes[k:k + at_once])[0] for k in range(0, len(codes), at_once)]
+        parts = []
+        for k in range(0, len(codes), at_once):
+            _, answers = self._answers(codes[k:k + at_once])
+            parts.append(self._logits(answers.max(axis=1), answers)[1])
         return np.concatenate(parts) if parts else np.zeros(0, dtype=np.float32)
 
     def gradients(self, codes: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
         """Of the mean logistic loss, by every weight."""
-        table, kernel, bias, out, shift = self.weights
-        logits, (codes, seen, answers, top, pooled) = self._forward(codes)
+        kernel, out = self.weights[1], self.weights[3]
+        seen, answers = self._answers(codes)
+        places = answers.shape[1]
+        top = answers.argmax(axis=1)
+        rows, filters = np.arange(len(codes))[:, None], np.arange(FILTERS)
+        most = answers[rows, top, filters]
+        pooled, logits = self._logits(most, answers)
         error = ((1 / (1 + np.exp(-logits)) - labels) / len(labels)).astype(np.float32)
         spread = error[:, None] * out[None, :]
-        back = np.repeat(spread[:, None, FILTERS:] / answers.shape[1], answers.shape[1], axis=1)
-        rows, filters = np.indices(top.shape)
-        back[rows, top, filters] += spread[:, :FILTERS]
-        back *= answers > 0
+        back = (answers > 0) * (spread[:, None, FILTERS:] / places)
+        back[rows, top, filters] += spread[:, :FILTERS] * (most > 0)
         flat = back.reshape(-1, FILTERS)
-        moved = (back @ kernel.T).reshape(len(codes), -1, CHANNELS + 1, WIDTH)[:, :, :CHANNELS]
-        steps = moved.shape[1]
-        deep = np.zeros((*codes.shape, CHANNELS), dtype=np.float32)
-        for k in range(WIDTH):
-            deep[:, k:k + steps] += moved[..., k]
-        of_table = np.stack([np.bincount(codes.ravel(), deep[..., c].ravel(), CODES) for c in range(CHANNELS)], axis=1)
-        return [of_table, seen.reshape(-1, seen.shape[2]).T @ flat, flat.sum(axis=0), pooled.T @ error,
-                np.array([error.sum()])]
+        deep = np.zeros((CHANNELS, *codes.shape), dtype=np.float32)
+        by_place = kernel.reshape(CHANNELS + 1, WIDTH, FILTERS)[:CHANNELS].transpose(1, 0, 2).reshape(-1, FILTERS)
+        for k, moved in enumerate((by_place @ flat.T).reshape(WIDTH, CHANNELS, -1, places)):
+            deep[:, :, k:k + places] += moved
+        at = codes.ravel()
+        of_table = np.stack([np.bincount(at, d.ravel(), CODES) for d in deep], axis=1)
+        return [of_table, seen.T @ flat, np.ones(len(flat), flat.dtype) @ flat, pooled.T @ error, np.array([error.sum()])]
 
 
 def train(net: Network, codes: np.ndarray, kinds: np.ndarray, part: int, seed: list[int], rate: float = 0.003) -> None:
@@ -408,27 +437,25 @@ def _judge(judge: Judge | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = judge and Network(weights=[w.copy() for w in judge.weights])
         for batch in batches:
+            bases, lists = (batch.column(c) for c in ("base", "candidates"))
+            added = [[] for _ in range(batch.num_rows)]
+            of, parts = pc.list_parent_indices(lists).to_pylist(), lists.flatten()
+            if net is not None and of:
+                windows = parts.field("windows").to_pylist()
+                pieces = np.cumsum([0, *(len(w) // WINDOW for w in windows)])
+                logits = np.concatenate([net.scores(np.frombuffer(b"".join(windows[k:k + JUDGED]), np.uint8).reshape(-1, WINDOW))
+                                         for k in range(0, len(windows), JUDGED)])
+                p = probability(np.maximum.reduceat(logits, pieces[:-1]), judge.slope, judge.shift)
+                starts, ends = (parts.field(c).to_numpy() for c in ("start", "end"))
+                for k in np.flatnonzero(p >= np.array(judge.limits)[parts.field("shape").to_numpy()]).tolist():
+                    added[of[k]].append((int(starts[k]), len(KINDS), int(ends[k]), float(p[k])))
             spans = []
-            for base, candidates in zip(batch.column("base"), batch.column("candidates")):
-                found = [(s["start"].as_py(), KINDS.index(s["kind"].as_py()), s["end"].as_py(), 1.0) for s in base]
-                if net is not None and len(candidates):
-                    parts = candidates.values
-                    windows = parts.field("windows").to_pylist()
-                    counts = [len(w) // WINDOW for w in windows]
-                    codes = np.frombuffer(b"".join(windows), dtype=np.uint8).reshape(-1, WINDOW)
-                    logits = np.maximum.reduceat(net.scores(codes), np.concatenate([[0], np.cumsum(counts)[:-1]]))
-                    p = probability(logits, judge.slope, judge.shift)
-                    over = p >= np.array(judge.limits)[parts.field("shape").to_numpy()]
-                    taken = [(s, e) for s, _, e, _ in found]
-                    for k in np.flatnonzero(over):
-                        start, end = parts.field("start")[k].as_py(), parts.field("end")[k].as_py()
-                        if all(end <= s or e <= start for s, e in taken):
-                            found.append((start, len(KINDS), end, float(p[k])))
-                spans.append([{"kind": [*KINDS, ADDED][k], "start": s, "end": e, "probability": p}
-                              for s, k, e, p in sorted(found)])
+            for base, more in zip(bases.to_pylist(), added):
+                found = [(x["start"], KINDS.index(x["kind"]), x["end"], 1.0) for x in base]
+                found += [x for x in more if all(x[2] <= s or e <= x[0] for s, _, e, _ in found)]
+                spans.append([([*KINDS, ADDED][k], s, e, p) for s, k, e, p in sorted(found)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("base"), pa.array(spans, pa.list_(pa.struct(
-                    [*_SPAN.value_type, pa.field("probability", pa.float64())])))], names=["id", "base", "spans"])
+                [batch.column("id"), bases, _lists(spans, _JUDGED)], names=["id", "base", "spans"])
     return run
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cumulus.llm import secret_scan as S
@@ -218,3 +219,32 @@ def test_learning_takes_every_candidate(spark, monkeypatch):
     slope, shift = S.calibration(logits, labels)
     assert (judge.slope, judge.shift) == pytest.approx((slope, shift), rel=1e-6, abs=1e-6)
     assert judge.limits == S.thresholds(S.probability(logits, judge.slope, judge.shift), labels, shapes, 0.9)
+
+
+def test_scores_against_a_plain_convolution():
+    net = S.Network(4)
+    table, kernel, bias, out, shift = (w.astype(np.float64) for w in net.weights)
+    codes = np.random.default_rng(6).integers(0, S.CODES, size=(70, S.WINDOW)).astype(np.uint8)
+    want = []
+    for row in codes:
+        x = np.array([[*table[c], float(S.BEFORE <= k < S.BEFORE + S.PIECE)] for k, c in enumerate(row)])
+        seen = np.array([[max(0, float(x[k:k + S.WIDTH].T.ravel() @ kernel[:, f]) + bias[f]) for f in range(S.FILTERS)]
+                         for k in range(S.WINDOW - S.WIDTH + 1)])
+        want.append(np.concatenate([seen.max(axis=0), seen.mean(axis=0)]) @ out + shift[0])
+    assert net.scores(codes) == pytest.approx(want, abs=1e-5)
+    assert len(net.scores(codes[:0])) == 0
+
+
+def test_prose_costs_no_matches_and_a_batch_one_call(monkeypatch):
+    prose = "a faded facade, AKIA added: decade " * 20
+    assert not [m for kind, pattern, *_ in S.BASE if kind != "assign" for m in pattern.finditer(prose)]
+    texts = [f"{prose}{k:013}" for k in range(300)] + [None, "", "secret=abcdef0123456789", "x" * 500]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    calls, real = [], S.Network.scores
+    monkeypatch.setattr(S.Network, "scores", lambda net, codes: calls.append(len(codes)) or real(net, codes))
+    judge = S.Judge(S.Network(1).weights, 1.0, 0.0, [0.0] * 3)
+    judged, = S._judge(judge)(S._read(iter([batch])))
+    assert len(calls) == 1 and calls[0] == 300 + 1 + 13
+    spans = judged.column("spans").to_pylist()
+    assert [[(s["kind"], s["start"], s["end"]) for s in x] for x in spans] == [
+        *[[(S.ADDED, len(prose), len(prose) + 13)]] * 300, [], [], [("assign", 0, 23)], [(S.ADDED, 0, 500)]]
