@@ -12,8 +12,9 @@ threshold with a chance of about 1e-6); in large nodes everyone is compared with
 the node's smallest id, and nodes that still hold several components branch on.
 Of nodes that hold the same documents only one is compared.  Branching ends at
 the last depth, or when the largest node is a few blocks: the documents of nodes
-that are large by then are cut into blocks; blocks that share a node are compared
-once, in a task that holds their sets and returns only links.
+that are large by then are put into groups of nodes that overlap, and each group is
+cut into a few blocks; blocks that share a node are compared once, in a task that
+holds their sets and returns only links.
 Every pair that passes is confirmed on the full sets.  Pairs whose documents are
 connected already need no confirmation: the result is the components.
 """
@@ -36,8 +37,9 @@ from cumulus.llm.staging import connected_components, dropped, staged
 COORDINATES = 128        # minwise tokens of a signature; each also gives one bit of the sketch
 DEPTHS = (3, 5, 8)       # branchings after which nodes are counted; those large to the last are compared in blocks
 SMALL_NODE = 32          # documents that a node may hold to be compared exhaustively
-BLOCK = 512              # documents of a block of large nodes
-BLOCKS = 8               # blocks of the largest node, at most, for branching to end before the last depth
+BLOCK = 512              # documents of a block of large nodes, at least, where its group has several
+BLOCKS = 8               # blocks of a group, at most, while they fit; also those of the largest node for branching to end early
+BLOCK_BYTES = 8 << 20    # bytes of a block's sets, about; a group of more than BLOCKS times that has more blocks
 FILTER_BITS = 23         # two to this power: bits of the filter of ids whose texts are needed
 RECALL = 1 - 1e-7        # chance to find a pair exactly at the threshold
 PART_BYTES = 1 << 20
@@ -293,19 +295,37 @@ def _alike(x: str, y: str, similarity: float) -> str:
     return f"{bits} <= {_most_apart(similarity)} AND 100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
 
 
-def _block_pairs(large: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of nodes that are large to the last: (id, block) of their documents, and (i, j), the pairs of blocks to compare.
+def _blocks(large: DataFrame) -> DataFrame:
+    """(id, block) of the documents of nodes that are large to the last.
 
-    A document belongs to the largest of its nodes, whose documents are cut into
-    blocks.  Two blocks are compared once if any node holds documents of both,
-    however many trees bring them together.
+    The largest nodes of the trees hold much the same documents.  So a document's
+    group is not its own largest node, which differs among neighbours, but the largest
+    one that any document beside it has.  A group has a few blocks however many
+    documents it holds, and more only where their sets would not fit a task: a
+    document meets few blocks, so the rows that are compared grow with the documents.
     """
-    main = F.max(F.struct("c", "node")).over(Window.partitionBy("id"))
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("main.c") / BLOCK))
-    rows = large.select("node", "id", main.alias("main")).select("node", "id", F.xxhash64("main.node", part).alias("block"))
-    of_node = rows.groupBy("node").agg(F.sort_array(F.collect_set("block")).alias("m"))
+    nodes = large.select("node", "id", "n", F.struct("c", "node").alias("own"))
+    own = nodes.groupBy("id").agg(F.max("own").alias("main"))
+    beside = nodes.select("node", "id").join(own, "id").groupBy("node").agg(F.max("main").alias("main"))
+    docs = nodes.select("node", "id", "n").join(beside, "node").groupBy("id").agg(
+        F.max("main").alias("main"), F.max("n").alias("n")).select("id", "n", F.col("main.node").alias("group"))
+    whole = F.least(F.ceil(F.count(F.lit(1)) / BLOCK), F.lit(BLOCKS))
+    parts = docs.groupBy("group").agg(F.greatest(whole, F.ceil(8 * F.sum("n") / BLOCK_BYTES)).alias("parts"))
+    return docs.join(parts, "group").select("id", F.xxhash64("group", F.pmod(F.xxhash64("id"), "parts")).alias("block"))
+
+
+def _block_pairs(large: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(i, j), the pairs of blocks to compare: once if any node holds documents of both, however many trees bring them together."""
+    of_node = large.select("node", "id").join(blocks, "id").groupBy("node").agg(F.sort_array(F.collect_set("block")).alias("m"))
     pairs = of_node.select(F.explode("m").alias("i"), "m").select("i", F.explode(F.filter("m", lambda j: j >= F.col("i"))).alias("j"))
-    return rows.select("id", "block").distinct(), pairs.distinct()
+    return pairs.distinct()
+
+
+def _spread(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (block, ...) beside each pair (i, j) of blocks that has theirs."""
+    left = pairs.select("i", "j", F.col("i").alias("block"))
+    right = pairs.where("i < j").select("i", "j", F.col("j").alias("block"))
+    return left.unionByName(right).join(docs, "block")
 
 
 def _links_in_blocks(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -314,9 +334,6 @@ def _links_in_blocks(docs: DataFrame, pairs: DataFrame, similarity: float) -> Da
     ``docs``: (id, block, component, n, s0, s1, members).  Pairs that a component
     or the links so far connect are left out, so a task returns fewer links than it holds documents.
     """
-    left = pairs.select("i", "j", F.col("i").alias("block"))
-    right = pairs.where("i < j").select("i", "j", F.col("j").alias("block"))
-    spread = left.unionByName(right).join(docs, "block")
     most, percent = _most_apart(similarity), round(100 * similarity)
     bits = [f"s{k}" for k in range(COORDINATES // 64)]
 
@@ -330,6 +347,11 @@ def _links_in_blocks(docs: DataFrame, pairs: DataFrame, similarity: float) -> Da
         nx, ny, ix, iy = (f[c].to_numpy() for c in ("n", "id") for f in (x, y))
         cx, cy = (np.searchsorted(every, f["component"].to_numpy()) for f in (x, y))
         tx, ty = ([np.frombuffer(m, dtype=np.uint64) for m in f["members"]] for f in (x, y))
+        # Tokens are numbered once, so that one look at a mark tells whether a set holds one.
+        tokens, codes = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *tx, *ty]), return_inverse=True)
+        codes = np.split(codes.astype(np.int32), np.cumsum([len(t) for t in (*tx, *ty)]))
+        tx, ty = codes[:len(tx)], codes[len(tx):-1]
+        held = np.zeros(len(tokens), dtype=bool)
         found = []
         for k in range(len(x)):
             good = (np.bitwise_count(sx[k] ^ sy).sum(axis=1) <= most) & (root[cx[k]] != root[cy])
@@ -340,9 +362,9 @@ def _links_in_blocks(docs: DataFrame, pairs: DataFrame, similarity: float) -> Da
             if not len(at) or not len(tx[k]):
                 continue
             sizes = [len(ty[c]) for c in at]
-            tokens = np.concatenate([ty[c] for c in at])
-            inside = tx[k][np.minimum(np.searchsorted(tx[k], tokens), len(tx[k]) - 1)] == tokens
-            common = np.add.reduceat(inside, np.cumsum([0, *sizes[:-1]]), dtype=np.int64)
+            held[tx[k]] = True
+            common = np.add.reduceat(held[np.concatenate([ty[c] for c in at])], np.cumsum([0, *sizes[:-1]]), dtype=np.int64)
+            held[tx[k]] = False
             alike = 100 * common >= percent * (len(tx[k]) + np.array(sizes) - common)
             for c in at[alike]:
                 p, q = root[cx[k]], root[cy[c]]
@@ -351,7 +373,7 @@ def _links_in_blocks(docs: DataFrame, pairs: DataFrame, similarity: float) -> Da
                     found.append((min(ix[k], iy[c]), max(ix[k], iy[c])))
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return spread.groupBy("i", "j").applyInPandas(run, "a long, b long")
+    return _spread(pairs, docs).groupBy("i", "j").applyInPandas(run, "a long, b long")
 
 
 def components(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id",
@@ -400,8 +422,8 @@ def components(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
         if biggest <= SMALL_NODE:
             break
         if depth == DEPTHS[-1] or biggest <= BLOCKS * BLOCK:
-            blocks, pairs = _block_pairs(large)
-            blocks, pairs = staged(blocks, "blocks"), staged(pairs, "block_pairs")
+            blocks = staged(_blocks(large), "blocks")
+            pairs = staged(_block_pairs(large, blocks), "block_pairs")
             sets = _staged_sets(base, blocks.select("id"), words)
             rows = blocks.join(sketches, "id").join(labels, "id", "left").withColumn(
                 "component", F.coalesce("component_id", "id")).drop("component_id").join(sets, "id")

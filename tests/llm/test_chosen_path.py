@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from cumulus.llm import chosen_path
 from cumulus.llm.staging import connected_components
@@ -77,6 +78,33 @@ def test_large_nodes_branch_on_and_end_in_blocks(spark, corpus, monkeypatch, dep
     assert got(chosen_path.components(frame(spark, corpus), words=2)) == brute(corpus, 2)
 
 
+def test_rows_compared_grow_with_the_group(spark, monkeypatch):
+    """(documents, rows beside pairs of blocks, blocks) of a group of which many link with nothing, and of one four times as large."""
+    seen = []
+    links = chosen_path._links_in_blocks
+
+    def counted(docs, pairs, similarity):
+        ends = pairs.select(F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+        seen.append((docs.count(), ends.join(docs, "block").count(), docs.select("block").distinct().count()))
+        return links(docs, pairs, similarity)
+
+    monkeypatch.setattr(chosen_path, "_links_in_blocks", counted)
+    monkeypatch.setattr(chosen_path, "SMALL_NODE", 8)
+    monkeypatch.setattr(chosen_path, "DEPTHS", (3,))
+    monkeypatch.setattr(chosen_path, "BLOCK", 16)
+    draw = random.Random(5)
+    texts = near_copies(draw, [f"w{i}" for i in range(100)], 600, 16)
+    for size in (150, 600):
+        rows = list(enumerate(texts[:size]))
+        assert got(chosen_path.components(frame(spark, rows), words=2)) == brute(rows, 2)
+    (few, few_rows, _), (many, many_rows, blocks) = seen
+    assert few > 100 and many > 3.5 * few
+    assert many_rows <= 1.25 * few_rows * many / few and many_rows <= 12 * many
+    monkeypatch.setattr(chosen_path, "BLOCK_BYTES", 16_000)  # the same in more tasks, when sets are large
+    assert got(chosen_path.components(frame(spark, rows), words=2)) == brute(rows, 2)
+    assert seen[2][0] == many and seen[2][2] > 2 * blocks
+
+
 def test_empty_table(spark):
     out = chosen_path.components(spark.createDataFrame([], "doc_id long, text string"), words=2)
     assert out.columns == ["doc_id", "n_shingles", "component_id", "kept"] and out.count() == 0
